@@ -1,0 +1 @@
+"""Transcript-corpus analytics on Spark: DataFrame in, DataFrame out."""

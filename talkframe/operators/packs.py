@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talkframe.functions.columns import format_clock
-from talkframe.operators.ordered import BLOCK_ROWS, block_of, first_by, running_before
+from talkframe.operators.ordered import block_of, first_by, running_before
+
+FOLD_ROWS = 20_000
 
 
 def token_estimate(text) -> Column:
@@ -22,7 +24,7 @@ def greedy_chunks(
     budget: int,
     min_items: int = 1,
     keys: list[str] | None = None,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int = FOLD_ROWS,
 ) -> DataFrame:
     """Add ``chunk``: rows in order, a new chunk when the next row would exceed ``budget``.
 
@@ -168,13 +170,13 @@ def _long_chunk_starts(narrow: DataFrame, keys: list[str], budget: int, min_item
     return narrow.groupBy(*by_block).cogroup(entries.groupBy(*by_block)).applyInPandas(cut_block, start_schema)
 
 
-def chunk_by_tokens(segments: DataFrame, target: int = 8000, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def chunk_by_tokens(segments: DataFrame, target: int = 8000, block_rows: int = FOLD_ROWS) -> DataFrame:
     """Add ``chunk``: segments in order, about ``target`` tokens each."""
     sized = segments.withColumn("tokens", token_estimate("text"))
     return greedy_chunks(sized, "seg_idx", "tokens", target, 1, ["video_id"], block_rows)
 
 
-def pack_summaries(items: DataFrame, budget: int, keys: list[str] | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def pack_summaries(items: DataFrame, budget: int, keys: list[str] | None = None, block_rows: int = FOLD_ROWS) -> DataFrame:
     """Add ``chunk``: ``items(keys, item_idx, header, summary)`` in groups of two or more that fit the budget."""
     sized = items.withColumn("_size", F.length("header") + F.length("summary"))
     return greedy_chunks(sized, "item_idx", "_size", budget, 2, keys or ["analysis_id"], block_rows).drop("_size")
@@ -252,13 +254,12 @@ def rank_candidate_frames(features: DataFrame) -> DataFrame:
     null for unreadable frames, ``face`` 0/1, ``diff_next`` the mean change to the next
     candidate in 0–1 (null where either is unreadable). The first wins ties.
     """
-    from pyspark.sql import Window as W
-
     keys = ["video_id", "moment"]
-    before = F.lag("diff_next").over(W.partitionBy(*keys).orderBy("cand_idx"))
-    sharpest = F.max("sharpness").over(W.partitionBy(*keys))
-    sharpest = F.when(sharpest == 0, F.lit(1.0)).otherwise(sharpest)
-    rows = features.withColumns({"_before": before, "_top": sharpest})
+    sharpest = features.groupBy(*keys).agg(F.max("sharpness").alias("_top"))
+    sharpest = sharpest.withColumn("_top", F.when(F.col("_top") == 0, F.lit(1.0)).otherwise(F.col("_top")))
+    rows = running_before(
+        features, keys, ["cand_idx"], block_of("cand_idx"), {"_before": ("last", F.struct("diff_next"))}
+    ).withColumn("_before", F.col("_before.diff_next")).join(sharpest, keys)
     beside = F.array_compact(F.array("_before", "diff_next"))
     change = F.when(F.size(beside) > 0, F.aggregate(beside, F.lit(0.0), lambda a, x: a + x) / F.size(beside))
     stillness = 1 - F.coalesce(change, F.lit(0.0))
