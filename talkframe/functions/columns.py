@@ -32,8 +32,7 @@ def squeeze(value) -> Column:
 
 def words(value) -> Column:
     """White-space separated tokens; no tokens for blank text."""
-    text = squeeze(value)
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, " "))
+    return F.array_remove(F.split(_col(value), r"(?U)\s+"), "")
 
 
 def strip(value) -> Column:

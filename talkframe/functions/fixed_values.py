@@ -30,7 +30,7 @@ FILLER_PHRASES = [
     "♪",
     "♫",
 ]
-FILLER_PUNCTUATION = r"""[.,!?:;\-–—…"'()\[\]]+"""
+FILLER_PUNCTUATION = r""".,!?:;\-–—…"'()\[\]"""
 FILLER_MIN_SECONDS = 5.0
 FILLER_MAX_CHARS_PER_SECOND = 2.0
 FILLER_MAX_STEMS = 2

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from talkframe.functions import fixed_values as fixed
 from talkframe.functions.columns import round_to
+from talkframe.operators.tables import small_table
 
 
 def default_prices(spark) -> DataFrame:
-    return spark.createDataFrame(fixed.MODEL_PRICES, "model string, input_rate double, output_rate double")
+    return small_table(spark, fixed.MODEL_PRICES, "model string, input_rate double, output_rate double")
 
 
 def price_calls(calls: DataFrame, prices: DataFrame) -> DataFrame:

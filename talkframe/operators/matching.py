@@ -48,15 +48,27 @@ def merge_triggers(builtin: DataFrame, user: DataFrame, mode: str = "extend") ->
     )
 
 
-def _first_hits(segments: DataFrame, triggers: DataFrame, scope: list[str]) -> DataFrame:
-    lowered = triggers.groupBy(*scope, F.lower("phrase").alias("phrase")).agg(
-        F.max_by("weight", "phrase").alias("weight")
+def match_exact(segments: DataFrame, triggers: DataFrame, kinds: tuple[str, ...] = ("raw", "strict")) -> DataFrame:
+    """First ``raw`` match of each segment, else its first ``strict`` match, in one pass over the text.
+
+    In each kind the phrase that ends first wins, the longest on equal ends. Strict
+    phrases count in segments of their own language (``lang``).
+    """
+    carried = [c for c in ("lang", "start", "end") if c in segments.columns]
+    strict = F.col("kind") == "strict"
+    lowered = (
+        triggers.filter(F.col("kind").isin(list(kinds)))
+        .groupBy("kind", F.when(strict, F.col("lang")).alias("rule_lang"), F.lower("phrase").alias("phrase"))
+        .agg(F.max_by("weight", "phrase").alias("weight"))
     )
-    texts = segments.select(*scope, *SEGMENT, F.lower("text").alias("text"))
-    hits = phrase_hits(texts, lowered, SEGMENT, ["phrase", "weight"], scope=scope)
-    order = F.struct(F.col("at") + F.col("length"), -F.col("length"))
-    best = F.min_by(F.struct("phrase", "weight"), order).alias("_b")
-    return hits.groupBy(*scope, *SEGMENT).agg(best).select(*scope, *SEGMENT, "_b.*")
+    texts = segments.select(*SEGMENT, *carried, F.lower("text").alias("text"))
+    hits = phrase_hits(texts, lowered, [*SEGMENT, *carried], ["kind", "rule_lang", "phrase", "weight"])
+    if "strict" in kinds:
+        hits = hits.filter(~strict | (F.col("rule_lang") == F.col("lang")))
+    order = F.struct(F.when(strict, 1).otherwise(0), F.col("at") + F.col("length"), -F.col("length"))
+    reason = F.when(strict, F.concat(F.lit("strict:"), F.col("rule_lang"))).otherwise("raw")
+    best = F.min_by(F.struct(F.lit(1.0).alias("score"), "weight", reason.alias("reason"), "phrase"), order)
+    return hits.groupBy(*SEGMENT, *carried).agg(best.alias("_b")).select(*SEGMENT, *carried, "_b.*")
 
 
 def match_raw(segments: DataFrame, triggers: DataFrame) -> DataFrame:
@@ -64,18 +76,12 @@ def match_raw(segments: DataFrame, triggers: DataFrame) -> DataFrame:
 
     ``triggers(kind, lang, phrase, weight, seq)``; uses the kind ``raw``.
     """
-    found = _first_hits(segments, triggers.filter("kind = 'raw'"), [])
-    return found.select(
-        *SEGMENT, F.lit(1.0).alias("score"), "weight", F.lit("raw").alias("reason"), "phrase"
-    )
+    return match_exact(segments, triggers, ("raw",)).select(*SEGMENT, "score", "weight", "reason", "phrase")
 
 
 def match_strict(segments: DataFrame, triggers: DataFrame) -> DataFrame:
     """As :func:`match_raw`, with the phrases of the segment's own language (kind ``strict``)."""
-    found = _first_hits(segments, triggers.filter("kind = 'strict'"), ["lang"])
-    return found.select(
-        *SEGMENT, F.lit(1.0).alias("score"), "weight", F.concat(F.lit("strict:"), "lang").alias("reason"), "phrase"
-    )
+    return match_exact(segments, triggers, ("strict",)).select(*SEGMENT, "score", "weight", "reason", "phrase")
 
 
 def lemmatize(texts: DataFrame, lemmas: DataFrame, keys: list[str]) -> DataFrame:
@@ -203,16 +209,18 @@ def match_segments(
     """
     if mode not in ("keywords_only", "semantic", "hybrid"):
         raise ValueError(f"unknown mode: {mode}")
-    branches = [match_raw(segments, triggers)]
-    if mode != "semantic":
-        branches.append(match_strict(segments, triggers))
-        if lemmas is not None:
-            branches.append(match_soft(segments, triggers, lemmas))
+    exact = match_exact(segments, triggers, ("raw",) if mode == "semantic" else ("raw", "strict"))
+    timing = segments.select(*SEGMENT, "start", "end")
+    branches = [exact]
+    if mode != "semantic" and lemmas is not None:
+        branches.append(match_soft(segments, triggers, lemmas).join(timing, SEGMENT))
     if mode != "keywords_only" and vectors is not None and phrase_vectors is not None:
-        branches.append(match_universal(vectors, phrase_vectors, threshold))
+        branches.append(match_universal(vectors, phrase_vectors, threshold).join(timing, SEGMENT))
+    if len(branches) == 1:
+        return exact.select(*SEGMENT, "start", "end", "score", "weight", "reason", "phrase")
     ranked = None
     for rank, branch in enumerate(branches):
-        rows = branch.select(*SEGMENT, F.lit(rank).alias("_rank"), F.struct("score", "weight", "reason", "phrase").alias("_m"))
+        match = F.struct("start", "end", "score", "weight", "reason", "phrase")
+        rows = branch.select(*SEGMENT, F.lit(rank).alias("_rank"), match.alias("_m"))
         ranked = rows if ranked is None else ranked.unionByName(rows)
-    best = ranked.groupBy(*SEGMENT).agg(F.min_by("_m", "_rank").alias("_m")).select(*SEGMENT, "_m.*")
-    return segments.select(*SEGMENT, "start", "end").join(best, SEGMENT)
+    return ranked.groupBy(*SEGMENT).agg(F.min_by("_m", "_rank").alias("_m")).select(*SEGMENT, "_m.*")

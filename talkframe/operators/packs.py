@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from talkframe.functions.columns import format_clock
 from talkframe.operators.ordered import block_of, first_by, running_before
+from talkframe.operators.tables import settled
 
 FOLD_ROWS = 20_000
 
@@ -37,9 +38,11 @@ def greedy_chunks(
     """
     keys = keys or ["video_id"]
     blocked = df.withColumn("_blk", block_of(index, block_rows))
-    spread = blocked.groupBy(*keys).agg((F.max("_blk") != F.min("_blk")).alias("_long"))
+    narrow = settled(
+        blocked.select(*keys, "_blk", F.col(index).cast("long").alias("_i"), F.col(size).cast("long").alias("_n"))
+    )
+    spread = narrow.groupBy(*keys).agg((F.max("_blk") != F.min("_blk")).alias("_long"))
     long_keys = spread.filter("_long").select(*keys)
-    narrow = blocked.select(*keys, "_blk", F.col(index).cast("long").alias("_i"), F.col(size).cast("long").alias("_n"))
 
     short = narrow.join(long_keys, keys, "left_anti")
     rows = F.array_sort(F.collect_list(F.struct("_i", "_n")))

@@ -92,8 +92,11 @@ def select_by_budget(windows: DataFrame, durations: DataFrame, max_windows: int)
     counts = windows.groupBy("video_id").agg(F.count("*").alias("_n"))
     known = durations.filter("duration > 0").select("video_id", "duration")
     sized = windows.join(counts.join(known, "video_id"), "video_id")
-    few = sized.filter(F.col("_n") <= max_windows).select(*windows.columns)
     bucket = F.least(F.floor(F.col("start") / (F.col("duration") / max_windows)), F.lit(max_windows - 1))
-    many = sized.filter(F.col("_n") > max_windows).withColumn("_bucket", bucket).drop("_n", "duration")
-    best = first_by(many, ["video_id", "_bucket"], [-(F.col("score") * F.col("weight")), F.col("win_idx")])
-    return few.unionByName(best.select(*windows.columns))
+    # Where all fit, every window is a bucket of its own.
+    fits = F.col("_n") <= max_windows
+    slots = sized.withColumns({
+        "_bucket": F.when(~fits, bucket), "_own": F.when(fits, F.col("win_idx"))
+    }).drop("_n", "duration")
+    best = first_by(slots, ["video_id", "_bucket", "_own"], [-(F.col("score") * F.col("weight")), F.col("win_idx")])
+    return best.select(*windows.columns)

@@ -9,6 +9,7 @@ from talkframe.operators.channels import advance_cursor, new_entries, require_cu
 from talkframe.operators.intervals import refine_by_frame_diff, window_context
 from talkframe.operators.matching import match_segments
 from talkframe.operators.quality import filter_hallucinations
+from talkframe.operators.tables import settled
 from talkframe.operators.targets import DateWindow, match_titles
 from talkframe.operators.windows import detection_windows, merge_windows, select_by_budget
 
@@ -30,10 +31,12 @@ def best_moments(
     """
     kept, _ = filter_hallucinations(segments)
     hits = match_segments(kept, triggers, mode, **matching)
-    windows = merge_windows(detection_windows(hits, scenes, mode))
+    # Matching reads all text; what it finds is small and used several times below.
+    found = settled(detection_windows(hits, scenes, mode))
+    windows = merge_windows(found)
     if mode == "hybrid" and frames is not None:
         windows = refine_by_frame_diff(windows, frames)
-    chosen = select_by_budget(windows, durations, max_windows)
+    chosen = settled(select_by_budget(settled(windows), durations, max_windows))
     return window_context(chosen, kept).withColumn("priority", F.col("score") * F.col("weight"))
 
 

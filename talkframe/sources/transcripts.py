@@ -25,9 +25,16 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _seconds(line: Column, pattern: str, group: int) -> Column:
-    part = [F.regexp_extract(line, pattern, group + i).cast("double") for i in range(4)]
-    return part[0] * 3600 + part[1] * 60 + part[2] + part[3] / 1000.0
+def _clock_parts(line, pattern: str) -> Column:
+    """The eight numbers of a time range as an array."""
+    span = F.regexp_replace(F.regexp_extract(line, pattern, 0), r"^\[|\].*$", "")
+    return F.split(F.trim(span), r"\s*-->\s*|[:,.]")
+
+
+def _seconds(parts: str, first: int) -> Column:
+    """Seconds of the four numbers from ``first``. The last one counts thousandths, as written."""
+    h, m, s, ms = (F.get(F.col(parts), F.lit(first + i)).cast("double") for i in range(4))
+    return h * 3600 + m * 60 + s + ms / 1000.0
 
 
 def _lines(text: Column) -> Column:
@@ -64,13 +71,13 @@ def srt_segments(files: DataFrame, lenient: bool = False) -> DataFrame:
         time_line = F.get(time_lines, F.lit(0))
         first_at = F.array_position(F.transform("_lines", is_time), True).cast("int")
         kept = F.slice("_lines", first_at + 1, F.size("_lines"))
-    timed = lines.filter(F.exists("_lines", is_time)).withColumns({"_time": time_line, "_kept": kept})
+    timed = lines.filter(F.exists("_lines", is_time)).withColumns({"_time": _clock_parts(time_line, pattern), "_kept": kept})
     if lenient:
         timed = timed.filter(F.size("_kept") > 0)
     rows = timed.select(
         "file", "_pos",
-        _seconds(F.col("_time"), pattern, 1).alias("start"),
-        _seconds(F.col("_time"), pattern, 5).alias("end"),
+        _seconds("_time", 0).alias("start"),
+        _seconds("_time", 4).alias("end"),
         strip(F.array_join("_kept", " ")).alias("text"),
     )
     return _numbered(rows).select(*SEGMENT)
@@ -84,10 +91,9 @@ def txt_segments(files: DataFrame) -> DataFrame:
     """Segments of ``[start --> end] text`` lines; a text without any is one segment at 0."""
     lined = files.withColumn("_timed", F.filter(_lines(F.col("content")), lambda x: x.rlike(TXT_LINE)))
     plain = F.size("_timed") == 0
-    timed = lined.filter(~plain).select("file", F.posexplode("_timed").alias("seg_idx", "_l")).select(
-        "file", "seg_idx",
-        _seconds(F.col("_l"), TXT_LINE, 1).alias("start"),
-        _seconds(F.col("_l"), TXT_LINE, 5).alias("end"),
+    timed = lined.filter(~plain).select("file", F.posexplode("_timed").alias("seg_idx", "_l"))
+    timed = timed.withColumn("_time", _clock_parts("_l", TXT_LINE)).select(
+        "file", "seg_idx", _seconds("_time", 0).alias("start"), _seconds("_time", 4).alias("end"),
         strip(F.regexp_extract("_l", TXT_LINE, 9)).alias("text"),
     )
     whole = lined.filter(plain & (strip("content") != "")).select(
@@ -107,11 +113,15 @@ TRANSCRIPT_JSON = (
 
 
 def read_transcript_json(spark: SparkSession, path: str) -> DataFrame:
+    return json_segments(read_files(spark, path))
+
+
+def json_segments(files: DataFrame) -> DataFrame:
     """Segments (with ``language``) of JSON transcripts; items without text are left out, missing times are 0."""
     doc = F.from_json("content", TRANSCRIPT_JSON)
     items = F.filter(doc["segments"], lambda s: s["text"].isNotNull())
     return (
-        read_files(spark, path)
+        files
         .select("file", doc["language"].alias("language"), F.posexplode(items).alias("seg_idx", "_s"))
         .select(
             "file", "language", "seg_idx",
@@ -168,15 +178,23 @@ def read_caption_srv(spark: SparkSession, path: str) -> DataFrame:
     return caption_srv_segments(read_files(spark, path))
 
 
+FEED_XML = (
+    "entry array<struct<`yt:videoId`: string, `yt:channelId`: string, title: string, published: string>>"
+)
+
+
 def read_channel_feed(spark: SparkSession, path: str) -> DataFrame:
+    return feed_entries(read_files(spark, path))
+
+
+def feed_entries(files: DataFrame) -> DataFrame:
     """Entries of channel feeds: ``(video_id, url, title, channel_id, published)``.
 
     Entries without an id are left out; an unreadable date is the epoch. A malformed
     feed gives no rows.
     """
-    entry = "`yt:videoId` string, `yt:channelId` string, title string, published string"
-    feed = F.from_xml("content", f"entry array<struct<{entry.replace('` string', '`: string').replace('title string', 'title: string').replace('published string', 'published: string')}>>")
-    rows = read_files(spark, path).select("file", F.posexplode(feed["entry"]).alias("pos", "_e"))
+    feed = F.from_xml("content", FEED_XML)
+    rows = files.select("file", F.posexplode(feed["entry"]).alias("pos", "_e"))
     video = none_if_empty(F.col("_e")["yt:videoId"])
     return rows.filter(video.isNotNull()).select(
         "file", "pos", video.alias("video_id"),
@@ -195,13 +213,17 @@ MANIFEST = (
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    return manifest_videos(read_files(spark, path))
+
+
+def manifest_videos(files: DataFrame) -> DataFrame:
     """Transcribed videos of batch manifests and the transcript file of each.
 
     Prefers txt, then json, then srt. Rows whose path leaves the batch folder are left
     out.
     """
     videos = F.from_json("content", MANIFEST)["videos"]
-    rows = read_files(spark, path).select("file", F.posexplode(videos).alias("pos", "_v")).select("file", "pos", "_v.*")
+    rows = files.select("file", F.posexplode(videos).alias("pos", "_v")).select("file", "pos", "_v.*")
     rel = F.coalesce(none_if_empty("files.txt"), none_if_empty("files.json"), none_if_empty("files.srt"))
     return (
         rows.filter("status = 'ok'")
@@ -221,16 +243,15 @@ def escapes_folder(path: str) -> Column:
         depth = acc["depth"] + F.when(p == "..", -1).otherwise(1)
         return F.struct(depth.alias("depth"), F.least(acc["low"], depth).alias("low"))
 
-    # Only where the path ends matters: "a/../../batch/x" names another folder or this one by name.
     return F.startswith(F.col(path), F.lit("/")) | (F.aggregate(parts, state, step, lambda a: a["low"]) < 0)
 
 
 def read_url_list(spark: SparkSession, path: str) -> DataFrame:
-    """Urls of list files in order; blank lines, ``#`` lines and tails after `` #`` are cut."""
     return url_lines(read_files(spark, path))
 
 
 def url_lines(files: DataFrame) -> DataFrame:
+    """Urls of list files in order; blank lines, ``#`` lines and tails after `` #`` are cut."""
     rows = files.select("file", F.posexplode(_lines(F.col("content"))).alias("pos", "_l"))
     line = strip("_l")
     url = strip(F.substring_index(line, " #", 1))
