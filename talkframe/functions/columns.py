@@ -83,7 +83,7 @@ def format_duration(seconds) -> Column:
 
 def parse_timestamp(value) -> Column:
     """Seconds of ``MM:SS``, ``HH:MM:SS`` or a number; null where malformed or negative."""
-    parts = F.transform(F.split(F.trim(_col(value)), ":"), F.trim)
+    parts = F.transform(F.split(F.trim(_col(value)), ":"), lambda p: F.trim(p))
     number = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
     total = F.aggregate(parts, F.lit(0.0), lambda acc, p: acc * 60 + p.try_cast("double"))
     well_formed = (F.size(parts) <= 3) & F.forall(parts, lambda p: p.rlike(number))

@@ -42,7 +42,7 @@ def upsert_channels(channels: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def _addressed(identifiers: list[str]) -> Column:
-    tests = [F.coalesce(F.col(c).isin(identifiers), F.lit(False)) for c in ("handle", "url", "channel_id")]
+    tests = [F.coalesce(F.col(c).cast("string").isin(identifiers), F.lit(False)) for c in ("handle", "url", "channel_id")]
     return tests[0] | tests[1] | tests[2]
 
 

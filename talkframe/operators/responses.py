@@ -53,13 +53,16 @@ def screen_rows(candidates: DataFrame, responses: DataFrame) -> DataFrame:
 
 def _strings(value):
     """A JSON value as a list of strings: a list as it is, a scalar as one item, else nothing."""
-    as_list = F.from_json(value, "array<string>")
+    items = F.filter(
+        F.from_json(value, "array<variant>"), lambda v: ~F.schema_of_variant(v).rlike("^(ARRAY|OBJECT|VOID)")
+    )
+    as_list = F.transform(items, lambda v: F.try_variant_get(v, "$", "string"))
     is_list = F.startswith(F.ltrim(value), F.lit("["))
     is_object = F.startswith(F.ltrim(value), F.lit("{"))
     empty = F.array().cast("array<string>")
     return (
         F.when(value.isNull() | is_object | (F.trim(value) == ""), empty)
-        .when(is_list, F.filter(F.coalesce(as_list, empty), lambda x: x.isNotNull() & ~F.startswith(x, F.lit("{")) & ~F.startswith(x, F.lit("["))))
+        .when(is_list, F.array_compact(F.coalesce(as_list, empty)))
         .otherwise(F.array(value))
     )
 

@@ -85,7 +85,7 @@ def stream_merge_windows(windows: DataFrame, max_gap: float = 1.0, lateness: str
     the gap, which is the merge rule of the batch operator; windows later than
     ``lateness`` are dropped.
     """
-    length = F.expr(f"make_dt_interval(0, 0, 0, cast(end - start + {max_gap} as decimal(18, 6)))")
+    length = F.expr(f"make_interval(0, 0, 0, 0, 0, 0, cast(end - start + {max_gap} as decimal(18, 6)))")
     session = F.session_window("start_at", length)
     rank = F.struct(-(F.col("score") * F.col("weight")), F.col("start"), F.col("win_idx"))
     return (
