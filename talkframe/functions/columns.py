@@ -166,8 +166,10 @@ def script_of_language(language) -> Column:
 def anchor_language(hint, query, languages) -> Column:
     """The hint if listed, else the first language in the query's script, else the first listed."""
     hint, langs = _col(hint), _col(languages)
-    script = script_of(query)
-    same_script = F.filter(langs, lambda x: script_of_language(x) == script)
+    # Through an array of one, so that the script is worked out once and not per language.
+    same_script = F.get(
+        F.transform(F.array(script_of(query)), lambda s: F.filter(langs, lambda x: script_of_language(x) == s)), F.lit(0)
+    )
     return (
         F.when((hint != "") & F.array_contains(langs, hint), hint)
         .when(F.size(same_script) > 0, F.get(same_script, F.lit(0)))

@@ -51,19 +51,20 @@ def screen_rows(candidates: DataFrame, responses: DataFrame) -> DataFrame:
     return kept.filter(F.col("indices").isNull() | F.array_contains("indices", F.col("pos").cast("long"))).drop("indices")
 
 
+def _text(value, path: str):
+    return F.coalesce(F.try_variant_get(value, path, "string"), F.lit(""))
+
+
 def _strings(value):
-    """A JSON value as a list of strings: a list as it is, a scalar as one item, else nothing."""
-    items = F.filter(
-        F.from_json(value, "array<variant>"), lambda v: ~F.schema_of_variant(v).rlike("^(ARRAY|OBJECT|VOID)")
-    )
-    as_list = F.transform(items, lambda v: F.try_variant_get(v, "$", "string"))
-    is_list = F.startswith(F.ltrim(value), F.lit("["))
-    is_object = F.startswith(F.ltrim(value), F.lit("{"))
+    """A JSON value as a list of strings: the plain items of a list, a scalar as one item, else nothing."""
     empty = F.array().cast("array<string>")
+    nested = "^(ARRAY|OBJECT|VOID)"
+    items = F.filter(F.try_variant_get(value, "$", "array<variant>"), lambda v: ~F.schema_of_variant(v).rlike(nested))
+    kind, scalar = F.schema_of_variant(value), F.try_variant_get(value, "$", "string")
     return (
-        F.when(value.isNull() | is_object | (F.trim(value) == ""), empty)
-        .when(is_list, F.array_compact(F.coalesce(as_list, empty)))
-        .otherwise(F.array(value))
+        F.when(kind.startswith("ARRAY"), F.transform(items, lambda v: F.try_variant_get(v, "$", "string")))
+        .when(kind.rlike(nested) | (F.trim(scalar) == ""), empty)
+        .otherwise(F.coalesce(F.array(scalar), empty))
     )
 
 
@@ -77,21 +78,24 @@ def parse_outlines(responses: DataFrame) -> DataFrame:
     raw = F.col("raw")
     text = F.trim(F.regexp_replace(strip(raw), r"(?s)^```[^\n]*\n|\n```[^\n]*$", ""))
     body = F.coalesce(none_if_empty(F.regexp_extract(text, r"(?s)\{.*\}", 0)), text)
-    fields = "title string, summary string, sections array<struct<title: string, summary: string, key_points: string, image_refs: string, timestamps: string>>"
-    valid = F.try_parse_json(body).isNotNull()
-    doc = F.from_json(body, fields)
+    doc = F.try_parse_json(body)
     empty = F.array().cast("array<string>")
 
+    def listed(section, path):
+        return F.array_compact(F.coalesce(_strings(F.try_variant_get(section, path, "variant")), empty))
+
     def section(s):
+        stamps = F.transform(listed(s, "$.timestamps"), lambda t: F.trim(F.regexp_replace(F.trim(t), r"^[\[\]]+|[\[\]]+$", "")))
         return F.struct(
-            F.coalesce(s["title"], F.lit("")).alias("title"),
-            F.coalesce(s["summary"], F.lit("")).alias("summary"),
-            _strings(s["key_points"]).alias("key_points"),
-            _strings(s["image_refs"]).alias("image_refs"),
-            F.transform(_strings(s["timestamps"]), lambda t: F.trim(F.regexp_replace(F.trim(t), r"^[\[\]]+|[\[\]]+$", ""))).alias("timestamps"),
+            _text(s, "$.title").alias("title"),
+            _text(s, "$.summary").alias("summary"),
+            listed(s, "$.key_points").alias("key_points"),
+            listed(s, "$.image_refs").alias("image_refs"),
+            stamps.alias("timestamps"),
         )
 
-    sections = F.transform(F.filter("_doc.sections", lambda s: s.isNotNull()), section)
+    items = F.try_variant_get("_doc", "$.sections", "array<variant>")
+    sections = F.transform(F.filter(items, lambda s: F.schema_of_variant(s).startswith("OBJECT")), section)
 
     def single(title, summary):
         return F.array(F.struct(
@@ -100,12 +104,12 @@ def parse_outlines(responses: DataFrame) -> DataFrame:
         ))
 
     blank = F.coalesce(raw, F.lit("")) == ""
-    parsed = responses.withColumns({"_ok": valid, "_doc": doc})
+    parsed = responses.withColumn("_doc", doc).withColumn("_ok", F.col("_doc").isNotNull())
     no_sections = F.filter(single("", F.lit("")), lambda s: F.lit(False))
     return parsed.select(
         "response_id",
-        F.when(blank, F.lit("")).when(~F.col("_ok"), F.lit("Outline parse failed")).otherwise(F.coalesce("_doc.title", F.lit(""))).alias("title"),
-        F.when(blank, F.lit("")).when(~F.col("_ok"), F.lit("LLM response could not be parsed as JSON.")).otherwise(F.coalesce("_doc.summary", F.lit(""))).alias("summary"),
+        F.when(blank, F.lit("")).when(~F.col("_ok"), F.lit("Outline parse failed")).otherwise(_text("_doc", "$.title")).alias("title"),
+        F.when(blank, F.lit("")).when(~F.col("_ok"), F.lit("LLM response could not be parsed as JSON.")).otherwise(_text("_doc", "$.summary")).alias("summary"),
         F.when(blank, no_sections).when(~F.col("_ok"), single("Raw model output", F.substring(raw, 1, 1000))).otherwise(F.coalesce(sections, no_sections)).alias("sections"),
     )
 

@@ -12,7 +12,7 @@ from talkframe.operators import matching as M
 from talkframe.operators import packs as P
 from talkframe.operators import quality as Q
 from talkframe.operators import responses as R
-from talkframe.operators.tables import small_table
+from talkframe.operators.tables import settled, small_table
 from talkframe.plans import corpus as C
 from talkframe.plans.registry import query, sql_clock, with_tables
 
@@ -240,7 +240,7 @@ def match_strict(spark, folder):
        + "SELECT video_id, seg_idx, 0.9::DOUBLE AS score, weight, 'soft:' || rule_lang AS reason, phrase FROM soft")
 def match_soft(spark, folder):
     docs = C.table(spark, folder, "documents")
-    return M.match_soft(C.doc_segments(docs), C.triggers(spark), C.lemma_table(docs))
+    return M.match_soft(C.doc_segments(docs), C.triggers(spark), settled(C.lemma_table(docs)))
 
 
 COSINES = """exemplars AS (SELECT label, arg_min(embedding, vec_id) AS p FROM embeddings GROUP BY label),
@@ -278,7 +278,7 @@ def match_segments(spark, folder):
     docs = C.table(spark, folder, "documents")
     vectors, first = _vectors(spark, folder)
     found = M.match_segments(
-        C.doc_segments(docs), C.triggers(spark), "hybrid", C.lemma_table(docs), vectors, first
+        C.doc_segments(docs), C.triggers(spark), "hybrid", settled(C.lemma_table(docs)), vectors, first
     )
     return found.drop("start", "end").withColumn("score", F.round("score", 5))
 
