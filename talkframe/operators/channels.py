@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from talkframe.operators.ordered import first_by
+from talkframe.operators.ordered import first_by, first_n
 from talkframe.operators.targets import DateWindow
 
 
@@ -86,8 +85,7 @@ def take_while_in_window(
     walked = _prefix(dated, ~F.col("_in"), keys).drop("_in")
     if cap <= 0:
         return walked
-    nth = F.row_number().over(W.partitionBy(*keys).orderBy("pos"))
-    return walked.withColumn("_nth", nth).filter(F.col("_nth") <= cap).drop("_nth")
+    return first_n(walked, keys, ["pos"], cap)
 
 
 def take_until_seen(listing: DataFrame, channels: DataFrame) -> DataFrame:

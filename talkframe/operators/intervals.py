@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talkframe.operators.ordered import block_of
+from talkframe.operators.ordered import block_of, first_n, running_before
 
 CELL_SECONDS = 60.0
 
@@ -71,8 +71,6 @@ def window_context(
     least one character and a space, so a window never needs more than
     ``max_chars`` segments; the ranking is limited before the shuffle.
     """
-    from pyspark.sql import Window as W
-
     spans = windows.select("video_id", "win_idx", F.col("start").alias("w_start"), F.col("end").alias("w_end"))
     said = segments.select(
         "video_id", "seg_idx", "start", "end", F.trim("text").alias("text")
@@ -80,10 +78,8 @@ def window_context(
     pairs = overlapping(
         spans, said, (F.col("w_start") - pad, F.col("w_end") + pad), (F.col("start"), F.col("end"))
     ).select("video_id", "win_idx", "seg_idx", "text")
-    nth = F.row_number().over(W.partitionBy("video_id", "win_idx").orderBy("seg_idx"))
     context = (
-        pairs.withColumn("_nth", nth)
-        .filter(F.col("_nth") <= max_chars)
+        first_n(pairs, ["video_id", "win_idx"], ["seg_idx"], max_chars)
         .groupBy("video_id", "win_idx")
         .agg(F.array_sort(F.collect_list(F.struct("seg_idx", "text"))).alias("_t"))
         .select(
@@ -149,8 +145,6 @@ def frame_changes(frames: DataFrame, threshold: int = 20) -> DataFrame:
 
     ``frames(video_id, frame_idx, ts, hash)``, hash as a 64-bit number.
     """
-    from talkframe.operators.ordered import running_before
-
     ordered = running_before(
         frames, ["video_id"], ["frame_idx"], block_of("frame_idx"),
         {"_prev": ("last", F.struct("ts", "hash"))},

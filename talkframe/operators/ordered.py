@@ -14,6 +14,8 @@ from pyspark.sql import Window as W
 
 BLOCK_ROWS = 100_000
 PART_ROWS = 20_000
+# Up to this rank Spark drops rows beyond the limit before it shuffles.
+RANKED_ROWS = 1000
 
 
 def block_of(index, rows: int = BLOCK_ROWS) -> Column:
@@ -87,6 +89,19 @@ def numbered(df: DataFrame, keys: list[str], index: str, name: str = "pos") -> D
     return df.withColumn(name, F.col(name).cast("long"))
 
 
+def first_n(df: DataFrame, keys: list[str], order: list[str], n: int, block: Column | None = None) -> DataFrame:
+    """The first ``n`` rows of each key by ``order``.
+
+    Spark limits small ranks before the shuffle. For larger ones rows are counted in
+    blocks, by default of the first order column's numbers.
+    """
+    if n <= RANKED_ROWS:
+        nth = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
+        return df.withColumn("_nth", nth).filter(F.col("_nth") <= n).drop("_nth")
+    counted = running_before(df, keys, order, block_of(order[0]) if block is None else block, {"_nth": ("sum", F.lit(1))})
+    return counted.filter(F.col("_nth") < n).drop("_nth")
+
+
 def joined_parts(
     df: DataFrame,
     keys: list[str],

@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talkframe.functions.columns import format_clock
-from talkframe.operators.ordered import block_of, first_by, running_before
+from talkframe.operators.ordered import block_of, first_by, first_n, running_before
 from talkframe.operators.tables import settled
 
 FOLD_ROWS = 20_000
+LONG_BLOCKS = 25
 
 
 def token_estimate(text) -> Column:
@@ -66,7 +67,9 @@ def greedy_chunks(
         short.groupBy(*keys).agg(rows.alias("_rows")).select(*keys, F.posexplode(starts).alias("chunk", "_i"))
         .withColumn("chunk", F.col("chunk").cast("long"))
     )
-    long_starts = _long_chunk_starts(narrow.join(long_keys, keys, "left_semi"), keys, budget, min_items)
+    # Larger blocks keep the chain of statements short.
+    long = narrow.join(long_keys, keys, "left_semi").withColumn("_blk", block_of("_i", block_rows * LONG_BLOCKS))
+    long_starts = _long_chunk_starts(long, keys, budget, min_items)
     started = short_starts.unionByName(long_starts)
     marked = df.withColumn("_i", F.col(index).cast("long")).join(started, [*keys, "_i"], "left")
     filled = running_before(
@@ -213,12 +216,8 @@ def image_budget(section_images: DataFrame, max_images: int = 50) -> DataFrame:
 
     ``section_images(report_id, section_idx, image_idx, ref, resolvable)``.
     """
-    from pyspark.sql import Window as W
-
-    nth = F.row_number().over(W.partitionBy("report_id").orderBy("section_idx", "image_idx"))
-    return (
-        section_images.filter("resolvable").withColumn("_nth", nth).filter(F.col("_nth") <= max_images).drop("_nth")
-    )
+    order = ["section_idx", "image_idx"]
+    return first_n(section_images.filter("resolvable"), ["report_id"], order, max_images)
 
 
 # --- frames ------------------------------------------------------------------

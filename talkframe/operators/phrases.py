@@ -9,6 +9,9 @@ gram and is found once. The rest of the phrase is then compared.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +20,9 @@ SLICE_CHARS = 1024
 # Grams of a phrase table below this size are broadcast; the size is measured first.
 BROADCAST_CHARS = 4_000_000
 BROADCAST_PHRASES = 100_000
+# Cost of the grams of one character at stride 1, in plain searches of one phrase.
+GUARD_COST = 200
+GRAMS = "array<struct<_stride: int, _at: int, _gram: string>>"
 
 
 def _stride_of(length):
@@ -36,6 +42,45 @@ def _phrase_grams(phrases: DataFrame, keys: list[str], phrase: str, scope: list[
     )
 
 
+@dataclass(frozen=True)
+class _Known:
+    """The phrases of one stride: how many, how long, and the phrases themselves if few."""
+
+    rows: int
+    chars: int
+    longest: int
+    phrases: list[str] | None
+
+
+def _few(stride: int) -> int:
+    """Phrases of a stride that are cheaper to look for one by one than by gram (measured)."""
+    return max(GUARD_COST // stride, 1)
+
+
+def _measure(phrases: DataFrame, phrase: str) -> dict[int, _Known]:
+    """Size of the phrase table by stride. Reads the phrases themselves only up to a fixed number."""
+    length = F.length(phrase)
+    texts = phrases.filter(length > 0).select(F.col(phrase).alias("p"), _stride_of(length).alias("q"))
+    head = texts.limit(GUARD_COST + 1).collect()
+    if len(head) <= GUARD_COST:
+        by_stride: dict[int, list[str]] = {}
+        for row in head:
+            by_stride.setdefault(row["q"], []).append(row["p"])
+        return {
+            q: _Known(len(ps), sum(map(len, ps)), max(map(len, ps)), sorted(set(ps)) if len(ps) <= _few(q) else None)
+            for q, ps in by_stride.items()
+        }
+    sizes = texts.groupBy("q").agg(
+        F.count("*").alias("n"), F.sum(F.length("p")).alias("c"), F.max(F.length("p")).alias("m")
+    ).collect()
+    few = [r["q"] for r in sizes if r["n"] <= _few(r["q"])]
+    listed: dict[int, list[str]] = {q: [] for q in few}
+    if few:
+        for row in texts.filter(F.col("q").isin(few)).distinct().collect():
+            listed[row["q"]].append(row["p"])
+    return {r["q"]: _Known(r["n"], r["c"], r["m"], listed.get(r["q"])) for r in sizes}
+
+
 def phrase_hits(
     texts: DataFrame,
     phrases: DataFrame,
@@ -53,17 +98,11 @@ def phrase_hits(
     ``text_keys``, ``scope``, ``phrase_keys``, ``at`` (0-based) and ``length``.
     """
     scope = scope or []
-    length = F.length(phrase)
-    measured = phrases.filter(length > 0).agg(
-        F.count("*").alias("rows"),
-        F.sum(length).alias("chars"),
-        F.max(length).alias("longest"),
-        F.collect_set(_stride_of(length)).alias("strides"),
-    ).first()
-    longest = int(measured["longest"] or 1)
+    known = _measure(phrases, phrase)
+    longest = max((k.longest for k in known.values()), default=1)
     small = (
-        int(measured["rows"]) <= BROADCAST_PHRASES
-        and int(measured["chars"] or 0) <= broadcast_chars
+        sum(k.rows for k in known.values()) <= BROADCAST_PHRASES
+        and sum(k.chars for k in known.values()) <= broadcast_chars
         and longest <= SLICE_CHARS
     )
     grams = _phrase_grams(phrases, phrase_keys, phrase, scope)
@@ -93,11 +132,17 @@ def phrase_hits(
 
     def grams_of(q):
         found = F.regexp_extract_all(F.col("piece"), F.lit(f"(?s).{{{q}}}"), F.lit(0))
-        return F.transform(
+        placed = F.transform(
             found, lambda g, i: F.struct(F.lit(q).alias("_stride"), (i * q).alias("_at"), g.alias("_gram"))
         )
-
-    used = sorted(measured["strides"]) or [1]
+        listed = known[q].phrases if q in known else None
+        if not small or listed is None:
+            return placed
+        # A plain search for a few phrases is cheaper than the grams of a slice without any.
+        here = reduce(lambda x, y: x | y, [F.contains(F.col("body"), F.lit(p)) for p in listed])
+        return F.when(here, placed).otherwise(F.array().cast(GRAMS))
+
+    used = sorted(known) or [1]
     per_stride = [grams_of(q) for q in used]
     # A gram must not end in the next slice: slices hold a whole number of strides,
     # and the last, shorter gram of a text is no full gram of any phrase.

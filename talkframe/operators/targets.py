@@ -8,10 +8,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from talkframe.functions.columns import is_video_id
-from talkframe.operators.ordered import first_by, numbered
+from talkframe.operators.ordered import first_by, first_n, numbered
 from talkframe.operators.phrases import phrase_hits
 
 SHORT_SECONDS = 60
@@ -128,9 +127,8 @@ def select_rows(df: DataFrame, spec: str, index: str, keys: list[str], check: bo
 
 
 def limit_per_source(entries: DataFrame, n: int, source: str = "source_key", position: str = "pos") -> DataFrame:
-    """The first ``n`` entries of each source; the ranking is limited before the shuffle."""
-    nth = F.row_number().over(W.partitionBy(source).orderBy(position))
-    return entries.withColumn("_nth", nth).filter(F.col("_nth") <= n).drop("_nth")
+    """The first ``n`` entries of each source."""
+    return first_n(entries, [source], [position], n)
 
 
 def keep_first(entries: DataFrame, order: list[str], key: str = "video_id") -> DataFrame:
@@ -162,7 +160,9 @@ def merge_language_searches(results: DataFrame, languages: list[str], limit: int
 
 def skip_existing(targets: DataFrame, done: DataFrame) -> DataFrame:
     """Targets not transcribed yet; targets without an id are kept."""
-    return targets.join(done.select("video_id").distinct(), "video_id", "left_anti")
+    # Rows without an id match nothing and would all meet in one task of the join.
+    named = targets.filter("video_id is not null").join(done.select("video_id").distinct(), "video_id", "left_anti")
+    return named.select(*targets.columns).unionByName(targets.filter("video_id is null"))
 
 
 def order_caption_tracks(tracks: DataFrame) -> DataFrame:

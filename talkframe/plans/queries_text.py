@@ -185,10 +185,11 @@ def extract_claims(spark, folder):
     return K.extract_claims(captions(spark, folder), ["doc_id"]).filter("kind <> 'number'").select("doc_id", "kind", "key")
 
 
-@query("extract_number_claims")
+@query("extract_number_claims", with_tables(CAPTIONS, CLAIMS) + r"""
+SELECT DISTINCT doc_id, trim(regexp_replace(v, '[^0-9.]', '', 'g'), '.') AS key FROM numbers n
+WHERE NOT EXISTS (SELECT 1 FROM found f WHERE f.doc_id = n.doc_id AND f.kind = 'url' AND f.k = trim(regexp_replace(v, '[^0-9.]', '', 'g'), '.'))""")
 def extract_number_claims(spark, folder):
-    """Numbers as claims. Neighbouring matches share characters, which RE2 cannot look at twice."""
-    return K.extract_claims(captions(spark, folder), ["doc_id"]).filter("kind = 'number'").select("doc_id", "value", "key")
+    return K.extract_claims(captions(spark, folder), ["doc_id"]).filter("kind = 'number'").select("doc_id", "key")
 
 
 @query("canon_number", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, trim(regexp_replace('$' || printf('%.2f', l_extendedprice) || ' +' || l_linenumber || '%.', '[^0-9.]', '', 'g'), '.') AS canon FROM lineitem")

@@ -222,7 +222,7 @@ def test_greedy_chunks_match_the_fold_in_blocks_of_any_size(spark, least, budget
     r.shuffle(data)
     df = spark.createDataFrame(data, "video_id string, i int, n int").repartition(4)
     want = sorted((k, i, c) for k, ns in sizes.items() for i, c in enumerate(brute_pack(ns, budget, least)))
-    for block in (1, 16, 1000):
+    for block in (1, 3, 16, 1000):
         assert rows(packs.greedy_chunks(df, "i", "n", budget, least, block_rows=block), "video_id", "i", "chunk") == want
 
 
