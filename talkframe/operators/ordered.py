@@ -28,8 +28,9 @@ def running_before(
     df: DataFrame,
     keys: list[str],
     order: list[str],
-    block: Column,
+    block: Column | None,
     aggregates: dict[str, tuple[str, Column]],
+    keep_block: bool = False,
 ) -> DataFrame:
     """Add running aggregates over the rows before each row of its key.
 
@@ -37,8 +38,12 @@ def running_before(
     the first row), ``max`` (null there) or ``last`` (the latest non-null value,
     null there). ``block`` must not fall along ``order``. Blocks bound the size of
     a window group; the carried rows are at most one per block after a key's first.
+
+    ``keep_block`` leaves the block in the result as ``_blk``; a next call with
+    ``block=None`` uses it again, and so needs neither a shuffle nor a sort.
     """
-    df = df.withColumn("_blk", block)
+    if block is not None:
+        df = df.withColumn("_blk", block)
     inputs = {name: f"_in_{name}" for name in aggregates}
     df = df.withColumns({inputs[name]: value for name, (_, value) in aggregates.items()})
 
@@ -75,12 +80,13 @@ def running_before(
         .filter("_nth > 1")
         .select(*keys, "_blk", *carried)
     )
-    return (
+    done = (
         df.withColumns(local)
         .join(carry_rows, [*keys, "_blk"], "left")
         .withColumns(merged)
-        .drop("_blk", *inputs.values(), *carried)
+        .drop(*inputs.values(), *carried)
     )
+    return done if keep_block else done.drop("_blk")
 
 
 def numbered(df: DataFrame, keys: list[str], index: str, name: str = "pos") -> DataFrame:

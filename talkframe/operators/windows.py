@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talkframe.operators.ordered import block_of, first_by, running_before
+from talkframe.operators.tables import settled
 
 BEST = ["reason", "score", "weight", "phrase"]
 
@@ -56,7 +57,7 @@ def merge_windows(windows: DataFrame, max_gap: float = 1.0) -> DataFrame:
     cell = F.floor(F.col("start") / (max_gap / 2)) if max_gap > 0 else F.col("start")
     # A window that ends before it starts may not merge with its neighbours.
     alone = F.when(F.col("end") < F.col("start"), F.col("win_idx"))
-    cells = (
+    cells = settled(
         windows.withColumns({"_cell": cell, "_alone": alone, "_rank": rank})
         .groupBy("video_id", "_cell", "_alone")
         .agg(
@@ -67,10 +68,10 @@ def merge_windows(windows: DataFrame, max_gap: float = 1.0) -> DataFrame:
         )
     )
     order, block = ["_first"], block_of("_cell")
-    reached = running_before(cells, ["video_id"], order, block, {"_reach": ("max", F.col("end"))})
+    reached = running_before(cells, ["video_id"], order, block, {"_reach": ("max", F.col("end"))}, keep_block=True)
     opens = F.col("_reach").isNull() | (F.col("_first.start") > F.col("_reach") + max_gap)
     marked = reached.withColumn("_open", F.when(opens, F.col("_first")))
-    grouped = running_before(marked, ["video_id"], order, block, {"_prev": ("max", F.col("_open"))})
+    grouped = running_before(marked, ["video_id"], order, None, {"_prev": ("max", F.col("_open"))})
     island = F.coalesce("_open", "_prev")
     return (
         grouped.withColumn("_island", island)

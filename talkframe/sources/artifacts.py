@@ -39,11 +39,11 @@ def paragraph_rows(segments: DataFrame) -> DataFrame:
     order, block = ["seg_idx"], block_of("seg_idx")
     first = running_before(
         segments, ["video_id"], order, block,
-        {"_end": ("last", F.col("end")), "_pos": ("sum", F.lit(1))},
+        {"_end": ("last", F.col("end")), "_pos": ("sum", F.lit(1))}, keep_block=True,
     )
     pause = F.col("_end").isNull() | (F.col("start") - F.col("_end") >= PAUSE_SECONDS)
     marked = first.withColumn("_open", F.when(pause, F.col("_pos").cast("long")))
-    runs = running_before(marked, ["video_id"], order, block, {"_prev": ("max", F.col("_open"))})
+    runs = running_before(marked, ["video_id"], order, None, {"_prev": ("max", F.col("_open"))})
     run = F.coalesce("_open", "_prev")
     para = run + F.floor((F.col("_pos") - run) / PARAGRAPH_SEGMENTS) * PARAGRAPH_SEGMENTS
     return runs.withColumn("para", para).drop("_end", "_pos", "_open", "_prev")

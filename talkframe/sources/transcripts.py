@@ -291,10 +291,10 @@ def words_to_segments(word_rows: DataFrame, max_gap: float = 1.0, max_words: int
     )
     ends = F.col("_w").rlike("[.!?…]$")
     order, block = ["word_idx"], block_of("word_idx")
-    seen = running_before(timed, ["video_id"], order, block, {"_last": ("last", F.struct(F.col("_e").alias("e"), ends.alias("stop")))})
+    seen = running_before(timed, ["video_id"], order, block, {"_last": ("last", F.struct(F.col("_e").alias("e"), ends.alias("stop")))}, keep_block=True)
     opens = F.col("_last").isNull() | F.col("_last.stop") | (F.col("_s") - F.col("_last.e") > max_gap)
     marked = seen.withColumn("_open", F.when(opens, F.col("word_idx")))
-    runs = running_before(marked, ["video_id"], order, block, {"_prev": ("max", F.col("_open"))})
+    runs = running_before(marked, ["video_id"], order, None, {"_prev": ("max", F.col("_open"))})
     run = F.coalesce("_open", "_prev")
     # A segment that follows a full one starts where its word starts, or where the last ended.
     starts = F.when(F.col("_last").isNull() | (F.col("_s") != 0), F.col("_s")).otherwise(F.col("_last.e"))
