@@ -222,10 +222,12 @@ def caption_images(spark, folder):
     return found.select("report_id", F.regexp_extract("image", r"(\d+)\.jpg", 1).cast("long").alias("doc_id"), "caption", "image", "issue")
 
 
-@query("ground_claims", """
-WITH v AS (SELECT DISTINCT l_orderkey AS report_id, l_linenumber || '-' || l_partkey || '-' || l_suppkey AS image, l_linenumber % 4 AS k, l_partkey FROM lineitem)
-SELECT report_id, image, kind, CASE kind WHEN 'number' THEN ['ok', 'transcript_grounded', 'hallucination', 'ok'][k + 1] WHEN 'url' THEN ['ok', 'transcript_grounded', 'hallucination', 'hallucination'][k + 1]
-  ELSE ['ok', 'ok', 'unconfirmed', 'ok'][k + 1] END AS verdict FROM v, (VALUES ('number'), ('url'), ('term')) AS x(kind)""")
+VERDICTS = """v AS (SELECT DISTINCT l_orderkey AS report_id, l_linenumber || '-' || l_partkey || '-' || l_suppkey AS image, l_linenumber % 4 AS k, l_partkey FROM lineitem),
+verdicts AS (SELECT report_id, image, kind, CASE kind WHEN 'number' THEN ['ok', 'transcript_grounded', 'hallucination', 'ok'][k + 1] WHEN 'url' THEN ['ok', 'transcript_grounded', 'hallucination', 'hallucination'][k + 1]
+  ELSE ['ok', 'ok', 'unconfirmed', 'ok'][k + 1] END AS verdict FROM v, (VALUES ('number'), ('url'), ('term')) AS x(kind))"""
+
+
+@query("ground_claims", with_tables(VERDICTS) + "SELECT report_id, image, kind, verdict FROM verdicts")
 def ground_claims(spark, folder):
     k = F.col("l_linenumber") % 4
     items = C.table(spark, folder, "lineitem").select(
@@ -246,6 +248,14 @@ def ground_claims(spark, folder):
     return found.select(*keys, "kind", "verdict")
 
 
+@query("grounding_issues", with_tables(VERDICTS) + """
+SELECT report_id, image, count(*) FILTER (verdict = 'hallucination') AS hallucination, count(*) FILTER (verdict = 'transcript_grounded') AS transcript_grounded, count(*) FILTER (verdict = 'unconfirmed') AS unconfirmed,
+  CASE WHEN bool_or(verdict = 'hallucination') THEN 'hallucination' WHEN bool_or(verdict = 'transcript_grounded') THEN 'transcript_grounded' ELSE 'unconfirmed' END AS severity, bool_or(verdict = 'hallucination') AS blocking
+FROM verdicts WHERE verdict <> 'ok' GROUP BY 1, 2""")
+def grounding_issues(spark, folder):
+    return K.grounding_issues(ground_claims(spark, folder))
+
+
 @query("novel_facts", r"""
 WITH lines AS (SELECT lang AS memory, doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
 k AS (SELECT *, trim(lower(regexp_replace(text, '[^\p{L}\p{M}\p{N}]+', ' ', 'g'))) AS key FROM lines)
