@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from talkframe.functions import fixed_values as fixed
 from talkframe.functions.columns import format_duration, none_if_empty, split_fixed, strip
-from talkframe.operators.ordered import PART_ROWS, block_of
+from talkframe.operators.ordered import PART_ROWS, block_of, first_n
 
 FACTS = "candidates array<struct<topic: string, text: string, source_timestamp: string>>"
 
@@ -114,22 +114,29 @@ def parse_outlines(responses: DataFrame) -> DataFrame:
     )
 
 
-def assemble_outline(outlines: DataFrame) -> DataFrame:
+def assemble_outline(outlines: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
     """One outline per video from its chunk outlines, in chunk order.
 
     ``outlines(video_id, chunk, title, summary, sections)``. Title of the first chunk,
-    summaries joined and cut to 500 characters, all sections.
+    summaries joined and cut to 500 characters, all sections. The sections of more
+    than ``part_rows`` chunks come in parts, each with the same head.
     """
-    ordered = outlines.groupBy("video_id").agg(
-        F.array_sort(F.collect_list(F.struct("chunk", "title", "summary", "sections"))).alias("_o")
+    # Every summary adds a character at least, so 500 of them are enough.
+    told = first_n(outlines.filter("summary != ''"), ["video_id"], ["chunk"], 500)
+    summaries = told.groupBy("video_id").agg(
+        F.array_sort(F.collect_list(F.struct("chunk", "summary"))).alias("_s")
+    ).select("video_id", F.substring(F.array_join(F.col("_s.summary"), " "), 1, 500).alias("summary"))
+    heads = outlines.groupBy("video_id").agg(
+        F.min_by("title", "chunk").alias("title"), F.count("*").alias("source_chunks")
     )
-    summaries = F.filter(F.col("_o.summary"), lambda s: s != "")
-    return ordered.select(
-        "video_id",
-        F.get(F.col("_o.title"), F.lit(0)).alias("title"),
-        F.substring(F.array_join(summaries, " "), 1, 500).alias("summary"),
-        F.flatten(F.col("_o.sections")).alias("sections"),
-        F.size("_o").cast("long").alias("source_chunks"),
+    parts = (
+        outlines.select("video_id", block_of("chunk", part_rows).alias("part"), F.struct("chunk", "sections").alias("_o"))
+        .groupBy("video_id", "part")
+        .agg(F.array_sort(F.collect_list("_o")).alias("_o"))
+        .select("video_id", "part", F.flatten(F.col("_o.sections")).alias("sections"))
+    )
+    return parts.join(heads, "video_id").join(summaries, "video_id", "left").select(
+        "video_id", "part", "title", F.coalesce("summary", F.lit("")).alias("summary"), "sections", "source_chunks"
     )
 
 

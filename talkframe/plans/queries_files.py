@@ -111,8 +111,8 @@ def read_channel_feed(spark, folder):
         F.col("user_id").cast("string"), F.lit("</yt:channelId><title>"), F.col("event_type"), F.lit("</title><published>"), stamp,
         F.lit("</published></entry>"),
     )
-    # A feed holds about fifteen entries, so each day of a channel is one feed here.
-    feeds = events.groupBy("user_id", F.to_date("ts").alias("d")).agg(
+    # A feed holds a few entries, so a channel has many feeds here.
+    feeds = events.groupBy("user_id", F.floor(F.col("event_id") / 64).alias("d")).agg(
         F.concat(
             F.lit('<feed xmlns:yt="http://www.youtube.com/xml/schemas/2015" xmlns="http://www.w3.org/2005/Atom">'),
             F.array_join(F.collect_list(entry), ""), F.lit("</feed>"),
@@ -178,15 +178,15 @@ def read_manifest(spark, folder):
 
 @query("build_manifest", with_tables(STATUSES, FAILURES) + """
 , entries AS (SELECT batch, index, status, NULL AS error FROM statuses UNION ALL SELECT batch, index, 'failed', error FROM failures)
-SELECT batch, CAST(count(*) AS BIGINT) AS total, count(*) FILTER (status = 'ok') AS ok, count(*) FILTER (status = 'failed') AS failed,
-       string_agg(index || ':' || status || ':' || coalesce(error, ''), ',' ORDER BY index) AS listed
-FROM entries GROUP BY batch""")
+, stats AS (SELECT batch, count(*) AS total, count(*) FILTER (status = 'ok') AS ok, count(*) FILTER (status = 'failed') AS failed FROM entries GROUP BY batch)
+SELECT batch, index // 20000 AS part, total, ok, failed, string_agg(index || ':' || status || ':' || coalesce(error, ''), ',' ORDER BY index) AS listed
+FROM entries JOIN stats USING (batch) GROUP BY ALL""")
 def build_manifest(spark, folder):
     doc = F.from_json("manifest", "stats struct<total: bigint, ok: bigint, failed: bigint>, videos array<struct<index: bigint, status: string, error: string>>")
     listed = F.array_join(
         F.transform(doc["videos"], lambda v: F.concat(v["index"].cast("string"), F.lit(":"), v["status"], F.lit(":"), F.coalesce(v["error"], F.lit("")))), ","
     )
-    return _manifest(spark, folder).select("batch", doc["stats"]["total"].alias("total"), doc["stats"]["ok"].alias("ok"), doc["stats"]["failed"].alias("failed"), listed.alias("listed"))
+    return _manifest(spark, folder).select("batch", "part", doc["stats"]["total"].alias("total"), doc["stats"]["ok"].alias("ok"), doc["stats"]["failed"].alias("failed"), listed.alias("listed"))
 
 
 @query("manifest_stats", with_tables(STATUSES, FAILURES) + """
@@ -209,7 +209,7 @@ WITH v AS (
   SELECT source AS batch, doc_id AS index, 'https://youtu.be/doc_' || doc_id AS url, lang || ' ' || doc_id AS title, n_chars // 15 AS duration_sec, source, lang, text,
          CASE WHEN doc_id % 13 = 0 THEN 'failed' ELSE 'ok' END AS status, doc_id % 4 = 0 AS poor,
          CAST(DATE '2024-01-01' + CAST(doc_id % 366 AS INTEGER) AS DATE) AS d FROM documents)
-SELECT batch, 0::BIGINT AS part,
+SELECT batch, index // 20000 AS part,
   string_agg(index || '. [' || title || '](' || url || ') — ' || strftime(d, '%Y-%m-%d') || ' • ' || {sql_duration("duration_sec")} || ' • ' || source
              || CASE WHEN status = 'failed' THEN ' • ❌ failed' ELSE '' END, chr(10) ORDER BY index) AS contents,
   string_agg(CASE WHEN status = 'failed' THEN '' ELSE chr(10) || '---' || chr(10) || chr(10) || '## ' || index || '. ' || title || chr(10) || chr(10)
@@ -218,7 +218,7 @@ SELECT batch, 0::BIGINT AS part,
     || '| Channel | ' || source || ' |' || chr(10) || '| Language detected | ' || lang || ' |' || chr(10) || chr(10)
     || regexp_replace(text, '^\\s+|\\s+$', '', 'g') || chr(10)
     || CASE WHEN poor THEN chr(10) || '⚠ **Quality: low_quality** (score=0.25, flags=[looped, high_oov])' || chr(10) ELSE '' END END, '' ORDER BY index) AS sections
-FROM v GROUP BY batch""")
+FROM v GROUP BY 1, 2""")
 def combined_document(spark, folder):
     docs = C.table(spark, folder, "documents")
     doc = F.col("doc_id").cast("string")
@@ -230,7 +230,7 @@ def combined_document(spark, folder):
         F.floor(F.col("n_chars") / 15).alias("duration_sec"), F.col("source").alias("channel"), F.col("lang").alias("language"), "text",
         F.when(F.col("doc_id") % 13 == 0, "failed").otherwise("ok").alias("status"), F.lit(0.25).alias("score"),
         F.array(F.lit("looped"), F.lit("high_oov")).alias("flags"), F.when(poor, "low_quality").otherwise("use_as_is").alias("recommendation"),
-    ), part_rows=1_000_000)
+    ))
 
 
 @query("format_timestamp", "WITH " + C.SEGS + f"""
