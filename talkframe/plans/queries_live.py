@@ -21,9 +21,16 @@ def _stream(spark, folder, name):
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
+def _new_folder(spark, name):
+    folder = shared_folder(spark)
+    if folder is None:
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
 def _run(spark, stream, mode):
     """Run a stream until all input is read; the result table."""
-    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    folder = _new_folder(spark, "stream")
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True)
     if mode == "append":
         query = writer.format("parquet").option("path", f"{folder}/rows").start()
@@ -65,7 +72,7 @@ def stream_cost(spark, folder):
 @query("append_run", with_tables(HISTORY) + "SELECT type, count(*) AS runs, max(timestamp) AS newest FROM history GROUP BY type")
 def append_runs(spark, folder):
     """Two appends to a run log, read back."""
-    path = f"{shared_folder(spark)}/history-{uuid.uuid4().hex}"
+    path = _new_folder(spark, "history")
     runs = history(spark, folder)
     append_run(path, runs.filter("type <= 'error'"))
     append_run(path, runs.filter("type > 'error'"))

@@ -31,9 +31,7 @@ f AS (SELECT *, clean = '' OR plain IN {FILLERS} OR ("end" - start >= 5 AND leng
              AND len(list_distinct([left(w, 4) FOR w IN string_split(plain, ' ') IF w <> ''])) <= 2) AS is_hallucination FROM n)
 SELECT video_id, seg_idx, text, is_hallucination FROM f""")
 def filter_hallucinations(spark, folder):
-    kept, dropped = Q.filter_hallucinations(segments(spark, folder))
-    both = kept.withColumn("is_hallucination", F.lit(False)).unionByName(dropped.withColumn("is_hallucination", F.lit(True)))
-    return both.select("video_id", "seg_idx", "text", "is_hallucination")
+    return Q.flag_hallucinations(segments(spark, folder)).select("video_id", "seg_idx", "text", "is_hallucination")
 
 
 REPETITION = """trigrams AS (
