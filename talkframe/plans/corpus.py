@@ -180,7 +180,7 @@ MEDIA = """media AS (
 
 
 def order_silences(orders: DataFrame) -> DataFrame:
-    start = (F.col("o_orderkey") * 37 % 2400) / 4.0 - F.when(F.col("o_orderkey") % 3 == 0, F.lit(0)).otherwise(F.lit(0))
+    start = (F.col("o_orderkey") * 37 % 2400) / 4.0
     return orders.select(
         F.col("o_custkey").alias("video_id"), start.alias("start"), (start + F.col("o_orderkey") % 5 + 1).alias("end")
     )

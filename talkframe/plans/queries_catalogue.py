@@ -10,7 +10,7 @@ from talkframe.operators import batch as B
 from talkframe.operators import channels as H
 from talkframe.operators import targets as T
 from talkframe.plans import corpus as C
-from talkframe.plans.queries_files import FAILURES, STATUSES, failures, statuses
+from talkframe.plans.queries_files import FAILURES, STATUSES, statuses
 from talkframe.plans.registry import query, with_tables
 
 

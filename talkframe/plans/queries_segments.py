@@ -62,10 +62,9 @@ def non_speech_ratio(spark, folder):
 
 
 OOV = """oov AS (
-  SELECT d.doc_id, CASE WHEN lang = 'de' THEN -1::DOUBLE WHEN count(t.word) = 0 THEN 1::DOUBLE
+  SELECT d.doc_id, CASE WHEN d.lang = 'de' THEN -1::DOUBLE WHEN count(t.word) = 0 THEN 1::DOUBLE
                         ELSE count(DISTINCT t.word) FILTER (v.n < 5) / count(t.word) END AS oov
-  FROM documents d LEFT JOIN tokens t USING (doc_id) LEFT JOIN vocabulary v ON v.language = t.lang AND v.word = t.word GROUP BY d.doc_id, d.lang)""".replace("d.lang)", "d.lang)")
-OOV = OOV.replace("WHEN lang = 'de'", "WHEN d.lang = 'de'")
+  FROM documents d LEFT JOIN tokens t USING (doc_id) LEFT JOIN vocabulary v ON v.language = t.lang AND v.word = t.word GROUP BY d.doc_id, d.lang)"""
 SUPPORTED = ["en", "fr", "es"]
 
 
@@ -205,12 +204,8 @@ FIRST_HIT = """
     SELECT s.video_id, s.seg_idx, t.lang AS rule_lang, lower(t.phrase) AS phrase, weight, length(t.phrase) AS n,
            instr(lower(s.text), lower(t.phrase)) + length(t.phrase) AS place
     FROM segs s JOIN triggers t ON contains(lower(s.text), lower(t.phrase)) AND {rule}) GROUP BY 1, 2, 3"""
-RAW = f"raw AS ({FIRST_HIT.format(rule=chr(116) + '.kind = ' + chr(39) + 'raw' + chr(39))})"
-STRICT = f"strict AS ({FIRST_HIT.format(rule='t.kind = ' + chr(39) + 'strict' + chr(39) + ' AND t.lang = s.lang')})"
-SOFT = """lemma_segs AS (
-  SELECT video_id, seg_idx, lang, string_agg(coalesce(lemma, w), ' ' ORDER BY i) AS t FROM (
-    SELECT video_id, seg_idx, lang, unnest(string_split_regex(trim(lower(text)), '\\s+')) AS w, generate_subscripts(string_split_regex(trim(lower(text)), '\\s+'), 1) AS i FROM segs) x
-  LEFT JOIN lemmas l USING (lang) WHERE FALSE GROUP BY 1, 2, 3)"""
+RAW = "raw AS (" + FIRST_HIT.format(rule="t.kind = 'raw'") + ")"
+STRICT = "strict AS (" + FIRST_HIT.format(rule="t.kind = 'strict' AND t.lang = s.lang") + ")"
 SOFT = """seg_tokens AS (
     SELECT video_id, seg_idx, lang, unnest(string_split_regex(trim(lower(text)), '\\s+')) AS word, generate_subscripts(string_split_regex(trim(lower(text)), '\\s+'), 1) AS i FROM segs),
 lemma_segs AS (

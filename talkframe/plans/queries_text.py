@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from talkframe.functions import columns as X
-from talkframe.functions import fixed_values as fixed
 from talkframe.operators import claims as K
 from talkframe.operators import responses as R
 from talkframe.plans import corpus as C
-from talkframe.plans.registry import query, sql_duration, sql_timestamp, with_tables
+from talkframe.plans.registry import query, sql_duration, with_tables
 
 
 def documents(spark, folder):

@@ -10,7 +10,7 @@ from talkframe.operators import packs as P
 from talkframe.operators import windows as W
 from talkframe.plans import corpus as C
 from talkframe.plans.moments import best_moments as moments_plan
-from talkframe.plans.queries_segments import FIRST_HIT, segments
+from talkframe.plans.queries_segments import FIRST_HIT
 from talkframe.plans.registry import query, with_tables
 
 

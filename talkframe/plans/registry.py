@@ -31,7 +31,8 @@ def sql_timestamp(x: str, separator: str = ".") -> str:
 
 
 def sql_clock(x: str) -> str:
-    return sql_timestamp(f"floor({x})").replace(".%03d", "").rsplit(", CAST(round_even", 1)[0] + ")"
+    t = f"CAST(floor({x}) AS BIGINT)"
+    return f"printf('%02d:%02d:%02d', {t} // 3600, {t} % 3600 // 60, {t} % 60)"
 
 
 def sql_duration(x: str) -> str:

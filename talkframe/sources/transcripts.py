@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkframe.functions.columns import none_if_empty, strip, words
+from talkframe.functions.columns import none_if_empty, strip
 from talkframe.operators.ordered import block_of, running_before
 
 SRT_TIME = r"^(\d{2}):(\d{2}):(\d{2})[,.](\d{3})\s*-->\s*(\d{2}):(\d{2}):(\d{2})[,.](\d{3})\s*$"
