@@ -6,13 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from talkframe.llm.decontaminate import OP3_SQL, op3_decontamination
 from talkframe.llm.packing import op4_best_fit_packing
+from talkframe.llm.quality import op6_quality
 from talkframe.llm.token_counts import op2_token_counts
 from talkframe.llm.token_store import op8_token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
+    "op3_decontamination": op3_decontamination,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op6_quality": op6_quality,
     "op8_token_store": op8_token_store,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op3_decontamination": OP3_SQL,
+}
