@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from talkframe.llm.decontaminate import OP3_SQL, op3_decontamination
+from talkframe.llm.near_dedup import op7_near_dedup
 from talkframe.llm.packing import op4_best_fit_packing
 from talkframe.llm.quality import op6_quality
 from talkframe.llm.token_counts import op2_token_counts
@@ -17,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontamination": op3_decontamination,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op6_quality": op6_quality,
+    "op7_near_dedup": op7_near_dedup,
     "op8_token_store": op8_token_store,
 }
 SQL: dict[str, str] = {
