@@ -24,7 +24,7 @@ from talkframe.llm.storage import column, settle
 #: Minors and members that meet in one cell, each.
 CELL = 96
 #: Ids that are broadcast to find their rows; more are joined by a shuffle.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 1_000_000
 
 
 class Similarity(Protocol):
@@ -157,15 +157,15 @@ def links(items: DataFrame, contents: Callable[[DataFrame], DataFrame], similari
     table of ids. Sizes of linked items have at least the ratio ``ratio``. The links connect the components that all pairs which
     share a key and are linked would; they are not all such pairs.
     """
-    places = items.select("id", "size", F.explode("keys").alias("key"))
-    leaders = places.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("id", "size")).alias("lead")).filter("n > 1")
-    leaders = settle(leaders.select("key", F.col("lead.id").alias("leader"), F.col("lead.size").alias("leader_size")), "leaders")
+    places = items.select("id", F.explode("keys").alias("key"))
+    leaders = settle(places.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("leader")).filter("n > 1").select("key", "leader"), "leaders")
     shared = settle(places.join(bounded(leaders), "key").filter("id <> leader"), "shared-keys")
-    sizes = F.least("size", "leader_size") >= ratio * F.greatest("size", "leader_size")
-    stars = settle(shared.filter(sizes).select("id", "leader").distinct(), "stars")
-    known = items.select("id", "sketch")
+    stars = settle(shared.select("id", "leader").distinct(), "stars")
+    known = items.select("id", "size", "sketch")
     sketched = settle(stars.join(known, "id"), "sketched-once")
-    sketched = sketched.join(known.select(F.col("id").alias("leader"), F.col("sketch").alias("leader_sketch")), "leader")
+    leading = known.select(F.col("id").alias("leader"), F.col("size").alias("leader_size"), F.col("sketch").alias("leader_sketch"))
+    sizes = F.least("size", "leader_size") >= ratio * F.greatest("size", "leader_size")
+    sketched = sketched.join(leading, "leader").filter(sizes).drop("size", "leader_size")
     stars = settle(_pairs_that(sketched, similarity.likely, "sketch", "leader_sketch"), "likely-stars")
 
     # Minors of each key, asked by sketch.
@@ -173,6 +173,7 @@ def links(items: DataFrame, contents: Callable[[DataFrame], DataFrame], similari
     seen = settle(shared.select("key", "id", "leader").join(like, ["id", "leader"], "left").select("key", "id", F.coalesce("like", F.lit(False)).alias("like"), "leader"), "seen")
     open_keys = settle(seen.groupBy("key").agg(F.count("*").alias("n"), F.sum((~F.col("like")).cast("int")).alias("m")).filter("n > 1 and m > 0").select("key"), "open-keys")
     waiting = seen.join(bounded(open_keys), "key").select("key", "id", (~F.col("like")).alias("minor"), F.when(F.col("like"), F.col("leader")).otherwise(F.col("id")).alias("part"))
+    known = known.drop("size")
     waiting = settle(settle(waiting, "waiting").join(known, "id"), "waiting-sketched")
     more = settle(in_cells(_cells(waiting, "key"), ["key", "g", "h"], _ask(similarity.likely, "sketch"), "a bigint, b bigint"), "likely-links")
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from talkframe.llm.decontaminate import OP3_SQL, op3_decontamination
+from talkframe.llm.line_dedup import op1_line_dedup
 from talkframe.llm.near_dedup import op7_near_dedup
 from talkframe.llm.packing import op4_best_fit_packing
 from talkframe.llm.quality import op6_quality
@@ -14,6 +15,7 @@ from talkframe.llm.token_counts import op2_token_counts
 from talkframe.llm.token_store import op8_token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_token_counts": op2_token_counts,
     "op3_decontamination": op3_decontamination,
     "op4_best_fit_packing": op4_best_fit_packing,
