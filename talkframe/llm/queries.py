@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from talkframe.llm.decontaminate import OP3_SQL, op3_decontamination
+from talkframe.llm.embedding_dedup import op10_embedding_dedup
 from talkframe.llm.line_dedup import op1_line_dedup
 from talkframe.llm.near_dedup import op7_near_dedup
 from talkframe.llm.packing import op4_best_fit_packing
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality": op6_quality,
     "op7_near_dedup": op7_near_dedup,
     "op8_token_store": op8_token_store,
+    "op10_embedding_dedup": op10_embedding_dedup,
 }
 SQL: dict[str, str] = {
     "op3_decontamination": OP3_SQL,
