@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from talkframe.llm.decontaminate import OP3_SQL, op3_decontamination
 from talkframe.llm.embedding_dedup import op10_embedding_dedup
+from talkframe.llm.language import op5_language_id
 from talkframe.llm.line_dedup import op1_line_dedup
 from talkframe.llm.near_dedup import op7_near_dedup
 from talkframe.llm.packing import op4_best_fit_packing
+from talkframe.llm.pii import op9_personal_data
 from talkframe.llm.quality import op6_quality
 from talkframe.llm.token_counts import op2_token_counts
 from talkframe.llm.token_store import op8_token_store
@@ -20,9 +22,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_decontamination": op3_decontamination,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_language_id": op5_language_id,
     "op6_quality": op6_quality,
     "op7_near_dedup": op7_near_dedup,
     "op8_token_store": op8_token_store,
+    "op9_personal_data": op9_personal_data,
     "op10_embedding_dedup": op10_embedding_dedup,
 }
 SQL: dict[str, str] = {
