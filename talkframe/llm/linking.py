@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talkframe.llm.components import connected
-from talkframe.llm.storage import column, settle
+from talkframe.llm.storage import column, parts_for, settle
 
 #: Minors and members that meet in one cell, each.
 CELL = 96
@@ -79,9 +79,9 @@ def in_cells(rows: DataFrame, keys: list[str], work: Callable[[pa.Table], dict[s
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
-def _cells(rows: DataFrame, group: str) -> DataFrame:
+def _cells(rows: DataFrame, group: str, parts: int) -> DataFrame:
     """Each minor of a group meets each member in one cell ``(group, g, h)``."""
-    sizes = settle(rows.groupBy(group).agg(F.count("*").alias("n"), F.sum(F.col("minor").cast("int")).alias("m")).filter("n > 1 and m > 0"), "cell-sizes")
+    sizes = settle(rows.groupBy(group).agg(F.count("*").alias("n"), F.sum(F.col("minor").cast("int")).alias("m")).filter("n > 1 and m > 0"), "cell-sizes", parts)
     across, down = F.ceil(F.col("n") / CELL), F.ceil(F.col("m") / CELL)
     placed = rows.join(sizes, group)
     g, h = F.pmod(F.xxhash64("id"), across), F.pmod(F.xxhash64("id", F.lit(7)), down)
@@ -157,39 +157,40 @@ def links(items: DataFrame, contents: Callable[[DataFrame], DataFrame], similari
     table of ids. Sizes of linked items have at least the ratio ``ratio``. The links connect the components that all pairs which
     share a key and are linked would; they are not all such pairs.
     """
+    files = parts_for(items.count())
     places = items.select("id", F.explode("keys").alias("key"))
-    leaders = settle(places.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("leader")).filter("n > 1").select("key", "leader"), "leaders")
-    shared = settle(places.join(bounded(leaders), "key").filter("id <> leader"), "shared-keys")
-    stars = settle(shared.select("id", "leader").distinct(), "stars")
+    leaders = settle(places.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("leader")).filter("n > 1").select("key", "leader"), "leaders", files)
+    shared = settle(places.join(bounded(leaders), "key").filter("id <> leader"), "shared-keys", files)
     known = items.select("id", "size", "sketch")
-    sketched = settle(stars.join(known, "id"), "sketched-once")
     leading = known.select(F.col("id").alias("leader"), F.col("size").alias("leader_size"), F.col("sketch").alias("leader_sketch"))
     sizes = F.least("size", "leader_size") >= ratio * F.greatest("size", "leader_size")
-    sketched = sketched.join(leading, "leader").filter(sizes).drop("size", "leader_size")
-    stars = settle(_pairs_that(sketched, similarity.likely, "sketch", "leader_sketch"), "likely-stars")
+    sketched = shared.select("id", "leader").distinct().join(known, "id").join(leading, "leader").filter(sizes).drop("size", "leader_size")
+    stars = settle(_pairs_that(sketched, similarity.likely, "sketch", "leader_sketch"), "likely-stars", files)
 
     # Minors of each key, asked by sketch.
-    like = stars.withColumn("like", F.lit(True))
-    seen = settle(shared.select("key", "id", "leader").join(like, ["id", "leader"], "left").select("key", "id", F.coalesce("like", F.lit(False)).alias("like"), "leader"), "seen")
-    open_keys = settle(seen.groupBy("key").agg(F.count("*").alias("n"), F.sum((~F.col("like")).cast("int")).alias("m")).filter("n > 1 and m > 0").select("key"), "open-keys")
-    waiting = seen.join(bounded(open_keys), "key").select("key", "id", (~F.col("like")).alias("minor"), F.when(F.col("like"), F.col("leader")).otherwise(F.col("id")).alias("part"))
     known = known.drop("size")
-    waiting = settle(settle(waiting, "waiting").join(known, "id"), "waiting-sketched")
-    more = settle(in_cells(_cells(waiting, "key"), ["key", "g", "h"], _ask(similarity.likely, "sketch"), "a bigint, b bigint"), "likely-links")
-
-    clusters = settle(connected(stars.select(F.col("id").alias("a"), F.col("leader").alias("b")).unionByName(more)), "clusters")
-    held = settle(contents(clusters.select("id")), "contents")
+    like = stars.withColumn("like", F.lit(True))
+    seen = shared.select("key", "id", "leader").join(like, ["id", "leader"], "left").select("key", "id", F.coalesce("like", F.lit(False)).alias("like"), "leader")
+    seen = settle(seen, "seen", files)
+    open_keys = seen.groupBy("key").agg(F.count("*").alias("n"), F.sum((~F.col("like")).cast("int")).alias("m")).filter("n > 1 and m > 0").select("key")
+    waiting = seen.join(bounded(settle(open_keys, "open-keys", files)), "key")
+    part = F.when(F.col("like"), F.col("leader")).otherwise(F.col("id"))
+    waiting = settle(waiting.select("key", "id", (~F.col("like")).alias("minor"), part.alias("part")).join(known, "id"), "waiting", files)
+    more = in_cells(_cells(waiting, "key", files), ["key", "g", "h"], _ask(similarity.likely, "sketch"), "a bigint, b bigint")
+    likely = stars.select(F.col("id").alias("a"), F.col("leader").alias("b")).unionByName(more)
+
+    clusters = settle(connected(likely, files), "clusters", files)
+    held = settle(contents(clusters.select("id")), "contents", files)
 
     # The same, exactly: stars first, then the minors of each cluster.
-    full = settle(stars.join(held, "id"), "content-once").join(held.select(F.col("id").alias("leader"), F.col("content").alias("leader_content")), "leader")
-    sure = settle(_pairs_that(full, similarity.linked, "content", "leader_content").select(F.col("id").alias("a"), F.col("leader").alias("b")), "sure-stars")
-    parts = settle(connected(sure), "parts").withColumnRenamed("component", "part")
-    members = clusters.join(parts, "id", "left").select("id", F.col("component").alias("cluster"), F.coalesce("part", "id").alias("part"))
-    members = settle(members, "members")
+    full = stars.join(held, "id").join(held.select(F.col("id").alias("leader"), F.col("content").alias("leader_content")), "leader")
+    sure = settle(_pairs_that(full, similarity.linked, "content", "leader_content").select(F.col("id").alias("a"), F.col("leader").alias("b")), "sure-stars", files)
+    joined = connected(sure, files).withColumnRenamed("component", "part")
+    members = clusters.join(joined, "id", "left").select("id", F.col("component").alias("cluster"), F.coalesce("part", "id").alias("part"))
+    members = settle(members, "members", files)
     shares = members.groupBy("cluster", "part").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.count("*").alias("parts"))
-    main = settle(shares.filter("parts > 1").select("cluster", "main"), "main-parts")
-    asked = settle(members.join(bounded(main), "cluster").select("cluster", "id", "part", (F.col("part") != F.col("main")).alias("minor")), "asked")
-    asked = settle(asked.join(known, "id"), "asked-sketched").join(held, "id")
-    asked = settle(asked, "asked-full")
-    rest = in_cells(_cells(asked, "cluster"), ["cluster", "g", "h"], _ask(similarity.linked, "content", similarity.likely), "a bigint, b bigint")
-    return settle(sure.unionByName(rest), "sure-links")
+    main = settle(shares.filter("parts > 1").select("cluster", "main"), "main-parts", files)
+    asked = members.join(bounded(main), "cluster").select("cluster", "id", "part", (F.col("part") != F.col("main")).alias("minor"))
+    asked = settle(asked.join(known, "id").join(held, "id"), "asked", files)
+    rest = in_cells(_cells(asked, "cluster", files), ["cluster", "g", "h"], _ask(similarity.linked, "content", similarity.likely), "a bigint, b bigint")
+    return sure.unionByName(rest)

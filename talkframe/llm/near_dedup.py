@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from talkframe.llm.components import connected
 from talkframe.llm.linking import bounded, links
-from talkframe.llm.storage import column, pieces, settle
+from talkframe.llm.storage import column, parts_for, pieces, settle
 
 #: Similarity of a link, in hundredths.
 PERCENT = 85
@@ -209,22 +209,23 @@ def near_groups(documents: DataFrame, percent: int = PERCENT, shingle: int = SHI
     ``doc_id`` link like others but name nothing; a component of such rows alone has no id. An empty table gives no rows.
     """
     rows = settle(sketch_documents(documents, shingle), "sketches")
-    classes = settle(rows.filter("n_shingles > 0").groupBy("digest").agg(F.min("row").alias("id")), "classes")
-    items = settle(rows.join(classes.select("id"), rows["row"] == F.col("id"), "left_semi").select(F.col("row").alias("id"), F.col("n_shingles").alias("size"), "keys", "sketch"), "items")
+    files = parts_for(rows.count())
+    classes = settle(rows.filter("n_shingles > 0").groupBy("digest").agg(F.min("row").alias("id")), "classes", files)
+    items = settle(rows.join(classes.select("id"), rows["row"] == F.col("id"), "left_semi").select(F.col("row").alias("id"), F.col("n_shingles").alias("size"), "keys", "sketch"), "items", files)
     named = rows.select("row", "doc_id", "digest")
 
     def contents(ids: DataFrame) -> DataFrame:
-        wanted = settle(named.join(ids, named["row"] == ids["id"]).select("id", "doc_id", "digest"), "wanted-rows")
+        wanted = settle(named.join(ids, named["row"] == ids["id"]).select("id", "doc_id", "digest"), "wanted-rows", files)
         return _sets_of(documents, wanted, shingle)
 
     found = links(items, contents, SetSimilarity(percent), percent / 100)
-    parts = settle(connected(found), "components")
-    class_parts = settle(classes.join(parts, "id", "left").select("digest", F.coalesce("component", "id").alias("part")), "class-parts")
+    parts = settle(connected(found, files), "components", files)
+    class_parts = settle(classes.join(parts, "id", "left").select("digest", F.coalesce("component", "id").alias("part")), "class-parts", files)
     narrow = rows.select("row", "doc_id", "n_shingles", "digest")
     placed = narrow.join(class_parts, "digest", "left").withColumn("part", F.coalesce("part", "row"))
-    placed = settle(placed, "placed")
+    placed = settle(placed, "placed", files)
     first = placed.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("first"))
-    first = settle(first.select("part", F.col("first.doc_id").alias("component_id"), F.col("first.row").alias("first")), "firsts")
+    first = settle(first.select("part", F.col("first.doc_id").alias("component_id"), F.col("first.row").alias("first")), "firsts", files)
     return placed.join(first, "part").select("doc_id", "n_shingles", "digest", "component_id", (F.col("row") == F.col("first")).alias("first_row"), "row")
 
 

@@ -34,13 +34,19 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/llm/{name}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, written once and read back."""
+def settle(df: DataFrame, name: str, parts: int | None = None) -> DataFrame:
+    """The same rows, written once and read back; in at most ``parts`` files, where a bound on the rows is known."""
     path = new_path(df.sparkSession, name)
+    df = df if parts is None else df.coalesce(parts)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def parts_for(rows: int, each: int = 50_000) -> int:
+    """Files for so many narrow rows: enough for all cores of a small cluster, and of bounded size on any."""
+    return max(8, -(-rows // each))
+
+
 @contextmanager
 def session_setting(spark: SparkSession, key: str, value: str):
     """Holds a session setting while an action runs."""
