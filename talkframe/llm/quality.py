@@ -159,18 +159,19 @@ def isotonic(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return np.concatenate([np.full(int(n), v) for v, _, n in levels]) if levels else np.zeros(0)
 
 
-def fit(statistics: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> QualityModel:
-    """A model from ``statistics`` (``doc_id``, ``statistics``) and ``labels`` (``doc_id``, ``quality`` 0 or 1).
+def fit(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> QualityModel:
+    """A model from texts of ``documents`` and ``labels`` (``doc_id``, ``quality`` 0 or 1), of about ``fit_rows`` labelled ids at most.
 
     Held-out rows and rows without a label teach nothing; a document labelled more than once has the rounded mean. Without both
     labels every score is the share of label 1, or 0.5 without any.
     """
     marked = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("double").alias("label"))
-    marked = marked.filter(~held_out(F.col("doc_id")))
+    marked = settle(marked.filter(~held_out(F.col("doc_id"))), "quality-labels")
     spread = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(SEED)), F.lit(1 << 20))
     keep = min(1 << 20, (fit_rows << 20) // max(1, marked.count()))
     marked = marked.filter(spread < keep).withColumn("calibrates", F.pmod(F.xxhash64(F.lit(SEED), F.col("doc_id")), F.lit(4)) == 0)
-    taught = settle(statistics.join(marked, "doc_id"), "quality-labelled")
+    labelled = documents.select("doc_id", "text").join(F.broadcast(marked.select("doc_id")), "doc_id", "left_semi")
+    taught = settle(document_statistics(labelled).join(F.broadcast(marked), "doc_id"), "quality-labelled")
     width = len(STATISTICS)
     parts = [F.col("statistics")[i] for i in range(width)]
     sums = taught.agg(F.count("*").alias("n"), F.sum("label").alias("ones"), *[F.avg(p).alias(f"m{i}") for i, p in enumerate(parts)], *[F.stddev_pop(p).alias(f"s{i}") for i, p in enumerate(parts)]).first()
@@ -213,33 +214,25 @@ def fit(statistics: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Q
     return model
 
 
-def score(statistics: DataFrame, model: QualityModel) -> DataFrame:
-    """``(doc_id, score)`` of every row."""
-    sent = statistics.sparkSession.sparkContext.broadcast(model)
-
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(sent.value.score(_matrix(batch)))], ["doc_id", "score"])
-
-    return statistics.mapInArrow(apply, "doc_id bigint, score double")
-
-
 def score_quality(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     """``(doc_id, held_out, score, predicted)`` of every row of ``documents``.
 
     A null text is empty and is scored as such. Repeated rows and rows without an id are scored each. Columns other than ``doc_id`` and ``text`` are
     not read. An empty table gives no rows.
     """
-    statistics = settle(document_statistics(documents), "quality-statistics")
-    scored = score(statistics, fit(statistics, labels, fit_rows))
+    sent = documents.sparkSession.sparkContext.broadcast(fit(documents, labels, fit_rows))
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in pieces(batches):
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(sent.value.score(text_statistics(texts)))], ["doc_id", "score"])
+
+    scored = documents.select("doc_id", "text").mapInArrow(apply, "doc_id bigint, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def remove_low_quality(documents: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
     """The rows of ``documents`` whose score is at least ``least``, with their columns as they are."""
-    model = fit(settle(document_statistics(documents), "quality-statistics"), labels)
-    sent = documents.sparkSession.sparkContext.broadcast(model)
+    sent = documents.sparkSession.sparkContext.broadcast(fit(documents, labels))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in pieces(batches):
