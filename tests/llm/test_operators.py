@@ -232,7 +232,7 @@ def test_overlaps_equal_brute_force(spark):
     draw = random.Random(31)
     items = {i: brute.sentence(draw, draw.choice([3, 12, 13, 14, 40])) for i in range(20)} | {20: "", 21: "Kara  kara", 22: "日本 x"}
     texts = {i: " ".join([brute.sentence(draw, draw.randint(0, 30)), draw.choice(list(items.values())).upper(), brute.sentence(draw, 9)]) for i in range(60)}
-    texts |= {100: None, 101: "", 102: "日本 x", 103: items[4] * 3, 104: LONG}
+    texts |= {100: None, 101: "", 102: "日本 x", 103: f"{items[4]} " * 3, 104: LONG}
     docs = clashing(spark.createDataFrame(list(texts.items()), DOCS).repartition(3))
     benchmark = spark.createDataFrame([*items.items(), (0, items[0]), (None, "kara"), (50, None)], "item_id bigint, text string")
     want = sorted(((d, n, h, len(f)) for d, (n, h, f) in brute.overlaps(texts, items).items()), key=str)
