@@ -88,13 +88,14 @@ def failure_hint(spark, folder):
     return errors(spark, folder).select("event_id", X.failure_hint("stage", "stderr").alias("hint"))
 
 
-MIXED = "mixed AS (SELECT doc_id, lang, CASE doc_id % 5 WHEN 0 THEN left(text, 6) || ' привет мир тест' WHEN 1 THEN '日本語のテキスト' || left(text, 3) WHEN 2 THEN '12 34 ' WHEN 3 THEN 'שלום ab' ELSE text END AS t FROM documents)"
+LATIN, CYRILLIC, KANA = "abcdefghijklmnopqrstuvwxyz", "абцдефгхийклмнопярстувшхыз", "あいうえおかきくけこさしすせそたちつてとなにぬねのは"
+MIXED = f"mixed AS (SELECT doc_id, lang, CASE doc_id % 5 WHEN 0 THEN translate(text, '{LATIN}', '{CYRILLIC}') WHEN 1 THEN translate(text, '{LATIN}', '{KANA}') WHEN 2 THEN '12 34 ' WHEN 3 THEN 'שלום ab' ELSE text END AS t FROM documents)"
 
 
 def mixed(spark, folder):
     k = F.col("doc_id") % 5
     t = (
-        F.when(k == 0, F.concat(F.left("text", F.lit(6)), F.lit(" привет мир тест"))).when(k == 1, F.concat(F.lit("日本語のテキスト"), F.left("text", F.lit(3))))
+        F.when(k == 0, F.translate("text", LATIN, CYRILLIC)).when(k == 1, F.translate("text", LATIN, KANA))
         .when(k == 2, F.lit("12 34 ")).when(k == 3, F.lit("שלום ab")).otherwise(F.col("text"))
     )
     return documents(spark, folder).select("doc_id", "lang", t.alias("t"))
@@ -118,9 +119,9 @@ def anchor_language(spark, folder):
 
 
 @query("slug", r"""
-SELECT doc_id, CASE WHEN s = '' THEN 'memory' ELSE s END AS slug FROM (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(trim(left(text, 40))), '[_ ]', '-', 'g'), '[^a-z0-9\-]+', '', 'g'), '-{2,}', '-', 'g'), '-') AS s FROM documents)""")
+SELECT doc_id, CASE WHEN s = '' THEN 'memory' ELSE s END AS slug FROM (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(trim(text)), '[_ ]', '-', 'g'), '[^a-z0-9\-]+', '', 'g'), '-{2,}', '-', 'g'), '-') AS s FROM documents)""")
 def slug(spark, folder):
-    return documents(spark, folder).select("doc_id", X.slug(F.left("text", F.lit(40))).alias("slug"))
+    return documents(spark, folder).select("doc_id", X.slug(F.col("text")).alias("slug"))
 
 
 @query("parse_timestamp", """
@@ -339,12 +340,12 @@ def parse_outlines(spark, folder):
 
 
 @query("assemble_outline", """
-SELECT conv_id AS video_id, arg_min(role || ' ' || turn, turn) AS title, left(string_agg(left(text, 90), ' ' ORDER BY turn), 500) AS summary, string_agg('s' || turn, ',' ORDER BY turn) AS names, count(*) AS source_chunks
+SELECT conv_id AS video_id, arg_min(role || ' ' || turn, turn) AS title, left(string_agg(text, ' ' ORDER BY turn), 500) AS summary, string_agg('s' || turn, ',' ORDER BY turn) AS names, count(*) AS source_chunks
 FROM conversations GROUP BY conv_id""")
 def assemble_outline(spark, folder):
     turn = F.col("turn").cast("string")
     outlines = C.table(spark, folder, "conversations").select(
-        F.col("conv_id").alias("video_id"), F.col("turn").alias("chunk"), F.concat("role", F.lit(" "), turn).alias("title"), F.left("text", F.lit(90)).alias("summary"),
+        F.col("conv_id").alias("video_id"), F.col("turn").alias("chunk"), F.concat("role", F.lit(" "), turn).alias("title"), F.col("text").alias("summary"),
         F.array(F.concat(F.lit("s"), turn)).alias("sections"),
     )
     out = R.assemble_outline(outlines)

@@ -14,12 +14,6 @@ from talkframe.operators.cost import price_calls
 from talkframe.operators.targets import DateWindow
 
 
-def checkpoint_folder(spark: SparkSession, name: str, fallback: str) -> str:
-    """Folder for a query's progress: under the cluster's shared folder, else ``fallback``."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{(shared or fallback).rstrip('/')}/{name}"
-
-
 def stream_new_entries(
     entries: DataFrame,
     channels: DataFrame,
@@ -29,10 +23,16 @@ def stream_new_entries(
     """New entries of followed channels, each video once.
 
     ``entries`` streams ``(channel_id, video_id, pos, published, …)``. A video that is
-    listed again within ``lateness`` of its time is dropped; state older than that goes.
+    listed again within ``lateness`` of its arrival is dropped; state older than that goes.
+    When a video was published plays no part: old and undated entries are as new as others.
     """
-    fresh = new_entries(entries, channels, window)
-    return fresh.withWatermark("published", lateness).dropDuplicatesWithinWatermark(["channel_id", "video_id"])
+    return _once(new_entries(entries, channels, window), lateness)
+
+
+def _once(entries: DataFrame, lateness: str) -> DataFrame:
+    """Each video once, by the time at which it arrives."""
+    arrived = entries.withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", lateness)
+    return arrived.dropDuplicatesWithinWatermark(["channel_id", "video_id"]).drop("_arrived")
 
 
 def follow_channels(
@@ -62,9 +62,8 @@ def follow_channels(
         finally:
             fresh.unpersist()
 
-    once = entries.withWatermark("published", "7 days").dropDuplicatesWithinWatermark(["channel_id", "video_id"])
     return (
-        once.writeStream.foreachBatch(apply)
+        _once(entries, "7 days").writeStream.foreachBatch(apply)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()
