@@ -143,7 +143,12 @@ class SetSimilarity:
 def intersections(a: list[np.ndarray], b: list[np.ndarray], of: np.ndarray, to: np.ndarray) -> np.ndarray:
     """Sizes of the intersections of the given pairs of sets."""
     if len(of) < 4 * (len(a) + len(b)):
-        return np.array([len(np.intersect1d(a[i], b[j], assume_unique=True)) for i, j in zip(of.tolist(), to.tolist())], np.int64)
+        out = np.zeros(len(of), np.int64)
+        for k, (i, j) in enumerate(zip(of.tolist(), to.tolist())):
+            both = np.concatenate([a[i], b[j]])
+            both.sort()
+            out[k] = (both[1:] == both[:-1]).sum()
+        return out
     # Many pairs of few sets: products of their membership tables, some columns at a time.
     sets = a + b
     owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
