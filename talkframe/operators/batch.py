@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talkframe.functions.columns import format_duration, strip
-from talkframe.operators.ordered import PART_ROWS, block_of, joined_parts
+from talkframe.operators.ordered import PART_ROWS, joined_parts, with_parts
 
 
 def batch_outcome(statuses: DataFrame) -> DataFrame:
@@ -49,13 +49,14 @@ def build_manifest(statuses: DataFrame, failures: DataFrame, meta: DataFrame, pa
     """Manifest of each batch as JSON: ``(batch, part, manifest)``.
 
     ``meta(batch, created_at, source_type, source_url, backend, language)``. Entries are
-    in ``index`` order. A batch of more than ``part_rows`` indexes gives several
+    in ``index`` order. A batch of more than ``part_rows`` videos gives several
     manifests of consecutive entries, each with the stats of the whole batch.
     """
     entries = manifest_entries(statuses, failures)
     fields = [c for c in entries.columns if c != "batch"]
     videos = (
-        entries.select("batch", block_of("index", part_rows).alias("part"), F.struct("index", F.struct(*fields).alias("v")).alias("_e"))
+        with_parts(entries, ["batch"], "index", part_rows)
+        .select("batch", "part", F.struct("index", F.struct(*fields).alias("v")).alias("_e"))
         .groupBy("batch", "part")
         .agg(F.array_sort(F.collect_list("_e")).alias("_e"))
         .select("batch", "part", F.col("_e.v").alias("videos"))

@@ -108,6 +108,14 @@ def first_n(df: DataFrame, keys: list[str], order: list[str], n: int, block: Col
     return counted.filter(F.col("_nth") < n).drop("_nth")
 
 
+def with_parts(df: DataFrame, keys: list[str], index: str, part_rows: int = PART_ROWS, dense: bool = False) -> DataFrame:
+    """Add ``part``: the rows of a key in order of ``index``, ``part_rows`` to a part."""
+    if dense:
+        return df.withColumn("part", block_of(index, part_rows))
+    placed = numbered(df, keys, index, "_place")
+    return placed.withColumn("part", block_of("_place", part_rows)).drop("_place")
+
+
 def joined_parts(
     df: DataFrame,
     keys: list[str],
@@ -116,13 +124,16 @@ def joined_parts(
     separator: str,
     name: str,
     part_rows: int = PART_ROWS,
+    dense: bool = False,
 ) -> DataFrame:
-    """Join the pieces of a key in order, as parts of at most ``part_rows`` pieces.
+    """Join the pieces of a key in order, as parts of ``part_rows`` pieces.
 
-    Part 0 is the whole document of all but giant keys. Concatenating a key's
-    parts in order, with the separator between, gives the document.
+    Parts count pieces, whatever the values of ``index``; ``dense`` says that it counts
+    from 0 without gaps. Part 0 is the whole document of all but giant keys. Concatenating
+    a key's parts in order, with the separator between, gives the document.
     """
-    rows = df.select(*keys, block_of(index, part_rows).alias("part"), F.struct(F.col(index), piece.alias("_piece")).alias("_p"))
+    rows = df.select(*keys, F.col(index), piece.alias("_piece"))
+    rows = with_parts(rows, keys, index, part_rows, dense).select(*keys, "part", F.struct(F.col(index), "_piece").alias("_p"))
     return (
         rows.groupBy(*keys, "part")
         .agg(F.array_sort(F.collect_list("_p")).alias("_p"))

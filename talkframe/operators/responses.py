@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from talkframe.functions import fixed_values as fixed
 from talkframe.functions.columns import format_duration, none_if_empty, split_fixed, strip
-from talkframe.operators.ordered import PART_ROWS, block_of, first_n
+from talkframe.operators.ordered import PART_ROWS, first_n, with_parts
 
 FACTS = "candidates array<struct<topic: string, text: string, source_timestamp: string>>"
 
@@ -130,7 +130,8 @@ def assemble_outline(outlines: DataFrame, part_rows: int = PART_ROWS) -> DataFra
         F.min_by("title", "chunk").alias("title"), F.count("*").alias("source_chunks")
     )
     parts = (
-        outlines.select("video_id", block_of("chunk", part_rows).alias("part"), F.struct("chunk", "sections").alias("_o"))
+        with_parts(outlines, ["video_id"], "chunk", part_rows)
+        .select("video_id", "part", F.struct("chunk", "sections").alias("_o"))
         .groupBy("video_id", "part")
         .agg(F.array_sort(F.collect_list("_o")).alias("_o"))
         .select("video_id", "part", F.flatten(F.col("_o.sections")).alias("sections"))
@@ -198,7 +199,8 @@ def prompt_pack(videos: DataFrame, max_chars: int = 60_000, part_rows: int = PAR
         .otherwise(cut)
     )
     block = F.concat(F.col("header"), F.lit("\n\n"), body, F.lit("\n\n---\n"))
-    rows = prompt_headers(videos).select("pack_id", block_of("pos", part_rows).alias("part"), F.struct("pos", block.alias("b")).alias("_p"))
+    placed = with_parts(prompt_headers(videos), ["pack_id"], "pos", part_rows)
+    rows = placed.select("pack_id", "part", F.struct("pos", block.alias("b")).alias("_p"))
     return (
         rows.groupBy("pack_id", "part")
         .agg(F.array_sort(F.collect_list("_p")).alias("_p"))

@@ -179,8 +179,8 @@ def read_manifest(spark, folder):
 @query("build_manifest", with_tables(STATUSES, FAILURES) + """
 , entries AS (SELECT batch, index, status, NULL AS error FROM statuses UNION ALL SELECT batch, index, 'failed', error FROM failures)
 , stats AS (SELECT batch, count(*) AS total, count(*) FILTER (status = 'ok') AS ok, count(*) FILTER (status = 'failed') AS failed FROM entries GROUP BY batch)
-SELECT batch, index // 20000 AS part, total, ok, failed, string_agg(index || ':' || status || ':' || coalesce(error, ''), ',' ORDER BY index) AS listed
-FROM entries JOIN stats USING (batch) GROUP BY ALL""")
+SELECT batch, part, total, ok, failed, string_agg(index || ':' || status || ':' || coalesce(error, ''), ',' ORDER BY index) AS listed
+FROM (SELECT *, (row_number() OVER (PARTITION BY batch ORDER BY index) - 1) // 20000 AS part FROM entries) JOIN stats USING (batch) GROUP BY ALL""")
 def build_manifest(spark, folder):
     doc = F.from_json("manifest", "stats struct<total: bigint, ok: bigint, failed: bigint>, videos array<struct<index: bigint, status: string, error: string>>")
     listed = F.array_join(
@@ -208,8 +208,8 @@ def error_log(spark, folder):
 WITH v AS (
   SELECT source AS batch, doc_id AS index, 'https://youtu.be/doc_' || doc_id AS url, lang || ' ' || doc_id AS title, n_chars // 15 AS duration_sec, source, lang, text,
          CASE WHEN doc_id % 13 = 0 THEN 'failed' ELSE 'ok' END AS status, doc_id % 4 = 0 AS poor,
-         CAST(DATE '2024-01-01' + CAST(doc_id % 366 AS INTEGER) AS DATE) AS d FROM documents)
-SELECT batch, index // 20000 AS part,
+         CAST(DATE '2024-01-01' + CAST(doc_id % 366 AS INTEGER) AS DATE) AS d, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 20000 AS part FROM documents)
+SELECT batch, part,
   string_agg(index || '. [' || title || '](' || url || ') — ' || strftime(d, '%Y-%m-%d') || ' • ' || {sql_duration("duration_sec")} || ' • ' || source
              || CASE WHEN status = 'failed' THEN ' • ❌ failed' ELSE '' END, chr(10) ORDER BY index) AS contents,
   string_agg(CASE WHEN status = 'failed' THEN '' ELSE chr(10) || '---' || chr(10) || chr(10) || '## ' || index || '. ' || title || chr(10) || chr(10)

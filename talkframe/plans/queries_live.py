@@ -53,11 +53,13 @@ def stream_new_entries(spark, folder):
 
 
 @query("stream_merge_windows", with_tables(C.WINDOWS, MERGED.format(source="windows", gap=1)) + """
-SELECT video_id, start, "end", reason, score, weight, phrase FROM merged WHERE "end" + 1 < (SELECT max(start) - 600 FROM windows)""")
+SELECT video_id, start, "end", reason, score, weight, phrase FROM merged""")
 def stream_merge_windows(spark, folder):
-    """Windows that are final once the stream has moved ten minutes past them."""
+    """All windows, those open at the end closed by the last batch."""
     windows = C.event_windows(_stream(spark, folder, "events")).withColumn("start_at", F.timestamp_millis((F.col("start") * 1000).cast("long")))
-    return _run(spark, L.stream_merge_windows(windows), "append")
+    out = _run(spark, L.stream_merge_windows(windows), "complete")
+    newest = out.agg(F.max("batch").alias("batch"))
+    return out.join(F.broadcast(newest), "batch", "left_semi").drop("batch")
 
 
 @query("stream_cost", with_tables(C.CALLS, C.PRICES) + f"""

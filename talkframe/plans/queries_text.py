@@ -280,11 +280,11 @@ def facts(spark, folder):
 
 @query("append_facts", with_tables(FACTS) + """,
 clean AS (SELECT memory, coalesce(source_url, '(unknown source)') AS source_url, coalesce(nullif(trim(topic), ''), 'Notes') AS topic, trim(text) AS text, source_timestamp, fact_idx FROM facts WHERE trim(text) <> ''),
-dated AS (SELECT *, min(fact_idx) OVER w AS first_idx, first_value(source_timestamp) OVER (PARTITION BY memory, source_url, topic ORDER BY fact_idx) AS stamp FROM clean WINDOW w AS (PARTITION BY memory, source_url, topic))
-SELECT memory, source_url, topic, fact_idx // 20000 AS part, first_idx, count(*) AS facts,
+dated AS (SELECT *, (row_number() OVER (PARTITION BY memory, source_url, topic ORDER BY fact_idx) - 1) // 20000 AS part, min(fact_idx) OVER w AS first_idx, first_value(source_timestamp) OVER (PARTITION BY memory, source_url, topic ORDER BY fact_idx) AS stamp FROM clean WINDOW w AS (PARTITION BY memory, source_url, topic))
+SELECT memory, source_url, topic, part, first_idx, count(*) AS facts,
   '## 2026-01-01 — ' || topic || chr(10) || string_agg('- ' || text, chr(10) ORDER BY fact_idx) || chr(10) || chr(10) || 'Source: ' || source_url
   || coalesce(' | ' || stamp, '') || chr(10) || 'Approved: 2026-01-01' || chr(10) AS section
-FROM dated GROUP BY memory, source_url, topic, fact_idx // 20000, first_idx, stamp""")
+FROM dated GROUP BY memory, source_url, topic, part, first_idx, stamp""")
 def append_facts(spark, folder):
     return K.append_facts(facts(spark, folder), "2026-01-01").drop("section_date")
 
@@ -362,7 +362,7 @@ def split_fixed(spark, folder):
 WITH v AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS pos, doc_id, lang, n_chars, text FROM documents),
 b AS (SELECT source, doc_id, pos, '### [' || doc_id || '] doc ' || doc_id || ' (' || CASE WHEN doc_id % 3 <> 0 THEN '2024-01-02, ' ELSE '' END || CASE WHEN n_chars // 15 >= 3600 THEN 'long' ELSE printf('%d:%02d', n_chars // 15 // 60, n_chars // 15 % 60) END || ', ' || lang || ')'
   || CASE WHEN doc_id % 2 = 0 THEN chr(10) || 'Source: u' || doc_id ELSE '' END || chr(10) || chr(10) || CASE WHEN length(text) <= 400 THEN text ELSE rtrim(left(text, 400)) || chr(10) || '[...truncated...]' END || chr(10) || chr(10) || '---' || chr(10) AS block FROM v)
-SELECT source AS pack_id, doc_id // 20000 AS part, string_agg(block, chr(10) ORDER BY pos) AS prompt FROM b GROUP BY 1, 2""")
+SELECT source AS pack_id, (pos - 1) // 20000 AS part, string_agg(block, chr(10) ORDER BY pos) AS prompt FROM b GROUP BY 1, 2""")
 def prompt_pack(spark, folder):
     doc = F.col("doc_id").cast("string")
     videos = documents(spark, folder).select(

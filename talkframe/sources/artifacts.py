@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talkframe.functions.columns import format_timestamp, strip
-from talkframe.operators.ordered import PART_ROWS, block_of, joined_parts, numbered, running_before
+from talkframe.operators.ordered import PART_ROWS, block_of, joined_parts, numbered, running_before, with_parts
 
 PAUSE_SECONDS = 2.0
 PARAGRAPH_SEGMENTS = 5
@@ -22,7 +22,7 @@ def to_srt(segments: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
         (F.col("_pos") + 1).cast("string"), F.lit("\n"), format_timestamp("start", ","), F.lit(" --> "),
         format_timestamp("end", ","), F.lit("\n"), strip("text"), F.lit("\n"),
     )
-    return joined_parts(placed, ["video_id"], "_pos", block, "\n", "srt", part_rows)
+    return joined_parts(placed, ["video_id"], "_pos", block, "\n", "srt", part_rows, dense=True)
 
 
 def to_timestamped_txt(segments: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
@@ -68,7 +68,8 @@ def to_transcript_json(videos: DataFrame, segments: DataFrame, part_rows: int =
     """
     item = F.struct("start", "end", "text")
     grouped = (
-        segments.select("video_id", block_of("seg_idx", part_rows).alias("part"), F.struct("seg_idx", item.alias("s")).alias("_s"))
+        with_parts(segments, ["video_id"], "seg_idx", part_rows)
+        .select("video_id", "part", F.struct("seg_idx", item.alias("s")).alias("_s"))
         .groupBy("video_id", "part")
         .agg(F.array_sort(F.collect_list("_s")).alias("_s"))
         .select("video_id", "part", F.col("_s.s").alias("segments"))

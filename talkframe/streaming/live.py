@@ -82,7 +82,9 @@ def stream_merge_windows(windows: DataFrame, max_gap: float = 1.0, lateness: str
     ``windows`` streams ``(video_id, start_at, start, end, …)``, ``start_at`` the
     window's time as a timestamp. A session stays open for the window's length plus
     the gap, which is the merge rule of the batch operator; windows later than
-    ``lateness`` are dropped.
+    ``lateness`` are dropped. In append mode a window comes out once it is final; the
+    last batch of complete mode also has those still open, so a stream that ends is
+    closed with it and then equals the batch operator.
     """
     length = F.expr(f"make_interval(0, 0, 0, 0, 0, 0, cast(end - start + {max_gap} as decimal(18, 6)))")
     session = F.session_window("start_at", length)
