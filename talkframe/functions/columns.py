@@ -25,11 +25,6 @@ def none_if_empty(value) -> Column:
     return F.nullif(_col(value), F.lit(""))
 
 
-def squeeze(value) -> Column:
-    """Trim, and turn every run of (Unicode) white space into one space."""
-    return F.trim(F.regexp_replace(_col(value), r"(?U)\s+", " "))
-
-
 def words(value) -> Column:
     """White-space separated tokens; no tokens for blank text."""
     return F.array_remove(F.split(_col(value), r"(?U)\s+"), "")

@@ -352,34 +352,7 @@ REPORT_TYPES = {
 }
 DEFAULT_REPORT_TYPE = "generic"
 
-# --- fixed values: trigger phrases matched in any language -------------------
-UNIVERSAL_TRIGGERS = [
-    "look here",
-    "pay attention",
-    "see this code",
-    "this is important",
-    "for example",
-    "step by step",
-    "demonstrate",
-    "result",
-    "diagram",
-    "notice this",
-    "key point",
-    "remember this",
-    "important note",
-    "watch closely",
-    "the trick is",
-    "the catch is",
-    "this part",
-    "see the difference",
-    "this is how",
-    "let me show you",
-    "right here",
-    "as you can see",
-    "the result is",
-    "compare these",
-    "before and after",
-]
+
 UNIVERSAL_THRESHOLD = 0.65
 SOFT_SCORE = 0.9
 ENGLISH_DETERMINERS = ["the", "a", "an", "this", "that", "these", "those"]

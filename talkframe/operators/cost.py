@@ -14,13 +14,14 @@ def default_prices(spark) -> DataFrame:
     return small_table(spark, fixed.MODEL_PRICES, "model string, input_rate double, output_rate double")
 
 
-def price_calls(calls: DataFrame, prices: DataFrame) -> DataFrame:
+def price_calls(calls: DataFrame, prices: DataFrame | None = None) -> DataFrame:
     """Add ``cost_usd`` and ``priced``. A model without a price costs 0.
 
     ``calls(run_id, stage, model, prompt_tokens, output_tokens, cached_tokens)``,
-    ``prices(model, input_rate, output_rate)`` per million tokens. Cached tokens cost
-    a quarter.
+    ``prices(model, input_rate, output_rate)`` per million tokens, by default
+    the known models. Cached tokens cost a quarter.
     """
+    prices = default_prices(calls.sparkSession) if prices is None else prices
     fresh = F.greatest(F.lit(0), F.col("prompt_tokens") - F.col("cached_tokens"))
     cost = (
         fresh / 1_000_000 * F.col("input_rate")

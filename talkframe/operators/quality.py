@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from talkframe.functions import fixed_values as fixed
 from talkframe.functions.columns import words
 from talkframe.operators.phrases import phrase_hits
-from talkframe.operators.tables import settled
+from talkframe.operators.tables import settled, small_table
 
 
 # --- segment filter ----------------------------------------------------------
@@ -166,17 +166,21 @@ def quality_report(
     videos: DataFrame,
     segments: DataFrame,
     dictionary: DataFrame,
-    phrases: DataFrame,
+    phrases: DataFrame | None = None,
     supported: list[str] | None = None,
 ) -> DataFrame:
     """Score, measures, flags and recommendation of each video.
 
     ``videos(video_id, language, source, text)`` and, optionally, ``perplexity`` (0–1,
-    null or negative where unknown). Manual captions score 1 and mostly-music videos
+    null or negative where unknown) or ``mean_perplexity``, which gives it. ``phrases(phrase)``
+    are by default the common closing lines. Manual captions score 1 and mostly-music videos
     0.3 without the costly measures: they are split off before those joins.
     """
-    has_perplexity = "perplexity" in videos.columns
-    if not has_perplexity:
+    if phrases is None:
+        phrases = small_table(videos.sparkSession, [(p,) for p in fixed.BOILERPLATE_PHRASES], "phrase string")
+    if "perplexity" not in videos.columns and "mean_perplexity" in videos.columns:
+        videos = videos.withColumn("perplexity", perplexity_score("mean_perplexity"))
+    if "perplexity" not in videos.columns:
         videos = videos.withColumn("perplexity", F.lit(None).cast("double"))
     manual = F.coalesce(F.col("source") == "youtube_manual", F.lit(False))
     no_flags = F.array().cast("array<string>")

@@ -117,7 +117,8 @@ def select_rows(df: DataFrame, spec: str, index: str, keys: list[str], check: bo
     """
     ranges = parse_selection(spec)
     highest = max(hi for _, hi in ranges)
-    placed = numbered(df, keys, index, "_pos")
+    # Rows beyond the last position asked for go before the shuffle.
+    placed = numbered(first_n(df, keys, [index], highest), keys, index, "_pos")
     if check:
         short = df.groupBy(*keys).count().filter(F.col("count") < highest).select(*keys).first()
         if short is not None:
@@ -186,6 +187,8 @@ def source_for_transcript(files: DataFrame, videos: DataFrame) -> DataFrame:
     names = videos.select("batch", "index", "url", F.lit(0).alias("rule"), F.col("video_id").alias("needle")).unionByName(
         videos.select("batch", "index", "url", F.lit(1).alias("rule"), F.replace("title", F.lit(" "), F.lit("_")).alias("needle"))
     ).filter(F.coalesce("needle", F.lit("")) != "")
+    # Videos of one title are one needle with the first of them, before anything is searched.
+    names = first_by(names, ["batch", "rule", "needle"], [F.col("index")])
     hits = phrase_hits(
         files.select("batch", "stem").distinct(), names, ["stem"], ["rule", "index", "url"],
         text="stem", phrase="needle", scope=["batch"],

@@ -15,12 +15,7 @@ from talkframe.operators.tables import small_table
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table, spread over all cores where its files alone would give fewer tasks."""
-    df = spark.read.parquet(f"{folder}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in ("documents", "conversations", "pages") and df.rdd.getNumPartitions() < cores:
-        df = df.repartition(cores)
-    return df
+    return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
 def doc_segments(documents: DataFrame) -> DataFrame:

@@ -5,12 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talkframe.operators.channels import advance_cursor, new_entries, require_cursor
 from talkframe.operators.intervals import refine_by_frame_diff, window_context
 from talkframe.operators.matching import match_segments
 from talkframe.operators.quality import filter_hallucinations
 from talkframe.operators.tables import settled
-from talkframe.operators.targets import DateWindow, match_titles
 from talkframe.operators.windows import detection_windows, merge_windows, select_by_budget
 
 
@@ -36,13 +34,3 @@ def best_moments(
         windows = refine_by_frame_diff(windows, frames)
     chosen = settled(select_by_budget(settled(windows), durations, max_windows))
     return window_context(chosen, kept).withColumn("priority", F.col("score") * F.col("weight"))
-
-
-def update_channels(
-    channels: DataFrame, listing: DataFrame, window: DateWindow | None = None, title_pattern: str | None = None
-) -> tuple[DataFrame, DataFrame]:
-    """One incremental run: (candidates, channels with moved cursors)."""
-    require_cursor(channels, window)
-    entries = new_entries(listing, channels, window)
-    candidates = match_titles(entries, title_pattern)
-    return candidates, advance_cursor(channels, entries, window is not None, candidates)

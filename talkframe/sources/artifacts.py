@@ -105,11 +105,6 @@ def write_documents(documents: DataFrame, path: str, column: str, key: str = "vi
     )
 
 
-def write_json_rows(documents: DataFrame, path: str, column: str) -> None:
-    """Write one JSON document a line."""
-    documents.select(F.col(column).alias("value")).write.mode("overwrite").text(path)
-
-
 def write_log(entries: DataFrame, path: str) -> bool:
     """Write log entries in order; nothing is written, and False returned, without entries."""
     if entries.select(F.lit(1)).limit(1).count() == 0:

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from talkframe.functions import columns as X
+from talkframe.functions.fixed_values import MODEL_PRICES
 from talkframe.operators import channels, claims, cost, detect, intervals, matching, packs, phrases, quality, responses, targets, windows
 from talkframe.operators.ordered import block_of, running_before
 
@@ -333,3 +334,17 @@ def test_streamed_entries_of_several_batches_are_all_there(spark, tmp_path):
     query = live.stream_new_entries(stream, known).writeStream.option("checkpointLocation", str(tmp_path / "progress")).trigger(availableNow=True).format("parquet").option("path", str(tmp_path / "out")).start()
     query.awaitTermination()
     assert rows(spark.read.parquet(str(tmp_path / "out")), "video_id") == [("new1",), ("new2",), ("old1",), ("old2",), ("old3",)]
+
+
+def test_defaults_are_used(spark):
+    """Known prices and closing lines where no table is given, and a mean perplexity as one part of the score."""
+    calls = spark.createDataFrame([("r", "s", m[0], 1_000_000, 0, 0) for m in MODEL_PRICES], "run_id string, stage string, model string, prompt_tokens bigint, output_tokens bigint, cached_tokens bigint")
+    assert {r.priced for r in cost.price_calls(calls).collect()} == {True}
+    text = "Thank you for watching. " * 8
+    schema = "video_id string, language string, source string, text string, mean_perplexity double"
+    videos = spark.createDataFrame([("a", "en", "whisper", text, None), ("b", "en", "whisper", text, 500.0)], schema)
+    words = spark.createDataFrame([("en", w) for w in ("thank", "you", "for", "watching")], "language string, word string")
+    one = spark.createDataFrame([(v, 0, 0.0, 12.0, text) for v in "ab"], SEG)
+    got = {r.video_id: r for r in quality.quality_report(videos, one, words).collect()}
+    assert "boilerplate_hallucinations" in got["a"].flags and got["b"].perplexity == 1.0 and "high_perplexity" in got["b"].flags
+    assert got["a"].score > got["b"].score
