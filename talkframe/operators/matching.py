@@ -13,6 +13,7 @@ from talkframe.operators.phrases import phrase_hits
 
 SEGMENT = ["video_id", "seg_idx"]
 VECTORS_PER_PASS = 4096
+DEFAULT_LANGUAGE = "en"
 
 
 def parse_phrases(entries: DataFrame) -> DataFrame:
@@ -164,17 +165,20 @@ def match_universal(
 ) -> DataFrame:
     """Nearest phrase of each segment by cosine, where it reaches the threshold.
 
-    ``vectors(keys, embedding)``, ``phrase_vectors(seq, phrase, weight, embedding)``, all of
-    one width; the first phrase in ``seq`` wins ties. Phrases come in passes of a
+    ``vectors(keys, embedding)``, ``phrase_vectors(seq, phrase, weight, embedding)``. The widest
+    phrase sets the width; vectors that are null, hold nulls or have another width match
+    nothing. The first phrase in ``seq`` wins ties. Phrases come in passes of a
     bounded number: each pass is one step inside the same tasks, so no pair of
     segment and phrase becomes a row and nothing is shuffled but the final lookup.
     """
     import numpy as np
 
     keys = keys or SEGMENT
-    count = phrase_vectors.count()
-    passes = max(1, -(-count // vectors_per_pass))
-    best = vectors.select(
+    size = phrase_vectors.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("width")).first()
+    usable = (F.size("embedding") == (size["width"] or 0)) & F.forall("embedding", lambda x: x.isNotNull())
+    phrase_vectors = phrase_vectors.filter(usable)
+    passes = max(1, -(-size["n"] // vectors_per_pass))
+    best = vectors.filter(usable).select(
         *keys, "embedding", F.lit(-2.0).alias("_cos"), F.lit(1 << 62).cast("long").alias("_nr")
     )
     slot = F.pmod(F.xxhash64("seq"), F.lit(passes))
@@ -205,10 +209,12 @@ def match_segments(
     """The first match of each segment by priority: raw, strict, soft, universal.
 
     ``keywords_only`` leaves out vectors, ``semantic`` leaves out the language rules;
-    branches a mode does not use never enter the plan.
+    branches a mode does not use never enter the plan. A segment without a language has
+    ``DEFAULT_LANGUAGE``.
     """
     if mode not in ("keywords_only", "semantic", "hybrid"):
         raise ValueError(f"unknown mode: {mode}")
+    segments = segments.withColumn("lang", F.coalesce("lang", F.lit(DEFAULT_LANGUAGE)))
     exact = match_exact(segments, triggers, ("raw",) if mode == "semantic" else ("raw", "strict"))
     timing = segments.select(*SEGMENT, "start", "end")
     branches = [exact]

@@ -348,3 +348,13 @@ def test_defaults_are_used(spark):
     got = {r.video_id: r for r in quality.quality_report(videos, one, words).collect()}
     assert "boilerplate_hallucinations" in got["a"].flags and got["b"].perplexity == 1.0 and "high_perplexity" in got["b"].flags
     assert got["a"].score > got["b"].score
+
+
+def test_odd_vectors_and_languages_match_nothing_or_by_default(spark):
+    schema = "video_id string, seg_idx int, embedding array<double>"
+    vectors = spark.createDataFrame([("v", 0, [1.0, 0.0]), ("v", 1, None), ("v", 2, [1.0]), ("v", 3, [1.0, None]), ("v", 4, [0.0, 1.0])], schema)
+    phrases_ = spark.createDataFrame([(1, "p", 1.0, [1.0, 0.1]), (2, "q", 1.0, None)], "seq bigint, phrase string, weight double, embedding array<double>")
+    assert rows(matching.match_universal(vectors, phrases_, 0.5), "seg_idx", "phrase") == [(0, "p")]
+    rules = spark.createDataFrame([("strict", "en", "red fox", 1.0, 0)], "kind string, lang string, phrase string, weight double, seq bigint")
+    talk = segs(spark, ["A red fox.", "nothing"]).withColumn("lang", F.lit(None).cast("string"))
+    assert rows(matching.match_segments(talk, rules, "keywords_only"), "seg_idx", "reason") == [(0, "strict:en")]
