@@ -346,10 +346,10 @@ def test_boosted_trees_add_what_looks_alike(spark):
     for _ in range(900):
         phone = f"({digits(3)}) {digits(3)}-{digits(4)}"
         texts.append(f"{brute.sentence(draw, 8)} call +1 {phone} {brute.sentence(draw, 5)} chapter {digits(2)}-{digits(2)} then {digits(3)}.{digits(2)} {brute.sentence(draw, 4)}")
-    texts += [f"{brute.sentence(draw, 5)} call ({digits(3)}) {digits(3)}-{digits(4)} {brute.sentence(draw, 5)}" for _ in range(20)]
+    texts += [f"{brute.sentence(draw, 5)} call ({digits(3)}) {digits(3)}-{digits(4)} {brute.sentence(draw, 5)}" for _ in range(6)]
     out = pii.find_personal_data(table(spark, texts)).filter("doc_id >= 900").collect()
     found = [r for r in out if any(pii.KINDS[s["kind"]] == "phone" and texts[r["doc_id"]][s["start"]] == "(" for s in r["spans"])]
-    assert len(found) >= 15 and all(not r["base"] for r in out)
+    assert len(found) >= 5 and all(not r["base"] for r in out)
     shown = pii.redact(table(spark, texts), pii.find_personal_data(table(spark, texts))).filter("doc_id = 0").first()["text"]
     assert "+1 (" not in shown and len(shown) == len(texts[0])
 
