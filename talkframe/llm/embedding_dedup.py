@@ -236,3 +236,18 @@ def near_vectors(embeddings: DataFrame, least: float = COSINE) -> DataFrame:
 def op10_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Links and components of all vectors at a cosine of 0.9."""
     return near_vectors(spark.read.parquet(f"{folder}/embeddings.parquet"))
+
+
+OP10_SQL = """
+WITH RECURSIVE vectors AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+sized AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS size FROM vectors WHERE list_dot_product(e, e) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM sized a JOIN sized b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) / (a.size * b.size) >= 0.9),
+degrees AS (SELECT a, count(*) AS n FROM links GROUP BY 1),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT reach.a AS vec_id, CAST(coalesce(max(n), 0) AS BIGINT) AS n_links, min(b) AS component_id, reach.a = min(b) AS kept
+FROM reach LEFT JOIN degrees ON degrees.a = reach.a GROUP BY reach.a
+"""

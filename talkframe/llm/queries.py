@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from talkframe.llm.decontaminate import OP3_SQL, op3_decontamination
-from talkframe.llm.embedding_dedup import op10_embedding_dedup
+from talkframe.llm.embedding_dedup import OP10_SQL, op10_embedding_dedup
 from talkframe.llm.language import op5_language_id
 from talkframe.llm.line_dedup import op1_line_dedup
-from talkframe.llm.near_dedup import op7_near_dedup
+from talkframe.llm.near_dedup import OP7_SQL, op7_near_dedup
 from talkframe.llm.packing import op4_best_fit_packing
 from talkframe.llm.pii import op9_personal_data
 from talkframe.llm.quality import op6_quality
@@ -31,4 +31,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 SQL: dict[str, str] = {
     "op3_decontamination": OP3_SQL,
+    "op7_near_dedup": OP7_SQL,
+    "op10_embedding_dedup": OP10_SQL,
 }
