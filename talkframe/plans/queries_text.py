@@ -208,6 +208,19 @@ def phrase_confirmed(spark, folder):
     return docs.select("doc_id", K.phrase_confirmed(F.col("phrase"), F.col("blob")).alias("confirmed"))
 
 
+@query("phrase_confirmed_whole", with_tables(C.TRIGGERS, r"""d AS (SELECT doc_id, lang, trim(lower(regexp_replace(coalesce(text, ''), '[^\p{L}\p{M}\p{N}]+', ' ', 'g'))) AS blob FROM documents),
+b AS (SELECT doc_id, lang, blob, list_distinct(string_split(blob, ' ')) AS listed FROM d),
+p AS (SELECT doc_id, kind, seq, blob, listed, trim(lower(regexp_replace(phrase, '[^\p{L}\p{M}\p{N}]+', ' ', 'g'))) AS phrase FROM b JOIN triggers t ON t.lang IN ('', b.lang)),
+w AS (SELECT doc_id, kind, seq, listed, unnest(string_split(phrase, ' ')) AS w FROM p),
+h AS (SELECT doc_id, kind, seq, len([b FOR b IN listed IF b <> '' AND (contains(b, w) OR contains(w, b) OR (least(length(w), length(b)) >= 4 AND left(w, CAST(ceil(least(length(w), length(b)) * 0.75) AS INT)) = left(b, CAST(ceil(least(length(w), length(b)) * 0.75) AS INT))))]) > 0 AS hit FROM w WHERE length(w) >= 3),
+n AS (SELECT doc_id, kind, seq, count(*) FILTER (hit) >= 0.7::DOUBLE * count(*) AS enough FROM h GROUP BY 1, 2, 3)""") + "SELECT doc_id, kind, seq, phrase = '' OR contains(blob, phrase) OR coalesce(enough, FALSE) AS confirmed FROM p LEFT JOIN n USING (doc_id, kind, seq)")
+def phrase_confirmed_whole(spark, folder):
+    docs = documents(spark, folder).select("doc_id", F.col("lang").alias("own_lang"), X.compare_key(F.coalesce("text", F.lit(""))).alias("blob"))
+    docs = docs.withColumn("listed", F.array_distinct(X.words(F.col("blob"))))
+    found = docs.join(F.broadcast(C.triggers(spark)), (F.col("lang") == "") | (F.col("lang") == F.col("own_lang")))
+    return found.select("doc_id", "kind", "seq", K.phrase_confirmed(F.col("phrase"), F.col("blob"), F.col("listed")).alias("confirmed"))
+
+
 @query("caption_images", """
 SELECT source AS report_id, doc_id, lang || ' ' || n_chars AS caption, CASE WHEN doc_id % 5 = 0 THEN '../' ELSE '' END || 'f/' || doc_id || '.jpg' AS image,
        CASE WHEN doc_id % 5 = 0 THEN 'path traversal rejected' WHEN doc_id % 3 = 0 THEN 'image file not found' END AS issue FROM documents WHERE doc_id % 7 <> 0""")

@@ -34,5 +34,15 @@ def test_query_equals_sql(spark, db, name):
     assert verdict == "equal", note
 
 
+def test_phrases_are_looked_for_in_whole_texts(spark, db, tmp_path):
+    texts = ["lorem ipsum " * 30 + "Der, DIE Schenungen", "lorem ipsum " * 30, None]
+    spark.createDataFrame([(i, t, "de") for i, t in enumerate(texts)], "doc_id bigint, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = entry.queries()["phrase_confirmed_whole"](spark, str(tmp_path))
+    assert sorted(r[:3] for r in got.filter("confirmed").collect()) == [(0, "soft", 3), (0, "strict", 2)]
+    assert got.filter("not confirmed").count() == 3 * 6 - 2
+    verdict, _, _, note = compare(spark, db, "phrase_confirmed_whole", FOLDER)
+    assert verdict == "equal", note
+
+
 def test_entry(spark):
     assert entry.entry(spark).columns == ["video_id", "win_idx", "start", "end", "reason", "phrase", "priority", "transcript_context"]
