@@ -55,7 +55,7 @@ def shingle_sets(texts: list[str], width: int = SHINGLE) -> list[np.ndarray]:
     table = np.array([xxhash.xxh3_64_intdigest(w) for w in coded.dictionary.to_pylist()], np.uint64)
     hashes = table[coded.indices.to_numpy()] if len(table) else np.zeros(0, np.uint64)
     rolled = np.zeros(len(hashes), np.uint64)
-    for k in range(width):
+    for k in range(min(width, len(hashes))):
         rolled[:len(hashes) - k] = mix(rolled[:len(hashes) - k] + hashes[k:])
     sets, begin = [], 0
     for count in counts.tolist():

@@ -226,6 +226,22 @@ def test_lines_of_repeated_and_unnamed_rows(spark):
     assert line_dedup.remove_repeated_lines(docs.limit(0), counts=True).count() == 0
 
 
+@pytest.mark.parametrize("width", [3, 5, 8])
+def test_a_slice_of_few_characters_or_words(width):
+    """The shingles of a text do not depend on what else is in its slice."""
+    for n in range(1, 9):
+        line, text = "short ab"[:n], " ".join("abcdefgh"[:n])
+        (alone, counts), (both, more) = line_dedup.shingle_hashes([line], width), line_dedup.shingle_hashes([line, "x" * 40], width)
+        assert counts[0] == more[0] == max(1, n - width + 1) and alone.tolist() == both[:more[0]].tolist()
+        assert near_dedup.shingle_sets([text], width)[0].tolist() == near_dedup.shingle_sets([text, "x " * 40], width)[0].tolist()
+
+
+def test_tables_of_one_short_text(spark):
+    docs = spark.createDataFrame([(1, "a b")], DOCS)
+    assert got(line_dedup.remove_repeated_lines(docs, counts=True), "text", "n_lines", "n_removed") == [("a b", 1, 0)]
+    assert got(near_dedup.remove_near_copies(docs, 80, 5), "doc_id", "text") == [(1, "a b")]
+
+
 # --- benchmark -----------------------------------------------------------------
 
 def test_overlaps_equal_brute_force(spark):
