@@ -226,6 +226,17 @@ def test_lines_of_repeated_and_unnamed_rows(spark):
     assert line_dedup.remove_repeated_lines(docs.limit(0), counts=True).count() == 0
 
 
+def test_lists_of_many_lines_are_not_broadcast(spark, monkeypatch):
+    lists = spark.createDataFrame([(1, [1, 2, 3]), (2, [4, 5])], "doc_id bigint, gone_ array<int>")
+    for most, sent in ((5, True), (4, False)):
+        monkeypatch.setattr(line_dedup, "BROADCAST_LINES", most)
+        assert ("broadcast" in line_dedup.bounded_lists(lists, "gone_")._jdf.queryExecution().logical().toString()) == sent
+    assert line_dedup.bounded_lists(lists.limit(0), "gone_").count() == 0
+    monkeypatch.setattr(line_dedup, "BROADCAST_LINES", 0)
+    docs = spark.createDataFrame([(1, "one line here\ntwo"), (2, "two\nthree"), (3, "one line, here\nfour")], DOCS)
+    assert got(line_dedup.remove_repeated_lines(docs), "doc_id", "text") == [(1, "one line here\ntwo"), (2, "three"), (3, "one line, here\nfour")]
+
+
 @pytest.mark.parametrize("width", [3, 5, 8])
 def test_a_slice_of_few_characters_or_words(width):
     """The shingles of a text do not depend on what else is in its slice."""
