@@ -26,8 +26,9 @@ from talkframe.llm.storage import column, parts_for, pieces, settle
 PERCENT = 85
 SHINGLE = 3
 BANDS = 32
-BAND_ROWS = 7
 SAMPLES = 256
+#: How often the bands may miss a pair at the threshold.
+MISSED = 1e-5
 SKETCH_BITS = 1024
 #: Standard deviations of the sketch's estimate that a likely pair may lie beyond the threshold.
 SLACK = 5.0
@@ -94,6 +95,11 @@ def band_keys(samples: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def band_rows(percent: int) -> int:
+    """Samples of a band: the most with which the bands still find pairs at the threshold."""
+    return max((r for r in range(1, SAMPLES // BANDS + 1) if (1 - (percent / 100) ** r) ** BANDS <= MISSED), default=1)
+
+
 def odd_sketches(samples: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
     """A bitmap for each set: the parity of how many samples fall on each bit."""
     count = samples.shape[1]
@@ -167,8 +173,9 @@ def intersections(a: list[np.ndarray], b: list[np.ndarray], of: np.ndarray, to:
 _SKETCHED = "row bigint, doc_id bigint, n_shingles bigint, digest binary, keys array<bigint>, sketch binary"
 
 
-def sketch_documents(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+def sketch_documents(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """``(row, doc_id, n_shingles, digest, keys, sketch)``: every row with a number of its own; equal sets have equal digests."""
+    band = band_rows(percent)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 36
@@ -179,7 +186,7 @@ def sketch_documents(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             keys, sketches = np.zeros((len(sets), BANDS), np.int64), np.zeros((len(sets), SKETCH_BITS // 8), np.uint8)
             if len(full):
                 samples = minima(np.concatenate(sets), np.cumsum(sizes)[full] - sizes[full], SAMPLES)
-                keys[full], sketches[full] = band_keys(samples, BANDS, BAND_ROWS), odd_sketches(samples)
+                keys[full], sketches[full] = band_keys(samples, BANDS, band), odd_sketches(samples)
             yield pa.RecordBatch.from_arrays([
                 pa.array(np.arange(row, row + len(sets))), column(batch, "doc_id"), pa.array(sizes, pa.int64()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]),
                 pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel())), pa.array([s.tobytes() for s in sketches]),
@@ -213,7 +220,7 @@ def near_groups(documents: DataFrame, percent: int = PERCENT, shingle: int = SHI
     ``first_row`` is true for one row of each component: of its smallest id, the first. A null or empty text has no shingles and is alone. Rows without
     ``doc_id`` link like others but name nothing; a component of such rows alone has no id. An empty table gives no rows.
     """
-    rows = settle(sketch_documents(documents, shingle), "sketches")
+    rows = settle(sketch_documents(documents, shingle, percent), "sketches")
     files = parts_for(rows.count())
     classes = settle(rows.filter("n_shingles > 0").groupBy("digest").agg(F.min("row").alias("id")), "classes", files)
     items = settle(rows.join(classes.select("id"), rows["row"] == F.col("id"), "left_semi").select(F.col("row").alias("id"), F.col("n_shingles").alias("size"), "keys", "sketch"), "items", files)

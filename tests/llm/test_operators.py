@@ -174,6 +174,15 @@ def test_near_groups_equal_brute_force(spark, monkeypatch):
     assert sorted(r["doc_id"] for r in groups.filter("first_row").collect()) == sorted(set(heads.values()))
 
 
+def test_bands_find_pairs_at_every_threshold():
+    """Sets of 80 % and 85 %: the share of samples that agree is the similarity, so a band of r agrees with similarity to the r."""
+    assert near_dedup.band_rows(85) == 7
+    for percent in (50, 80, 85, 95):
+        rows = near_dedup.band_rows(percent)
+        assert rows * near_dedup.BANDS <= near_dedup.SAMPLES
+        assert percent < 80 or (1 - (percent / 100) ** rows) ** near_dedup.BANDS <= 1e-5
+
+
 def test_near_copies_of_repeated_and_unnamed_rows(spark):
     text, other = "a b c d e f g", "h i j k l m n"
     docs = spark.createDataFrame([(4, text), (4, text), (4, other), (7, text), (None, text), (None, other), (None, ""), (None, ""), (9, None)], DOCS)
