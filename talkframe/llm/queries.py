@@ -14,8 +14,10 @@ from talkframe.llm.near_dedup import OP7_SQL, op7_near_dedup
 from talkframe.llm.packing import op4_best_fit_packing
 from talkframe.llm.pii import op9_personal_data
 from talkframe.llm.quality import op6_quality
+from talkframe.llm.spelling import OP11_SQL, op11_spelling_variants
 from talkframe.llm.token_counts import op2_token_counts
 from talkframe.llm.token_store import op8_token_store
+from talkframe.llm.whitening import op12_whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
@@ -28,9 +30,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_store": op8_token_store,
     "op9_personal_data": op9_personal_data,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_whitening": op12_whitening,
 }
 SQL: dict[str, str] = {
     "op3_decontamination": OP3_SQL,
     "op7_near_dedup": OP7_SQL,
     "op10_embedding_dedup": OP10_SQL,
+    "op11_spelling_variants": OP11_SQL,
 }
