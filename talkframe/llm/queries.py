@@ -14,6 +14,7 @@ from talkframe.llm.near_dedup import OP7_SQL, op7_near_dedup
 from talkframe.llm.packing import op4_best_fit_packing
 from talkframe.llm.pii import op9_personal_data
 from talkframe.llm.quality import op6_quality
+from talkframe.llm.repeats import OP13_SQL, op13_repeated_passages
 from talkframe.llm.spelling import OP11_SQL, op11_spelling_variants
 from talkframe.llm.token_counts import op2_token_counts
 from talkframe.llm.token_store import op8_token_store
@@ -32,10 +33,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_embedding_dedup": op10_embedding_dedup,
     "op11_spelling_variants": op11_spelling_variants,
     "op12_whitening": op12_whitening,
+    "op13_repeated_passages": op13_repeated_passages,
 }
 SQL: dict[str, str] = {
     "op3_decontamination": OP3_SQL,
     "op7_near_dedup": OP7_SQL,
     "op10_embedding_dedup": OP10_SQL,
     "op11_spelling_variants": OP11_SQL,
+    "op13_repeated_passages": OP13_SQL,
 }
