@@ -427,7 +427,8 @@ def op13_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
 
 OP13_SQL = """
 WITH texts AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
-windows AS (SELECT r, i, md5_number(substr(x, 2 * i + 1, 400)) AS h FROM (SELECT r, x, unnest(range(0, length(x) // 2 - 199)) AS i FROM texts)),
+blocks AS (SELECT r, b, substr(x, 512 * b + 1, 910) AS y FROM (SELECT r, x, unnest(range(0, (length(x) // 2 + 56) // 256)) AS b FROM texts)),
+windows AS (SELECT r, 256 * b + i AS i, md5_number(substr(y, 2 * i + 1, 400)) AS h FROM (SELECT r, b, y, unnest(range(0, length(y) // 2 - 199)) AS i FROM blocks)),
 twice AS (SELECT h FROM windows GROUP BY h HAVING count(*) > 1),
 starts AS (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS prev FROM windows SEMI JOIN twice USING (h)),
 islands AS (SELECT r, i, count(*) FILTER (prev IS NULL OR i > prev + 200) OVER (PARTITION BY r ORDER BY i) AS g FROM starts),

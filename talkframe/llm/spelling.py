@@ -55,10 +55,10 @@ def word_counts(documents: DataFrame, noise: int = NOISE, letters: int = LEAST_L
                 start = zlib.crc32(b"" if doc is None else str(doc).encode())
                 start = zlib.crc32(b":", start)
                 if noise:
-                    for run in [r for r in runs if zlib.crc32(r, start) % noise == 0]:
+                    hit = [(r, runs.pop(r)) for r in [r for r in runs if zlib.crc32(r, start) % noise == 0]]
+                    for run, n in hit:
                         word = run.decode()
                         at = zlib.crc32(run, start) % len(word)
-                        n = runs.pop(run)
                         runs[(word[:at] + word[at + 1:]).encode()] += n
                 before = len(counts)
                 counts.update(runs)
