@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 BLOCK_ROWS = 100_000
-PART_ROWS = 20_000
 # Up to this rank Spark drops rows beyond the limit before it shuffles.
 RANKED_ROWS = 1000
 
@@ -34,21 +33,27 @@ def running_before(
 ) -> DataFrame:
     """Add running aggregates over the rows before each row of its key.
 
+    The input is used once: rows are dealt by ``(key, block)``, and both the rows and the totals of the
+    blocks come from that one exchange, which Spark reuses; only a carried row a block is joined. For this
+    both sides need the same columns, so select those that the result needs beforehand.
+
     ``aggregates`` maps the new column to ``(kind, value)``; kind is ``sum`` (0 at
     the first row), ``max`` (null there) or ``last`` (the latest non-null value,
     null there). ``block`` must not fall along ``order``. Blocks bound the size of
     a window group; the carried rows are at most one per block after a key's first.
 
-    ``keep_block`` leaves the block in the result as ``_blk``; a next call with
+    ``keep_block`` leaves the block in the result as ``_key`` and ``_blk``; a next call with
     ``block=None`` uses it again, and so needs neither a shuffle nor a sort.
     """
     if block is not None:
-        df = df.withColumn("_blk", block)
+        # A struct of the keys is never null, so rows without a key are joined like others.
+        df = df.withColumns({"_key": F.struct(*keys), "_blk": block}).repartition("_key", "_blk")
+    source = df.columns
     inputs = {name: f"_in_{name}" for name in aggregates}
     df = df.withColumns({inputs[name]: value for name, (_, value) in aggregates.items()})
 
-    inside = W.partitionBy(*keys, "_blk").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    before = W.partitionBy(*keys).orderBy("_blk").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy("_key", "_blk").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    before = W.partitionBy("_key").orderBy("_blk").rowsBetween(W.unboundedPreceding, -1)
 
     totals, carried, local, merged = [], {}, {}, {}
     for name, (kind, _) in aggregates.items():
@@ -72,21 +77,23 @@ def running_before(
         else:
             raise ValueError(f"unknown running aggregate: {kind}")
 
-    nth_block = F.row_number().over(W.partitionBy(*keys).orderBy("_blk"))
+    nth_block = F.row_number().over(W.partitionBy("_key").orderBy("_blk"))
+    # Names all columns, so that the exchange below the totals is that of the rows.
+    same = F.max(F.xxhash64(*source)).alias("_same")
     carry_rows = (
-        df.groupBy(*keys, "_blk")
-        .agg(*totals)
+        df.groupBy("_key", "_blk")
+        .agg(*totals, same)
         .withColumns({**carried, "_nth": nth_block})
-        .filter("_nth > 1")
-        .select(*keys, "_blk", *carried)
+        .filter("_nth > 1 and _same is not null")
+        .select("_key", "_blk", *carried)
     )
     done = (
         df.withColumns(local)
-        .join(carry_rows, [*keys, "_blk"], "left")
+        .join(carry_rows, ["_key", "_blk"], "left")
         .withColumns(merged)
         .drop(*inputs.values(), *carried)
     )
-    return done if keep_block else done.drop("_blk")
+    return done.select(*source, *aggregates) if keep_block else done.select(*[c for c in source if c not in ("_key", "_blk")], *aggregates)
 
 
 def numbered(df: DataFrame, keys: list[str], index: str, name: str = "pos") -> DataFrame:
@@ -108,39 +115,43 @@ def first_n(df: DataFrame, keys: list[str], order: list[str], n: int, block: Col
     return counted.filter(F.col("_nth") < n).drop("_nth")
 
 
-def with_parts(df: DataFrame, keys: list[str], index: str, part_rows: int = PART_ROWS, dense: bool = False) -> DataFrame:
-    """Add ``part``: the rows of a key in order of ``index``, ``part_rows`` to a part."""
-    if dense:
-        return df.withColumn("part", block_of(index, part_rows))
-    placed = numbered(df, keys, index, "_place")
-    return placed.withColumn("part", block_of("_place", part_rows)).drop("_place")
-
-
-def joined_parts(
-    df: DataFrame,
+def placed_pieces(
+    rows: DataFrame,
     keys: list[str],
-    index: str,
+    order: list[str],
+    block: Column,
     piece: Column,
-    separator: str,
-    name: str,
-    part_rows: int = PART_ROWS,
-    dense: bool = False,
+    separator: str = "",
+    joined: Column | None = None,
+    keep: list[str] | None = None,
 ) -> DataFrame:
-    """Join the pieces of a key in order, as parts of ``part_rows`` pieces.
+    """``(keys, position, offset, piece)``: the pieces of each key's document, whatever its size.
 
-    Parts count pieces, whatever the values of ``index``; ``dense`` says that it counts
-    from 0 without gaps. Part 0 is the whole document of all but giant keys. Concatenating
-    a key's parts in order, with the separator between, gives the document.
+    Concatenating the pieces of a key by ``position`` (from 0) gives the document; ``offset`` is the exact place
+    of a piece in it, in bytes of UTF-8. ``separator`` stands before each ``joined`` piece but the first such;
+    all are joined by default. A null piece is empty. ``block`` as in :func:`running_before`; ``keep`` names more columns to return.
     """
-    rows = df.select(*keys, F.col(index), piece.alias("_piece"))
-    rows = with_parts(rows, keys, index, part_rows, dense).select(*keys, "part", F.struct(F.col(index), "_piece").alias("_p"))
-    return (
-        rows.groupBy(*keys, "part")
-        .agg(F.array_sort(F.collect_list("_p")).alias("_p"))
-        .select(*keys, "part", F.array_join(F.col("_p")["_piece"], separator).alias(name))
+    keep = keep or []
+    parts = rows.select(*keys, *order, *[c for c in keep if c not in order], F.coalesce(piece, F.lit("")).alias("piece"), (F.lit(True) if joined is None else joined).alias("_joined"), block.alias("_at"))
+    gap = len(separator.encode())
+    size = F.octet_length("piece") + F.when(F.col("_joined"), gap).otherwise(0)
+    placed = running_before(parts, keys, order, F.col("_at"), {
+        "position": ("sum", F.lit(1)), "offset": ("sum", size), "_before": ("sum", F.col("_joined").cast("int")),
+    })
+    follows = F.col("_before") > 0
+    text = F.when(F.col("_joined") & follows, F.concat(F.lit(separator), "piece")).otherwise(F.col("piece"))
+    return placed.select(
+        *keys, F.col("position").cast("long").alias("position"),
+        (F.col("offset") - F.when(follows, gap).otherwise(0)).cast("long").alias("offset"), text.alias("piece"), *keep,
     )
 
 
+def whole_documents(pieces: DataFrame, keys: list[str], name: str = "content") -> DataFrame:
+    """``(keys, <name>)``: documents in one row each, for those known to fit one."""
+    held = pieces.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("position", "piece"))).alias("_p"))
+    return held.select(*keys, F.array_join(F.col("_p.piece"), "").alias(name))
+
+
 def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row per key: the first by ``order``. Combines before the shuffle, so hot keys are cheap.
 

@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from talkframe.functions.columns import format_clock
 from talkframe.operators.ordered import block_of, first_by, first_n, running_before
 from talkframe.operators.tables import settled
 
+#: Rows of a key that are cut together.
 FOLD_ROWS = 20_000
-LONG_BLOCKS = 25
 
 
 def token_estimate(text) -> Column:
@@ -31,149 +38,170 @@ def greedy_chunks(
     """Add ``chunk``: rows in order, a new chunk when the next row would exceed ``budget``.
 
     A chunk takes at least ``min_items`` rows while rows remain. ``size`` is a whole
-    number of 0 or more. Where chunk n+1 starts depends on where chunk n ended, so
-    this is a fold; keys that fit one block fold in one expression. Larger keys are
-    folded block by block: every block first states, for each state a chunk can
-    enter it in, the state it leaves in, the statements are chained, and then all
-    blocks are cut at once.
+    number of 0 or more. Where chunk n+1 starts depends on where chunk n ended. Keys are cut into blocks of ``block_rows`` by
+    ``index``, and each block is cut alone once it is known how full the chunk is that enters it. For that, every block
+    states what it does to any chunk; statements of neighbours combine to one of the same kind, so that a block has the
+    statement of all blocks before it after as many joins as their number has binary digits.
     """
     keys = keys or ["video_id"]
-    blocked = df.withColumn("_blk", block_of(index, block_rows))
-    narrow = settled(
-        blocked.select(*keys, "_blk", F.col(index).cast("long").alias("_i"), F.col(size).cast("long").alias("_n"))
+    names = df.columns
+    order = F.col(index).cast("long")
+    rows = df.withColumns({"_key": F.to_json(F.struct(*keys)), "_blk": block_of(index, block_rows), "_i": order, "_n": F.col(size).cast("long")})
+    dealt = rows.repartition("_key", "_blk")
+
+    # Blocks of keys that have several, numbered; both uses of the rows share one exchange.
+    same = F.max(F.xxhash64(*rows.columns)).alias("_same")
+    key = W.partitionBy("_key")
+    blocks = dealt.groupBy("_key", "_blk").agg(same).filter("_same is not null").select(
+        "_key", "_blk", (F.row_number().over(key.orderBy("_blk")) - 1).alias("_nth"), F.count("*").over(key).alias("_blocks")
     )
-    spread = narrow.groupBy(*keys).agg((F.max("_blk") != F.min("_blk")).alias("_long"))
-    long_keys = spread.filter("_long").select(*keys)
-
-    short = narrow.join(long_keys, keys, "left_anti")
-    rows = F.array_sort(F.collect_list(F.struct("_i", "_n")))
-    state = F.struct(
-        F.lit(0).cast("long").alias("chunk"), F.lit(0).cast("long").alias("items"), F.lit(0).cast("long").alias("sum"),
-        F.array().cast("array<long>").alias("starts"),
+    several = blocks.filter("_blocks > 1").select("_key", "_blk", "_nth", "_blocks")
+    alike = F.xxhash64(*rows.columns) >= F.lit(-(1 << 63))
+    stated = dealt.filter(alike).join(several.select("_key", "_blk", "_nth"), ["_key", "_blk"]).select("_key", "_blk", "_nth", "_i", "_n")
+    states = stated.sortWithinPartitions("_key", "_blk", "_i").mapInArrow(_summaries(budget, min_items), _STATE)
+    longest = several.agg(F.coalesce(F.max("_blocks"), F.lit(1)).alias("n")).first()["n"]
+    step = 1
+    while step < longest:
+        states = settled(states)
+        before = states.select("_key", (F.col("_nth") + step).alias("_nth"), *[F.col(c).alias(f"b_{c}") for c in _PARTS])
+        states = states.join(before, ["_key", "_nth"], "left").mapInArrow(_combined(budget, min_items), _STATE)
+        step *= 2
+    left = F.struct(*[F.col(c) for c in _PARTS])
+    entered = states.select("_key", (F.col("_nth") + 1).alias("_nth"), left.alias("_state")).join(several, ["_key", "_nth"])
+    # From an empty chunk the first row of all opens chunk 0.
+    entry = entered.select(
+        "_key", "_blk", F.get("_state.items", F.lit(0)).alias("_have"), F.get("_state.sums", F.lit(0)).alias("_held"), F.get("_state.cuts", F.lit(0)).alias("_chunk")
     )
+    opened = dealt.join(entry, ["_key", "_blk"], "left").sortWithinPartitions("_key", "_blk", "_i")
+    schema = T.StructType([*df.schema.fields, T.StructField("chunk", T.LongType())])
+    return opened.mapInArrow(_cut(budget, min_items, names), schema)
 
-    def step(acc, row):
-        full = (acc["items"] >= min_items) & (acc["sum"] + row["_n"] > budget)
-        first = acc["items"] == 0
-        return F.struct(
-            (acc["chunk"] + F.when(full, 1).otherwise(0)).alias("chunk"),
-            F.when(full, F.lit(1)).otherwise(acc["items"] + 1).cast("long").alias("items"),
-            F.when(full, row["_n"]).otherwise(acc["sum"] + row["_n"]).alias("sum"),
-            F.when(full | first, F.concat(acc["starts"], F.array(row["_i"]))).otherwise(acc["starts"]).alias("starts"),
-        )
-
-    starts = F.aggregate("_rows", state, step, lambda acc: acc["starts"])
-    short_starts = (
-        short.groupBy(*keys).agg(rows.alias("_rows")).select(*keys, F.posexplode(starts).alias("chunk", "_i"))
-        .withColumn("chunk", F.col("chunk").cast("long"))
-    )
-    # Larger blocks keep the chain of statements short.
-    long = narrow.join(long_keys, keys, "left_semi").withColumn("_blk", block_of("_i", block_rows * LONG_BLOCKS))
-    long_starts = _long_chunk_starts(long, keys, budget, min_items)
-    started = short_starts.unionByName(long_starts)
-    marked = df.withColumn("_i", F.col(index).cast("long")).join(started, [*keys, "_i"], "left")
-    filled = running_before(
-        marked, keys, ["_i"], block_of("_i", block_rows), {"_open": ("max", F.col("chunk"))}
-    )
-    return filled.withColumn("chunk", F.coalesce("chunk", "_open")).drop("_i", "_open")
 
+_PARTS = ["rows", "total", "prefix", "cuts", "items", "sums"]
+_STATE = "_key string, _nth long, rows long, total long, prefix array<long>, cuts array<long>, items array<long>, sums array<long>"
 
-def _next_starts(sizes, budget: int, min_items: int):
-    """For each row as a chunk start: the next start (or the row count), with prefix sums."""
-    import numpy as np
 
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, list[int]]]:
+    """Tables of whole blocks in sorted rows, and where each block ends."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        table = (pa.concat_tables([held, table]) if held is not None else table).combine_chunks()
+        same = pc.and_(*[pc.equal(table[c].slice(1), table[c].slice(0, table.num_rows - 1)) for c in ("_key", "_blk")])
+        ends = (np.flatnonzero(~same.to_numpy(zero_copy_only=False)) + 1).tolist() if table.num_rows > 1 else []
+        if ends:
+            yield table.slice(0, ends[-1]), ends
+        held = table.slice(ends[-1] if ends else 0)
+    if held is not None:
+        yield held, [held.num_rows]
+
+
+def _next_starts(sizes: np.ndarray, budget: int, min_items: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each row as a chunk start: the next start (or the row count), with prefix sums."""
     prefix = np.concatenate([[0], np.cumsum(sizes)])
-    n = len(sizes)
-    at = np.arange(n)
+    at = np.arange(len(sizes))
     # First row whose inclusion exceeds the budget, but no sooner than min_items.
     first_over = np.searchsorted(prefix, prefix[:-1] + budget, side="right") - 1
-    return np.minimum(np.maximum(first_over, at + min_items), n), prefix
-
-
-def _long_chunk_starts(narrow: DataFrame, keys: list[str], budget: int, min_items: int) -> DataFrame:
-    from pyspark.sql import types as T
-
-    import numpy as np
-    import pandas as pd
-
-    key_fields = [narrow.schema[k] for k in keys]
-    # What a block does to a chunk that enters it with ``have`` rows and a sum s: it is
-    # cut at the first listed row whose prefix exceeds budget - s.
-    summary_schema = T.StructType(key_fields + [
-        T.StructField("_blk", T.LongType()), T.StructField("rows", T.LongType()), T.StructField("total", T.LongType()),
-        T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("cuts", T.ArrayType(T.LongType())),
-        T.StructField("items", T.ArrayType(T.LongType())), T.StructField("sums", T.ArrayType(T.LongType())),
-    ])
-
-    def summarise(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("_i")
-        sizes = group["_n"].to_numpy()
-        nxt, prefix = _next_starts(sizes, budget, min_items)
-        n = len(sizes)
-        cuts, items, sums = (np.zeros(n, dtype="int64") for _ in range(3))
-        for i in range(n - 1, -1, -1):
-            j = nxt[i]
-            if j < n:
-                cuts[i], items[i], sums[i] = cuts[j] + 1, items[j], sums[j]
-            else:
-                items[i], sums[i] = n - i, prefix[n] - prefix[i]
-        # Only rows reachable as the first cut: those within the budget from the start.
-        reach = min(n, max(int(np.searchsorted(prefix[1:], budget, side="right")) + 1, min_items + 1))
-        row = {k: group[k].iloc[0] for k in keys}
-        row |= {
-            "_blk": group["_blk"].iloc[0], "rows": n, "total": int(prefix[n]),
-            "prefix": prefix[1 : reach + 1].tolist(), "cuts": cuts[:reach].tolist(),
-            "items": items[:reach].tolist(), "sums": sums[:reach].tolist(),
-        }
-        return pd.DataFrame([row], columns=[f.name for f in summary_schema])
-
-    entry_schema = T.StructType(key_fields + [
-        T.StructField("_blk", T.LongType()), T.StructField("_have", T.LongType()),
-        T.StructField("_sum", T.LongType()), T.StructField("_chunk", T.LongType()),
-    ])
-
-    def first_cut(prefix, n, have, held):
-        if have == 0:
-            return 0
-        over = int(np.searchsorted(prefix, budget - held, side="right"))
-        return min(max(over, min_items - have, 0), n)
-
-    def chain(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("_blk")
-        have = held = chunk = 0
-        out = []
-        for row in group.itertuples(index=False):
-            values = {k: getattr(row, k) for k in keys}
-            out.append({**values, "_blk": row[len(keys)], "_have": have, "_sum": held, "_chunk": chunk})
-            cut = first_cut(row.prefix, row.rows, have, held)
-            if cut >= row.rows:
-                have, held = have + row.rows, held + row.total
-            else:
-                chunk += int(row.cuts[cut]) + (1 if have else 0)
-                have, held = int(row.items[cut]), int(row.sums[cut])
-        return pd.DataFrame(out, columns=[f.name for f in entry_schema])
-
-    start_schema = T.StructType(key_fields + [T.StructField("chunk", T.LongType()), T.StructField("_i", T.LongType())])
-
-    def cut_block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left = left.sort_values("_i")
-        sizes, entry = left["_n"].to_numpy(), right.iloc[0]
-        nxt, prefix = _next_starts(sizes, budget, min_items)
-        at, chunk = first_cut(prefix[1:], len(sizes), entry["_have"], entry["_sum"]), int(entry["_chunk"])
-        chunk += 1 if entry["_have"] else 0
-        found = []
-        while at < len(sizes):
-            found.append((chunk, int(left["_i"].iloc[at])))
-            at, chunk = int(nxt[at]), chunk + 1
-        out = pd.DataFrame(found, columns=["chunk", "_i"], dtype="int64")
-        for k in keys:
-            out[k] = left[k].iloc[0]
-        return out[[f.name for f in start_schema]]
-
-    by_block = [*keys, "_blk"]
-    summaries = narrow.groupBy(*by_block).applyInPandas(summarise, summary_schema)
-    entries = summaries.groupBy(*keys).applyInPandas(chain, entry_schema)
-    return narrow.groupBy(*by_block).cogroup(entries.groupBy(*by_block)).applyInPandas(cut_block, start_schema)
+    return np.minimum(np.maximum(first_over, at + min_items), len(sizes)), prefix
+
+
+def _first_cut(prefix: np.ndarray, rows: int, have: np.ndarray, held: np.ndarray, budget: int, min_items: int) -> np.ndarray:
+    """Where a block with these inclusive sums first cuts a chunk that enters with ``have`` rows and a sum ``held``."""
+    over = np.searchsorted(prefix, budget - held, side="right")
+    return np.minimum(np.maximum(over, np.maximum(min_items - have, 0)), rows)
+
+
+def _reach(prefix: np.ndarray, rows: int, budget: int, min_items: int) -> int:
+    """Rows that can be a first cut: those within the budget from the start, and one more."""
+    return min(rows, max(int(np.searchsorted(prefix, budget, side="right")) + 1, min_items + 1))
+
+
+def _summaries(budget: int, min_items: int):
+    """What a block does to a chunk that enters it: for every row that may cut it first, cuts after that and the chunk that leaves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, ends in _whole_groups(batches):
+            out = []
+            for begin, end in zip([0, *ends[:-1]], ends):
+                sizes = table["_n"].slice(begin, end - begin).to_numpy()
+                starts, prefix = _next_starts(sizes, budget, min_items)
+                n = len(sizes)
+                cuts, items, sums = [0] * n, [0] * n, [0] * n
+                whole = prefix.tolist()
+                for i, j in zip(range(n - 1, -1, -1), starts[::-1].tolist()):
+                    if j < n:
+                        cuts[i], items[i], sums[i] = cuts[j] + 1, items[j], sums[j]
+                    else:
+                        items[i], sums[i] = n - i, whole[n] - whole[i]
+                reach = _reach(prefix[1:], n, budget, min_items)
+                out.append((table["_key"][begin].as_py(), table["_nth"][begin].as_py(), n, whole[n], whole[1:reach + 1], cuts[:reach], items[:reach], sums[:reach]))
+            yield _state_batch(out)
+
+    return run
+
+
+def _state_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 4]
+    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], ["_key", "_nth", *_PARTS])
+
+
+def _combined(budget: int, min_items: int):
+    """The statement of some blocks (``b_…``) and the blocks after them, as one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                rows, total = row["rows"], row["total"]
+                prefix, cuts, items, sums = (np.array(row[c], np.int64) for c in _PARTS[2:])
+                if row["b_rows"] is not None:
+                    before = row["b_rows"]
+                    first, done, have, held = (np.array(row[f"b_{c}"], np.int64) for c in _PARTS[2:])
+                    at = _first_cut(prefix, rows, have, held, budget, min_items)
+                    cut = np.minimum(at, len(cuts) - 1)
+                    passes = at >= rows
+                    # Rows of the second part may be first cuts where the first may let a chunk through.
+                    more = len(first) == before
+                    cuts, items, sums = (
+                        np.concatenate([np.where(passes, a, b), c]) if more else np.where(passes, a, b)
+                        for a, b, c in ((done, done + 1 + cuts[cut], cuts), (have + rows, items[cut], items), (held + total, sums[cut], sums))
+                    )
+                    prefix = np.concatenate([first, row["b_total"] + prefix]) if more else first
+                    rows, total = rows + before, total + row["b_total"]
+                    reach = _reach(prefix, rows, budget, min_items)
+                    prefix, cuts, items, sums = prefix[:reach], cuts[:reach], items[:reach], sums[:reach]
+                out.append((row["_key"], row["_nth"], rows, total, prefix.tolist(), cuts.tolist(), items.tolist(), sums.tolist()))
+            if out:
+                yield _state_batch(out)
+
+    return run
+
+
+def _cut(budget: int, min_items: int, names: list[str]):
+    """Numbers the chunks of whole blocks, given the chunk that enters each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, ends in _whole_groups(batches):
+            sizes = table["_n"].to_numpy()
+            chunks = np.empty(len(sizes), np.int64)
+            for begin, end in zip([0, *ends[:-1]], ends):
+                starts, prefix = _next_starts(sizes[begin:end], budget, min_items)
+                have, held, chunk = (table[c][begin].as_py() for c in ("_have", "_held", "_chunk"))
+                n, at = end - begin, 0
+                if have is not None:
+                    at = int(_first_cut(prefix[1:], n, np.int64(have), np.int64(held), budget, min_items))
+                    chunks[begin:begin + at] = chunk
+                    chunk += 1
+                else:
+                    chunk = 0
+                while at < n:
+                    chunks[begin + at:begin + starts[at]] = chunk
+                    at, chunk = int(starts[at]), chunk + 1
+            yield from table.select(names).append_column("chunk", pa.array(chunks)).combine_chunks().to_batches()
+
+    return run
 
 
 def chunk_by_tokens(segments: DataFrame, target: int = 8000, block_rows: int = FOLD_ROWS) -> DataFrame:
@@ -226,27 +254,47 @@ def dedup_frames(frames: DataFrame, max_distance: int = 5) -> DataFrame:
     """Drop a frame within ``max_distance`` bits of a frame kept before it in its window.
 
     ``frames(video_id, win_idx, frame_idx, hash)``; frames without a hash stay. Copies
-    of one hash are reduced to the first before anything is grouped: a later copy is
-    dropped with the first or because of it. Distinct hashes of a window then fold
-    in order.
+    of one hash are reduced to the first before anything is compared: a later copy is
+    dropped with the first or because of it. The first frame of a window always stays, and takes those near it along. Of the
+    others, near pairs share one of ``max_distance + 1`` bands of bits, so only frames with a band in common are compared; then
+    rounds keep every frame that no earlier one still in question is near to, and drop those near a kept one. There are as many rounds
+    as kept frames follow each other in a chain of near ones; windows are rows of a table throughout. The rounds run while the plan is built.
     """
-    unhashed = frames.filter("hash is null")
     keys = ["video_id", "win_idx"]
-    firsts = frames.filter("hash is not null").groupBy(*keys, "hash").agg(F.min("frame_idx").alias("frame_idx"))
-    start = F.array().cast("array<struct<frame_idx:bigint,hash:bigint>>")
-
-    def step(kept, frame):
-        near = F.exists(kept, lambda k: F.bit_count(k["hash"].bitwiseXOR(frame["hash"])) <= max_distance)
-        return F.when(near, kept).otherwise(F.concat(kept, F.array(frame)))
-
-    ordered = F.array_sort(F.collect_list(F.struct(F.col("frame_idx").cast("long").alias("frame_idx"), F.col("hash").cast("long").alias("hash"))))
-    kept = (
-        firsts.groupBy(*keys)
-        .agg(ordered.alias("_f"))
-        .select(*keys, F.explode(F.aggregate("_f", start, step)).alias("_k"))
-        .select(*keys, F.col("_k.frame_idx").alias("frame_idx"))
-    )
-    return frames.filter("hash is not null").join(kept, [*keys, "frame_idx"], "left_semi").unionByName(unhashed)
+    frame = F.col("frame_idx").cast("long").alias("frame_idx")
+    hashed = frames.filter("hash is not null").select(*keys, frame, F.col("hash").cast("long").alias("hash"))
+    firsts = settled(hashed.groupBy(*keys, "hash").agg(F.min("frame_idx").alias("frame_idx")))
+    lead = firsts.groupBy(*keys).agg(F.min_by(F.struct("frame_idx", "hash"), "frame_idx").alias("_l"))
+    apart = F.bit_count(F.col("hash").bitwiseXOR(F.col("_l.hash"))) > max_distance
+    rest = settled(firsts.join(lead, keys).filter(apart).select(*keys, "frame_idx", "hash"))
+    kept = lead.select(*keys, F.col("_l.frame_idx").alias("frame_idx"))
+
+    # Near pairs, the earlier frame first.
+    bands, at = min(max_distance + 1, 64), 0
+    values = []
+    for i in range(bands):
+        width = 64 // bands + (i < 64 % bands)
+        part = F.shiftrightunsigned("hash", at)
+        values.append(F.struct(F.lit(i).alias("band"), (part if width == 64 else part.bitwiseAND((1 << width) - 1)).alias("bits")))
+        at += width
+    banded = rest.select(*keys, "frame_idx", "hash", F.inline(F.array(*values)))
+    later = banded.select(*keys, "band", "bits", F.col("frame_idx").alias("late"), F.col("hash").alias("late_hash"))
+    near = F.bit_count(F.col("hash").bitwiseXOR(F.col("late_hash"))) <= max_distance
+    met = banded.join(later, [*keys, "band", "bits"]).filter((F.col("frame_idx") < F.col("late")) & near)
+    pairs = settled(met.select(*keys, F.col("frame_idx").alias("early"), "late").distinct())
+
+    early, late = F.col("early").alias("frame_idx"), F.col("late").alias("frame_idx")
+    dropped = rest.limit(0).select(*keys, "frame_idx")
+    while not pairs.isEmpty():
+        sure = pairs.select(*keys, early).join(pairs.select(*keys, late), [*keys, "frame_idx"], "left_anti").distinct()
+        hit = settled(pairs.join(sure.withColumnRenamed("frame_idx", "early"), [*keys, "early"], "left_semi").select(*keys, late).distinct())
+        dropped = dropped.unionByName(hit)
+        gone = sure.unionByName(hit)
+        pairs = pairs.join(gone.withColumnRenamed("frame_idx", "early"), [*keys, "early"], "left_anti")
+        pairs = settled(pairs.join(hit.withColumnRenamed("frame_idx", "late"), [*keys, "late"], "left_anti"))
+    kept = kept.unionByName(rest.select(*keys, "frame_idx").join(dropped, [*keys, "frame_idx"], "left_anti"))
+    stays = frames.filter("hash is not null").join(kept, [*keys, "frame_idx"], "left_semi")
+    return stays.unionByName(frames.filter("hash is null"))
 
 
 def rank_candidate_frames(features: DataFrame) -> DataFrame:

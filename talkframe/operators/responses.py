@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from talkframe.functions import fixed_values as fixed
 from talkframe.functions.columns import format_duration, none_if_empty, split_fixed, strip
-from talkframe.operators.ordered import PART_ROWS, first_n, with_parts
+from talkframe.operators.ordered import block_of, first_n, placed_pieces, running_before
 
 FACTS = "candidates array<struct<topic: string, text: string, source_timestamp: string>>"
 
@@ -114,30 +114,24 @@ def parse_outlines(responses: DataFrame) -> DataFrame:
     )
 
 
-def assemble_outline(outlines: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
-    """One outline per video from its chunk outlines, in chunk order.
+def assemble_outline(outlines: DataFrame) -> DataFrame:
+    """``(video_id, title, summary, source_chunks, position, section)``: one outline per video from its chunk outlines, a row a section.
 
-    ``outlines(video_id, chunk, title, summary, sections)``. Title of the first chunk,
-    summaries joined and cut to 500 characters, all sections. The sections of more
-    than ``part_rows`` chunks come in parts, each with the same head.
+    ``outlines(video_id, chunk, title, summary, sections)``. Title of the first chunk, summaries joined and cut to 500
+    characters, all sections in chunk order; ``position`` counts them from 0. A video without sections has one row without.
     """
     # Every summary adds a character at least, so 500 of them are enough.
-    told = first_n(outlines.filter("summary != ''"), ["video_id"], ["chunk"], 500)
+    told = first_n(outlines.filter("summary != ''").select("video_id", "chunk", "summary"), ["video_id"], ["chunk"], 500)
     summaries = told.groupBy("video_id").agg(
         F.array_sort(F.collect_list(F.struct("chunk", "summary"))).alias("_s")
     ).select("video_id", F.substring(F.array_join(F.col("_s.summary"), " "), 1, 500).alias("summary"))
     heads = outlines.groupBy("video_id").agg(
         F.min_by("title", "chunk").alias("title"), F.count("*").alias("source_chunks")
     )
-    parts = (
-        with_parts(outlines, ["video_id"], "chunk", part_rows)
-        .select("video_id", "part", F.struct("chunk", "sections").alias("_o"))
-        .groupBy("video_id", "part")
-        .agg(F.array_sort(F.collect_list("_o")).alias("_o"))
-        .select("video_id", "part", F.flatten(F.col("_o.sections")).alias("sections"))
-    )
-    return parts.join(heads, "video_id").join(summaries, "video_id", "left").select(
-        "video_id", "part", "title", F.coalesce("summary", F.lit("")).alias("summary"), "sections", "source_chunks"
+    listed = outlines.select("video_id", "chunk", F.posexplode("sections").alias("_nth", "section"))
+    placed = running_before(listed, ["video_id"], ["chunk", "_nth"], block_of("chunk"), {"position": ("sum", F.lit(1))})
+    return heads.join(summaries, "video_id", "left").join(placed.drop("chunk", "_nth"), "video_id", "left").select(
+        "video_id", "title", F.coalesce("summary", F.lit("")).alias("summary"), "source_chunks", F.col("position").cast("long").alias("position"), "section"
     )
 
 
@@ -186,8 +180,8 @@ def prompt_headers(videos: DataFrame) -> DataFrame:
     return videos.withColumn("header", header)
 
 
-def prompt_pack(videos: DataFrame, max_chars: int = 60_000, part_rows: int = PART_ROWS) -> DataFrame:
-    """Transcript blocks of each pack in order: ``(pack_id, part, prompt)``.
+def prompt_pack(videos: DataFrame, max_chars: int = 60_000) -> DataFrame:
+    """``(pack_id, position, offset, piece)``: the transcript blocks of each pack, a piece each, in order.
 
     Needs the columns of :func:`prompt_headers` and ``body``. Bodies are cut at
     ``max_chars`` with a marker; an empty one says so.
@@ -199,13 +193,7 @@ def prompt_pack(videos: DataFrame, max_chars: int = 60_000, part_rows: int = PAR
         .otherwise(cut)
     )
     block = F.concat(F.col("header"), F.lit("\n\n"), body, F.lit("\n\n---\n"))
-    placed = with_parts(prompt_headers(videos), ["pack_id"], "pos", part_rows)
-    rows = placed.select("pack_id", "part", F.struct("pos", block.alias("b")).alias("_p"))
-    return (
-        rows.groupBy("pack_id", "part")
-        .agg(F.array_sort(F.collect_list("_p")).alias("_p"))
-        .select("pack_id", "part", F.array_join(F.col("_p.b"), "\n").alias("prompt"))
-    )
+    return placed_pieces(prompt_headers(videos), ["pack_id"], ["pos"], block_of("pos"), block, "\n")
 
 
 # --- errors ------------------------------------------------------------------

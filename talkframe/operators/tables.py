@@ -18,14 +18,14 @@ def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFram
     return spark.range(1).select(F.inline(F.array(*structs)))
 
 
-def shared_folder(spark: SparkSession) -> str | None:
-    """The cluster's folder for intermediate results; a temporary one in local mode only."""
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's folder for intermediate results; a temporary one in local mode only, an error elsewhere where it is unset."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     context = spark.sparkContext
-    if not context.master.startswith("local"):
-        return None
+    if context.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if context.applicationId not in _LOCAL_FOLDERS:
         _LOCAL_FOLDERS[context.applicationId] = tempfile.mkdtemp(prefix="talkframe-")
     return _LOCAL_FOLDERS[context.applicationId]
@@ -35,12 +35,8 @@ def settled(df: DataFrame) -> DataFrame:
     """The rows of ``df`` written to the shared folder and read back.
 
     For a narrow result of a costly plan that several later steps use: it is computed
-    once, and lost executors read it again. Without a shared folder the plan is
-    used as it is.
+    once, and lost executors read it again.
     """
-    folder = shared_folder(df.sparkSession)
-    if folder is None:
-        return df
-    path = f"{folder}/settled-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

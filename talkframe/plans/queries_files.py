@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from talkframe.operators import batch as B
+from talkframe.operators.ordered import block_of, placed_pieces, whole_documents
 from talkframe.plans import corpus as C
-from talkframe.plans.registry import query, sql_duration, sql_timestamp, with_tables
+from talkframe.plans.registry import query, sql_duration, sql_pieces, sql_timestamp, with_tables
 from talkframe.sources import artifacts as A
 from talkframe.sources import transcripts as S
 
@@ -22,8 +23,8 @@ def _millis(df):
     )
 
 
-def _as_files(df, column):
-    return df.select(F.col("video_id").cast("string").alias("file"), F.col(column).alias("content"))
+def _as_files(pieces):
+    return whole_documents(pieces, ["video_id"]).select(F.col("video_id").cast("string").alias("file"), "content")
 
 
 PARSED = C.SEGS + """
@@ -34,7 +35,7 @@ STRIPPED = "regexp_replace(text, '^\\s+|\\s+$', '', 'g')"
 
 @query("read_srt", "WITH " + PARSED.format(text=STRIPPED, where=""))
 def read_srt(spark, folder):
-    return _millis(S.srt_segments(_as_files(A.to_srt(segments(spark, folder)), "srt")))
+    return _millis(S.srt_segments(_as_files(A.to_srt(segments(spark, folder)))))
 
 
 @query("read_srt_lenient", "WITH " + C.SEGS + f"""
@@ -42,7 +43,7 @@ SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY seg_idx) - 1
        CAST(round_even(start * 1000, 0) AS BIGINT) AS start_ms, CAST(round_even("end" * 1000, 0) AS BIGINT) AS end_ms,
        {STRIPPED} AS text FROM segs WHERE {STRIPPED} <> ''""")
 def read_srt_lenient(spark, folder):
-    return _millis(S.srt_segments(_as_files(A.to_srt(segments(spark, folder)), "srt"), lenient=True))
+    return _millis(S.srt_segments(_as_files(A.to_srt(segments(spark, folder))), lenient=True))
 
 
 @query("read_timestamped_txt", "WITH " + C.SEGS + f""", timed AS (SELECT * FROM segs WHERE {STRIPPED} <> '')
@@ -53,17 +54,31 @@ UNION ALL SELECT doc_id + 1000000000000, 0, 0, 0, {STRIPPED} FROM documents WHER
 def read_timestamped_txt(spark, folder):
     docs = C.table(spark, folder, "documents")
     plain = docs.select((F.col("doc_id") + 1_000_000_000_000).cast("string").alias("file"), F.col("text").alias("content"))
-    return _millis(S.txt_segments(_as_files(A.to_timestamped_txt(C.doc_segments(docs)), "txt").unionByName(plain)))
+    return _millis(S.txt_segments(_as_files(A.to_timestamped_txt(C.doc_segments(docs))).unionByName(plain)))
 
 
-@query("read_transcript_json", "WITH " + PARSED.format(text="text", where=""))
-def read_transcript_json(spark, folder):
+def _transcripts(spark, folder):
     docs = C.table(spark, folder, "documents")
     videos = docs.select(
         F.col("doc_id").alias("video_id"), F.col("lang").alias("language"), F.lit("whisper").alias("backend"),
         F.col("n_chars").cast("double").alias("duration_sec"),
     )
-    return _millis(S.json_segments(_as_files(A.to_transcript_json(videos, C.doc_segments(docs)), "json")))
+    return A.to_transcript_json(videos, C.doc_segments(docs))
+
+
+@query("to_transcript_json", "WITH " + C.SEGS + """,
+p AS (
+  SELECT doc_id AS video_id, -1 AS i, '{"language":' || to_json(lang) || ',"backend":"whisper","duration_sec":' || to_json(n_chars::DOUBLE) || ',"segments":[' AS piece FROM documents
+  UNION ALL SELECT video_id, seg_idx, CASE WHEN seg_idx > 0 THEN chr(10) || ',' ELSE '' END || '{"start":' || to_json(start) || ',"end":' || to_json("end") || ',"text":' || to_json(text) || '}' FROM segs
+  UNION ALL SELECT doc_id, 1000000000, chr(10) || ']}' FROM documents)
+""" + sql_pieces("p", "video_id", "i"))
+def to_transcript_json(spark, folder):
+    return _transcripts(spark, folder)
+
+
+@query("read_transcript_json", "WITH " + PARSED.format(text="text", where=""))
+def read_transcript_json(spark, folder):
+    return _millis(S.json_segments(_as_files(_transcripts(spark, folder))))
 
 
 @query("read_caption_json3", "WITH " + C.SEGS + f"""
@@ -79,8 +94,8 @@ def read_caption_json3(spark, folder):
             F.struct(F.expr("substring(text, int(floor(length(text) / 2)) + 1)").alias("utf8")),
         ).alias("segs"),
     )
-    docs = segments(spark, folder).groupBy("video_id").agg(F.to_json(F.struct(F.array_sort(F.collect_list(event)).alias("events"))).alias("doc"))
-    return _millis(S.caption_json_segments(_as_files(docs, "doc")))
+    docs = segments(spark, folder).groupBy("video_id").agg(F.to_json(F.struct(F.array_sort(F.collect_list(event)).alias("events"))).alias("content"))
+    return _millis(S.caption_json_segments(docs.select(F.col("video_id").cast("string").alias("file"), "content")))
 
 
 @query("read_caption_srv", "WITH " + C.SEGS + """, shown AS (
@@ -93,8 +108,8 @@ def read_caption_srv(spark, folder):
         F.lit('<p t="'), (F.col("start") * 1000).cast("long").cast("string"), F.lit('" d="'), (F.length("text") * 10).cast("string"),
         F.lit('"><s>'), F.col("text"), F.lit("</s></p>"),
     )
-    docs = A.joined_parts(segments(spark, folder), ["video_id"], "seg_idx", line, "\n", "xml")
-    return _millis(S.caption_srv_segments(_as_files(docs, "xml")))
+    docs = placed_pieces(segments(spark, folder), ["video_id"], ["seg_idx"], block_of("seg_idx"), line, "\n")
+    return _millis(S.caption_srv_segments(_as_files(docs)))
 
 
 @query("read_channel_feed", """
@@ -172,21 +187,25 @@ def _manifest(spark, folder):
 SELECT batch, index, url, title, duration_sec, 't/' || index || '.txt' AS rel_path FROM statuses
 WHERE status = 'ok' AND index % 17 <> 0""")
 def read_manifest(spark, folder):
-    files = _manifest(spark, folder).select(F.col("batch").alias("file"), F.col("manifest").alias("content"))
+    files = whole_documents(_manifest(spark, folder), ["batch"]).select(F.col("batch").alias("file"), "content")
     return S.manifest_videos(files).select(F.col("file").alias("batch"), "index", "url", "title", "duration_sec", "rel_path")
 
 
 @query("build_manifest", with_tables(STATUSES, FAILURES) + """
-, entries AS (SELECT batch, index, status, NULL AS error FROM statuses UNION ALL SELECT batch, index, 'failed', error FROM failures)
+, entries AS (
+  SELECT batch, index, '{"index":' || index || ',"url":' || to_json(url) || ',"video_id":' || to_json(video_id) || ',"title":' || to_json(title) || ',"duration_sec":' || duration_sec
+         || ',"language_detected":' || to_json(language_detected) || ',"files":{"txt":"' || CASE WHEN index % 17 = 0 THEN '../' ELSE '' END || 't/' || index || '.txt"},"status":"' || status || '"}' AS piece, status FROM statuses
+  UNION ALL SELECT batch, index, '{"index":' || index || ',"url":' || to_json(url) || ',"status":"failed","stage":"download","error":' || to_json(error)
+         || CASE WHEN hint IS NOT NULL THEN ',"hint":' || to_json(hint) ELSE '' END || '}', 'failed' FROM failures)
 , stats AS (SELECT batch, count(*) AS total, count(*) FILTER (status = 'ok') AS ok, count(*) FILTER (status = 'failed') AS failed FROM entries GROUP BY batch)
-SELECT batch, part, total, ok, failed, string_agg(index || ':' || status || ':' || coalesce(error, ''), ',' ORDER BY index) AS listed
-FROM (SELECT *, (row_number() OVER (PARTITION BY batch ORDER BY index) - 1) // 20000 AS part FROM entries) JOIN stats USING (batch) GROUP BY ALL""")
+, p AS (
+  SELECT batch, -1 AS i, '{"batch_name":' || to_json(batch) || ',"created_at":"2026-01-01T00:00:00","source":{"type":"mixed"},"config":{"backend":"smart","language":"auto"},"stats":{"total":' || total
+         || ',"ok":' || ok || ',"failed":' || failed || '},"epistemic_status":"community_content_unverified","videos":[' AS piece FROM stats
+  UNION ALL SELECT batch, index, CASE WHEN row_number() OVER (PARTITION BY batch ORDER BY index) > 1 THEN chr(10) || ',' ELSE '' END || piece FROM entries
+  UNION ALL SELECT batch, 1000000000000, chr(10) || ']}' FROM stats)
+""" + sql_pieces("p", "batch", "i"))
 def build_manifest(spark, folder):
-    doc = F.from_json("manifest", "stats struct<total: bigint, ok: bigint, failed: bigint>, videos array<struct<index: bigint, status: string, error: string>>")
-    listed = F.array_join(
-        F.transform(doc["videos"], lambda v: F.concat(v["index"].cast("string"), F.lit(":"), v["status"], F.lit(":"), F.coalesce(v["error"], F.lit("")))), ","
-    )
-    return _manifest(spark, folder).select("batch", "part", doc["stats"]["total"].alias("total"), doc["stats"]["ok"].alias("ok"), doc["stats"]["failed"].alias("failed"), listed.alias("listed"))
+    return _manifest(spark, folder)
 
 
 @query("manifest_stats", with_tables(STATUSES, FAILURES) + """
@@ -204,33 +223,62 @@ def error_log(spark, folder):
     return B.error_log(failures(C.table(spark, folder, "documents")), "2026-01-01T00:00:00")
 
 
+def _sql(text):
+    return "'" + text.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
 @query("combined_document", f"""
 WITH v AS (
-  SELECT source AS batch, doc_id AS index, 'https://youtu.be/doc_' || doc_id AS url, lang || ' ' || doc_id AS title, n_chars // 15 AS duration_sec, source, lang, text,
+  SELECT source AS batch, doc_id AS index, 'https://youtu.be/doc_' || doc_id AS url, lang || ' ' || doc_id AS title, n_chars, n_chars // 15 AS duration_sec, source, lang, text,
          CASE WHEN doc_id % 13 = 0 THEN 'failed' ELSE 'ok' END AS status, doc_id % 4 = 0 AS poor,
-         CAST(DATE '2024-01-01' + CAST(doc_id % 366 AS INTEGER) AS DATE) AS d, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 20000 AS part FROM documents)
-SELECT batch, part,
-  string_agg(index || '. [' || title || '](' || url || ') — ' || strftime(d, '%Y-%m-%d') || ' • ' || {sql_duration("duration_sec")} || ' • ' || source
-             || CASE WHEN status = 'failed' THEN ' • ❌ failed' ELSE '' END, chr(10) ORDER BY index) AS contents,
-  string_agg(CASE WHEN status = 'failed' THEN '' ELSE chr(10) || '---' || chr(10) || chr(10) || '## ' || index || '. ' || title || chr(10) || chr(10)
+         CAST(DATE '2024-01-01' + CAST(doc_id % 366 AS INTEGER) AS DATE) AS d FROM documents),
+counts AS (SELECT batch, count(*) AS total, count(*) FILTER (status = 'ok') AS ok, count(*) FILTER (status = 'failed') AS failed FROM v GROUP BY batch),
+p AS (
+  SELECT batch, 0 AS side, 0 AS i, 0 AS m, '---' || chr(10) || 'batch_name: ' || batch || chr(10) || 'created_at: 2026-01-01T00:00:00' || chr(10) || 'source: mixed' || chr(10) || 'source_url: null' || chr(10)
+    || 'total: ' || total || chr(10) || 'ok: ' || ok || chr(10) || 'failed: ' || failed || chr(10) || 'backend: smart' || chr(10) || 'model: large' || chr(10) || 'language: auto' || chr(10) || '---' || chr(10)
+    || {_sql(B.BANNER)} || '# Batch transcript — ' || batch || ' — 2026-01-01' || chr(10) || chr(10) || total || ' videos, backend: smart. ' || ok || ' succeeded, ' || failed || ' failed.' || chr(10) || chr(10)
+    || '## Inputs' || chr(10) || chr(10) AS piece FROM counts
+  UNION ALL SELECT batch, 1, index, -1, index || '. [' || title || '](' || url || ') — ' || strftime(d, '%Y-%m-%d') || ' • ' || {sql_duration("duration_sec")} || ' • ' || source
+    || CASE WHEN status = 'failed' THEN ' • ❌ failed' ELSE '' END || chr(10) FROM v
+  UNION ALL SELECT batch, 2, index, -1, chr(10) || '---' || chr(10) || chr(10) || '## ' || index || '. ' || title || chr(10) || chr(10)
     || '| Field | Value |' || chr(10) || '|---|---|' || chr(10) || '| URL | ' || url || ' |' || chr(10) || '| Video ID | — |' || chr(10)
     || '| Date | ' || strftime(d, '%Y-%m-%d') || ' |' || chr(10) || '| Duration | ' || {sql_duration("duration_sec")} || ' |' || chr(10)
     || '| Channel | ' || source || ' |' || chr(10) || '| Language detected | ' || lang || ' |' || chr(10) || chr(10)
     || regexp_replace(text, '^\\s+|\\s+$', '', 'g') || chr(10)
-    || CASE WHEN poor THEN chr(10) || '⚠ **Quality: low_quality** (score=0.25, flags=[looped, high_oov])' || chr(10) ELSE '' END END, '' ORDER BY index) AS sections
-FROM v GROUP BY 1, 2""")
+    || CASE WHEN poor THEN chr(10) || '⚠ **Quality: low_quality** (score=0.25, flags=[looped, high_oov])' || chr(10) ELSE '' END FROM v WHERE status = 'ok'
+  UNION ALL SELECT batch, 2, index, m, CASE WHEN m = 0 THEN chr(10) || '### Visual moments' || chr(10) || chr(10) ELSE '' END
+    || '#### ' || {sql_timestamp("(index % 100 + m * 30)::DOUBLE")} || ' — Slide ' || m || ' (importance: ' || (index % 5) || ')' || chr(10) || chr(10)
+    || CASE WHEN m = 1 THEN '![](k/' || index || '.png)' || chr(10) || chr(10) ELSE '' END || 'Slide ' || m || '. In ' || lang || '.' || chr(10) || chr(10)
+    || CASE WHEN m = 0 THEN 'Objects detected: chart, ' || lang || chr(10) || chr(10) ELSE '' END || 'Trigger: `raw`' || chr(10) || chr(10)
+    FROM v, (VALUES (0), (1)) AS x(m) WHERE status = 'ok' AND n_chars % 3 = 0)
+""" + sql_pieces("p", "batch", "side, i, m"))
 def combined_document(spark, folder):
     docs = C.table(spark, folder, "documents")
     doc = F.col("doc_id").cast("string")
     poor = F.col("doc_id") % 4 == 0
-    return B.combined_document(docs.select(
+    videos = docs.select(
         F.col("source").alias("batch"), F.col("doc_id").alias("index"), F.concat(F.lit("https://youtu.be/doc_"), doc).alias("url"),
         F.lit("").alias("video_id"), F.concat(F.col("lang"), F.lit(" "), doc).alias("title"),
         F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 366).cast("int")).alias("upload_date"),
         F.floor(F.col("n_chars") / 15).alias("duration_sec"), F.col("source").alias("channel"), F.col("lang").alias("language"), "text",
         F.when(F.col("doc_id") % 13 == 0, "failed").otherwise("ok").alias("status"), F.lit(0.25).alias("score"),
         F.array(F.lit("looped"), F.lit("high_oov")).alias("flags"), F.when(poor, "low_quality").otherwise("use_as_is").alias("recommendation"),
-    ))
+    )
+    meta = docs.select(F.col("source").alias("batch")).distinct().select(
+        "batch", F.lit("2026-01-01T00:00:00").alias("created_at"), F.lit("mixed").alias("source_type"), F.lit(None).cast("string").alias("source_url"),
+        F.lit("smart").alias("backend"), F.create_map(F.lit("model"), F.lit("large")).alias("backend_options"), F.lit("auto").alias("language"),
+    )
+    # Two visual moments in every third video; failed ones are in no section.
+    shown = docs.filter("n_chars % 3 = 0").select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("moment"))
+    m = F.col("moment").cast("string")
+    none = F.array().cast("array<string>")
+    visuals = shown.select(
+        F.col("source").alias("batch"), F.col("doc_id").alias("index"), "moment", (F.col("doc_id") % 100 + F.col("moment") * 30).cast("double").alias("start"),
+        F.concat(F.lit("Slide "), m, F.lit(". In "), F.col("lang"), F.lit(".")).alias("description"), (F.col("doc_id") % 5).alias("importance"),
+        F.when(F.col("moment") == 1, F.array(F.concat(F.lit("k/"), doc, F.lit(".png")))).otherwise(none).alias("keyframes"),
+        F.when(F.col("moment") == 0, F.array(F.lit("chart"), F.col("lang"))).otherwise(none).alias("detected_objects"), F.lit("raw").alias("trigger_reason"),
+    )
+    return B.combined_document(videos, meta, visuals)
 
 
 @query("format_timestamp", "WITH " + C.SEGS + f"""
@@ -241,16 +289,17 @@ def format_timestamp(spark, folder):
     return segments(spark, folder).select("video_id", "seg_idx", fmt("start").alias("dotted"), fmt("end", ",").alias("comma"))
 
 
-@query("to_srt", "WITH " + C.SEGS + f"""
-SELECT video_id, 0::BIGINT AS part, string_agg((seg_idx + 1) || chr(10) || {sql_timestamp("start", ",")} || ' --> ' || {sql_timestamp('"end"', ",")}
-  || chr(10) || {STRIPPED} || chr(10), chr(10) ORDER BY seg_idx) AS srt FROM segs GROUP BY video_id""")
+@query("to_srt", "WITH " + C.SEGS + f""",
+p AS (SELECT video_id, seg_idx, CASE WHEN seg_idx > 0 THEN chr(10) ELSE '' END || (seg_idx + 1) || chr(10) || {sql_timestamp("start", ",")} || ' --> ' || {sql_timestamp('"end"', ",")}
+  || chr(10) || {STRIPPED} || chr(10) AS piece FROM segs)
+""" + sql_pieces("p", "video_id", "seg_idx"))
 def to_srt(spark, folder):
     return A.to_srt(segments(spark, folder))
 
 
-@query("to_timestamped_txt", "WITH " + C.SEGS + f"""
-SELECT video_id, 0::BIGINT AS part, string_agg('[' || {sql_timestamp("start")} || ' --> ' || {sql_timestamp('"end"')} || '] ' || {STRIPPED}, chr(10) ORDER BY seg_idx) AS txt
-FROM segs GROUP BY video_id""")
+@query("to_timestamped_txt", "WITH " + C.SEGS + f""",
+p AS (SELECT video_id, seg_idx, CASE WHEN seg_idx > 0 THEN chr(10) ELSE '' END || '[' || {sql_timestamp("start")} || ' --> ' || {sql_timestamp('"end"')} || '] ' || {STRIPPED} AS piece FROM segs)
+""" + sql_pieces("p", "video_id", "seg_idx"))
 def to_timestamped_txt(spark, folder):
     return A.to_timestamped_txt(segments(spark, folder))
 
@@ -258,14 +307,16 @@ def to_timestamped_txt(spark, folder):
 @query("to_paragraphs", "WITH " + C.SEGS + f""",
 a AS (SELECT *, row_number() OVER w - 1 AS pos, start - lag("end") OVER w AS gap FROM segs WINDOW w AS (PARTITION BY video_id ORDER BY seg_idx)),
 b AS (SELECT *, max(CASE WHEN gap IS NULL OR gap >= 2 THEN pos END) OVER (PARTITION BY video_id ORDER BY seg_idx ROWS UNBOUNDED PRECEDING) AS run FROM a),
-p AS (SELECT video_id, run + (pos - run) // 5 * 5 AS para, string_agg({STRIPPED}, ' ' ORDER BY seg_idx) AS t FROM b GROUP BY 1, 2)
-SELECT video_id, 0::BIGINT AS part, string_agg(t, chr(10) || chr(10) ORDER BY para) AS txt FROM p GROUP BY video_id""")
+c AS (SELECT video_id, run + (pos - run) // 5 * 5 AS para, string_agg({STRIPPED}, ' ' ORDER BY seg_idx) AS t FROM b GROUP BY 1, 2),
+p AS (SELECT video_id, para, CASE WHEN para > 0 THEN chr(10) || chr(10) ELSE '' END || t AS piece FROM c)
+""" + sql_pieces("p", "video_id", "para"))
 def to_paragraphs(spark, folder):
     return A.to_paragraphs(segments(spark, folder))
 
 
-@query("video_totals", "WITH " + C.SEGS + """
-SELECT video_id, 0::BIGINT AS part, string_agg(text, ' ' ORDER BY seg_idx) AS text, arg_max("end", seg_idx) AS duration FROM segs GROUP BY video_id""")
+@query("video_totals", "WITH " + C.SEGS + """,
+p AS (SELECT video_id, seg_idx, CASE WHEN seg_idx > 0 THEN ' ' ELSE '' END || text AS piece, last_value("end") OVER (PARTITION BY video_id ORDER BY seg_idx ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS duration FROM segs)
+""" + sql_pieces("p", "video_id", "seg_idx", ", duration"))
 def video_totals(spark, folder):
     return A.video_totals(segments(spark, folder))
 

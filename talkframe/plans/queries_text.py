@@ -8,7 +8,7 @@ from talkframe.functions import columns as X
 from talkframe.operators import claims as K
 from talkframe.operators import responses as R
 from talkframe.plans import corpus as C
-from talkframe.plans.registry import query, sql_duration, with_tables
+from talkframe.plans.registry import query, sql_duration, sql_pieces, with_tables
 
 
 def documents(spark, folder):
@@ -293,11 +293,12 @@ def facts(spark, folder):
 
 @query("append_facts", with_tables(FACTS) + """,
 clean AS (SELECT memory, coalesce(source_url, '(unknown source)') AS source_url, coalesce(nullif(trim(topic), ''), 'Notes') AS topic, trim(text) AS text, source_timestamp, fact_idx FROM facts WHERE trim(text) <> ''),
-dated AS (SELECT *, (row_number() OVER (PARTITION BY memory, source_url, topic ORDER BY fact_idx) - 1) // 20000 AS part, min(fact_idx) OVER w AS first_idx, first_value(source_timestamp) OVER (PARTITION BY memory, source_url, topic ORDER BY fact_idx) AS stamp FROM clean WINDOW w AS (PARTITION BY memory, source_url, topic))
-SELECT memory, source_url, topic, part, first_idx, count(*) AS facts,
-  '## 2026-01-01 — ' || topic || chr(10) || string_agg('- ' || text, chr(10) ORDER BY fact_idx) || chr(10) || chr(10) || 'Source: ' || source_url
-  || coalesce(' | ' || stamp, '') || chr(10) || 'Approved: 2026-01-01' || chr(10) AS section
-FROM dated GROUP BY memory, source_url, topic, part, first_idx, stamp""")
+firsts AS (SELECT memory, source_url, topic, min(fact_idx) AS first, first(source_timestamp ORDER BY fact_idx) AS stamp FROM clean GROUP BY ALL),
+p AS (
+  SELECT memory, source_url, topic, first, 0 AS side, 0 AS i, '## 2026-01-01 — ' || topic AS piece FROM firsts
+  UNION ALL SELECT memory, source_url, topic, first, 1, fact_idx, chr(10) || '- ' || text FROM clean JOIN firsts USING (memory, source_url, topic)
+  UNION ALL SELECT memory, source_url, topic, first, 2, 0, chr(10) || chr(10) || 'Source: ' || source_url || coalesce(' | ' || stamp, '') || chr(10) || 'Approved: 2026-01-01' || chr(10) FROM firsts)
+""" + sql_pieces("p", "memory", "first, side, i", ", source_url, topic"))
 def append_facts(spark, folder):
     return K.append_facts(facts(spark, folder), "2026-01-01").drop("section_date")
 
@@ -353,16 +354,16 @@ def parse_outlines(spark, folder):
 
 
 @query("assemble_outline", """
-SELECT conv_id AS video_id, arg_min(role || ' ' || turn, turn) AS title, left(string_agg(text, ' ' ORDER BY turn), 500) AS summary, string_agg('s' || turn, ',' ORDER BY turn) AS names, count(*) AS source_chunks
-FROM conversations GROUP BY conv_id""")
+WITH heads AS (SELECT conv_id, arg_min(role || ' ' || turn, turn) AS title, left(string_agg(text, ' ' ORDER BY turn), 500) AS summary, count(*) AS source_chunks FROM conversations GROUP BY conv_id)
+SELECT conv_id AS video_id, title, summary, source_chunks, row_number() OVER (PARTITION BY conv_id ORDER BY turn, x) - 1 AS position, 's' || turn || x AS section
+FROM conversations JOIN heads USING (conv_id), (VALUES ('a'), ('b')) AS s(x)""")
 def assemble_outline(spark, folder):
     turn = F.col("turn").cast("string")
     outlines = C.table(spark, folder, "conversations").select(
         F.col("conv_id").alias("video_id"), F.col("turn").alias("chunk"), F.concat("role", F.lit(" "), turn).alias("title"), F.col("text").alias("summary"),
-        F.array(F.concat(F.lit("s"), turn)).alias("sections"),
+        F.array(F.concat(F.lit("s"), turn, F.lit("a")), F.concat(F.lit("s"), turn, F.lit("b"))).alias("sections"),
     )
-    out = R.assemble_outline(outlines)
-    return out.select("video_id", "title", "summary", F.array_join("sections", ",").alias("names"), "source_chunks")
+    return R.assemble_outline(outlines)
 
 
 @query("split_fixed", """
@@ -375,7 +376,8 @@ def split_fixed(spark, folder):
 WITH v AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS pos, doc_id, lang, n_chars, text FROM documents),
 b AS (SELECT source, doc_id, pos, '### [' || doc_id || '] doc ' || doc_id || ' (' || CASE WHEN doc_id % 3 <> 0 THEN '2024-01-02, ' ELSE '' END || CASE WHEN n_chars // 15 >= 3600 THEN 'long' ELSE printf('%d:%02d', n_chars // 15 // 60, n_chars // 15 % 60) END || ', ' || lang || ')'
   || CASE WHEN doc_id % 2 = 0 THEN chr(10) || 'Source: u' || doc_id ELSE '' END || chr(10) || chr(10) || CASE WHEN length(text) <= 400 THEN text ELSE rtrim(left(text, 400)) || chr(10) || '[...truncated...]' END || chr(10) || chr(10) || '---' || chr(10) AS block FROM v)
-SELECT source AS pack_id, (pos - 1) // 20000 AS part, string_agg(block, chr(10) ORDER BY pos) AS prompt FROM b GROUP BY 1, 2""")
+, p AS (SELECT source AS pack_id, pos, CASE WHEN pos > 1 THEN chr(10) ELSE '' END || block AS piece FROM b)
+""" + sql_pieces("p", "pack_id", "pos"))
 def prompt_pack(spark, folder):
     doc = F.col("doc_id").cast("string")
     videos = documents(spark, folder).select(

@@ -120,6 +120,26 @@ def reassemble(spark, folder):
 
 # --- frames ------------------------------------------------------------------
 
+@query("dedup_frames_of_orders", """
+WITH RECURSIVE frames AS (
+  SELECT o_custkey AS video_id, 0 AS win_idx, o_orderkey AS frame_idx, xor(o_custkey * 2654435761, CAST(round_even(o_totalprice * 100, 0) AS BIGINT) & 16383) AS hash FROM orders),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY frame_idx) AS nth FROM frames),
+fold AS (
+  SELECT video_id, frame_idx, nth, [hash] AS kept, TRUE AS keep FROM ordered WHERE nth = 1
+  UNION ALL SELECT h.video_id, h.frame_idx, h.nth,
+    CASE WHEN list_min([bit_count(xor(k, h.hash)) FOR k IN f.kept]) <= 5 THEN f.kept ELSE list_append(f.kept, h.hash) END,
+    list_min([bit_count(xor(k, h.hash)) FOR k IN f.kept]) > 5
+  FROM fold f JOIN ordered h ON h.video_id = f.video_id AND h.nth = f.nth + 1)
+SELECT video_id, 0 AS win_idx, frame_idx FROM fold WHERE keep""")
+def dedup_frames_of_orders(spark, folder):
+    """One window a customer, whose frames differ in up to 14 bits."""
+    cents = F.rint(F.col("o_totalprice") * 100).cast("long")
+    return P.dedup_frames(C.table(spark, folder, "orders").select(
+        F.col("o_custkey").alias("video_id"), F.lit(0).alias("win_idx"), F.col("o_orderkey").alias("frame_idx"),
+        (F.col("o_custkey") * F.lit(2654435761)).bitwiseXOR(cents.bitwiseAND(16383)).alias("hash"),
+    )).drop("hash")
+
+
 @query("dedup_frames", """
 WITH RECURSIVE frames AS (
   SELECT l_suppkey % 50 AS win_idx, l_orderkey AS video_id, CAST(l_linenumber AS BIGINT) AS frame_idx,

@@ -40,3 +40,13 @@ def sql_duration(x: str) -> str:
         f"CASE WHEN {x} IS NULL THEN '—' WHEN {x} >= 3600 THEN printf('%d:%02d:%02d', {x} // 3600, {x} % 3600 // 60, {x} % 60) "
         f"ELSE printf('%d:%02d', {x} // 60, {x} % 60) END"
     )
+
+
+def sql_pieces(rows: str, keys: str, order: str, extra: str = "") -> str:
+    """Places of the pieces in ``rows``, which has the keys, the order and ``piece``."""
+    window = f"(PARTITION BY {keys} ORDER BY {order})"
+    sums = f"(PARTITION BY {keys} ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    return (
+        f"SELECT {keys}, row_number() OVER {window} - 1 AS position, "
+        f'CAST(coalesce(sum(strlen(piece)) OVER {sums}, 0) AS BIGINT) AS "offset", piece{extra} FROM {rows}'
+    )

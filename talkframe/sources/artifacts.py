@@ -1,6 +1,6 @@
 """Transcripts as text artifacts, and the writers that put them into files.
 
-Documents come in parts, see :func:`talkframe.operators.ordered.joined_parts`.
+Documents of any size are rows of pieces with exact places, see :func:`talkframe.operators.ordered.placed_pieces`.
 """
 
 from __future__ import annotations
@@ -9,26 +9,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talkframe.functions.columns import format_timestamp, strip
-from talkframe.operators.ordered import PART_ROWS, block_of, joined_parts, numbered, running_before, with_parts
+from talkframe.operators.ordered import block_of, numbered, placed_pieces, running_before
 
 PAUSE_SECONDS = 2.0
 PARAGRAPH_SEGMENTS = 5
 
 
-def to_srt(segments: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
-    """``(video_id, part, srt)``: blocks numbered from 1 over the whole video."""
-    placed = numbered(segments, ["video_id"], "seg_idx", "_pos")
+#: Bytes after which a written part ends, but for its last piece.
+PART_BYTES = 64 << 20
+
+
+def to_srt(segments: DataFrame) -> DataFrame:
+    """``(video_id, position, offset, piece)``: blocks numbered from 1 over the whole video, a piece each."""
+    placed = numbered(segments.select("video_id", "seg_idx", "start", "end", "text"), ["video_id"], "seg_idx", "_pos")
     block = F.concat(
         (F.col("_pos") + 1).cast("string"), F.lit("\n"), format_timestamp("start", ","), F.lit(" --> "),
         format_timestamp("end", ","), F.lit("\n"), strip("text"), F.lit("\n"),
     )
-    return joined_parts(placed, ["video_id"], "_pos", block, "\n", "srt", part_rows, dense=True)
+    return placed_pieces(placed, ["video_id"], ["_pos"], block_of("_pos"), block, "\n")
 
 
-def to_timestamped_txt(segments: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
-    """``(video_id, part, txt)``: one ``[start --> end] text`` line per segment."""
+def to_timestamped_txt(segments: DataFrame) -> DataFrame:
+    """``(video_id, position, offset, piece)``: one ``[start --> end] text`` line per segment."""
     line = F.concat(F.lit("["), format_timestamp("start"), F.lit(" --> "), format_timestamp("end"), F.lit("] "), strip("text"))
-    return joined_parts(segments, ["video_id"], "seg_idx", line, "\n", "txt", part_rows)
+    return placed_pieces(segments, ["video_id"], ["seg_idx"], block_of("seg_idx"), line, "\n")
 
 
 def paragraph_rows(segments: DataFrame) -> DataFrame:
@@ -49,60 +53,67 @@ def paragraph_rows(segments: DataFrame) -> DataFrame:
     return runs.withColumn("para", para).drop("_end", "_pos", "_open", "_prev")
 
 
-def to_paragraphs(segments: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
-    """``(video_id, part, txt)``: texts joined to paragraphs, blank lines between."""
-    rows = paragraph_rows(segments)
+def to_paragraphs(segments: DataFrame) -> DataFrame:
+    """``(video_id, position, offset, piece)``: texts joined to paragraphs, a piece each, blank lines between."""
+    rows = paragraph_rows(segments.select("video_id", "seg_idx", "start", "end", "text"))
     paragraphs = (
         rows.groupBy("video_id", "para")
         .agg(F.array_sort(F.collect_list(F.struct("seg_idx", strip("text").alias("t")))).alias("_t"))
         .select("video_id", "para", F.array_join(F.col("_t.t"), " ").alias("_text"))
     )
-    return joined_parts(paragraphs, ["video_id"], "para", F.col("_text"), "\n\n", "txt", part_rows)
+    return placed_pieces(paragraphs, ["video_id"], ["para"], block_of("para"), F.col("_text"), "\n\n")
 
 
-def to_transcript_json(videos: DataFrame, segments: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
-    """``(video_id, part, json)``: the video's facts and its segments.
+def to_transcript_json(videos: DataFrame, segments: DataFrame) -> DataFrame:
+    """``(video_id, position, offset, piece)``: the video's facts and its segments as one JSON document a video.
 
     ``videos(video_id, language, backend, duration_sec)`` and, optionally, ``quality``
-    and ``visual_segments``. Each part is a JSON document of its own.
+    and ``visual_segments``. The first piece holds the facts, the last closes the document, and each segment between
+    is a piece. Segments of unknown videos are left out; a video without segments has an empty list.
     """
-    item = F.struct("start", "end", "text")
-    grouped = (
-        with_parts(segments, ["video_id"], "seg_idx", part_rows)
-        .select("video_id", "part", F.struct("seg_idx", item.alias("s")).alias("_s"))
-        .groupBy("video_id", "part")
-        .agg(F.array_sort(F.collect_list("_s")).alias("_s"))
-        .select("video_id", "part", F.col("_s.s").alias("segments"))
-    )
+    keep = {"ignoreNullFields": "false"}
+    facts = F.to_json(F.struct("language", "backend", "duration_sec"), keep)
     extra = [c for c in ("quality", "visual_segments") if c in videos.columns]
-    facts = videos.select("video_id", "language", "backend", "duration_sec", *extra)
-    document = F.struct("language", "backend", "duration_sec", "segments", *extra)
-    return grouped.join(facts, "video_id").select(
-        "video_id", "part", F.to_json(document, {"ignoreNullFields": "false"}).alias("json")
-    )
-
-
-def video_totals(segments: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
-    """``(video_id, part, text, duration)``: texts joined; duration is the end of the last segment by position."""
-    text = joined_parts(segments, ["video_id"], "seg_idx", F.col("text"), " ", "text", part_rows)
+    closing = F.concat(F.lit("\n]"), *([F.lit(","), F.substring(F.to_json(F.struct(*extra), keep), 2, 1 << 30)] if extra else [F.lit("}")]))
+    last = F.lit((1 << 63) - 1)
+    ends = videos.select("video_id", F.inline(F.array(
+        F.struct(F.lit(0).alias("_side"), F.lit(0).cast("long").alias("_i"), F.concat(F.regexp_replace(facts, r"\}$", ""), F.lit(',"segments":[')).alias("_piece")),
+        F.struct(F.lit(2).alias("_side"), last.alias("_i"), closing.alias("_piece")),
+    )))
+    item = F.to_json(F.struct("start", "end", "text"), keep)
+    known = segments.join(videos.select("video_id"), "video_id", "left_semi")
+    items = known.select("video_id", F.lit(1).alias("_side"), F.col("seg_idx").cast("long").alias("_i"), item.alias("_piece"))
+    at = F.when(F.col("_side") == 0, F.lit(-1)).otherwise(block_of("_i"))
+    return placed_pieces(ends.unionByName(items), ["video_id"], ["_side", "_i"], at, F.col("_piece"), "\n,", F.col("_side") == 1)
+
+
+def video_totals(segments: DataFrame) -> DataFrame:
+    """``(video_id, position, offset, piece, duration)``: the texts joined by spaces; duration is the end of the last segment by position."""
+    pieces = placed_pieces(segments, ["video_id"], ["seg_idx"], block_of("seg_idx"), F.col("text"), " ")
     last = segments.groupBy("video_id").agg(F.max_by("end", "seg_idx").alias("duration"))
-    return text.join(last, "video_id")
+    return pieces.join(last, "video_id")
 
 
-def write_documents(documents: DataFrame, path: str, column: str, key: str = "video_id") -> None:
-    """Write documents as text, one folder per key, parts in order.
+def write_documents(pieces: DataFrame, path: str, key: str = "video_id", part_bytes: int = PART_BYTES, newline: str = "before") -> None:
+    """Writes documents, given as pieces, as text: a folder a key, and in it parts in order.
 
-    Rows are spread by key and part, so a giant document is written by many tasks.
+    A part ends before the first piece at or beyond ``part_bytes`` after its beginning, so many tasks write a giant document and no file is longer
+    than that and one piece. The parts of a key, one after another, are its document. Every piece but the first begins with a line feed
+    (``newline="before"``; the document then ends with one more), or every piece ends with one (``"after"``).
     """
-    (
-        documents.select(F.col(key), F.col("part"), F.col(column).alias("value"))
-        .repartitionByRange(key, "part")
-        .sortWithinPartitions(key, "part")
-        .drop("part")
-        .write.mode("overwrite")
-        .partitionBy(key)
-        .text(path)
+    if newline not in ("before", "after"):
+        raise ValueError(f"unknown place of line feeds: {newline}")
+    part = F.floor(F.col("offset") / part_bytes).cast("long")
+    held = (
+        pieces.select(F.col(key), part.alias("part"), F.struct("position", "piece").alias("_p"))
+        .groupBy(key, "part").agg(F.array_sort(F.collect_list("_p")).alias("_p"))
+        .select(key, "part", F.array_join(F.col("_p.piece"), "").alias("value"))
     )
+    # The sink ends each part with a line feed.
+    trimmed = F.when((F.col("part") > 0) & F.col("value").startswith("\n"), F.substring("value", 2, 1 << 30)).otherwise(F.col("value"))
+    if newline == "after":
+        trimmed = F.regexp_replace("value", r"\n\z", "")
+    held.withColumn("value", trimmed).repartitionByRange(key, "part").withColumn("part", F.format_string("%08d", "part")).write.mode("overwrite").partitionBy(key, "part").text(path)
 
 
 def write_log(entries: DataFrame, path: str) -> bool:

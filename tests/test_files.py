@@ -5,9 +5,10 @@ from __future__ import annotations
 import json
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
-from talkframe.operators import channels
+from talkframe.operators import batch, channels, ordered
 from talkframe.sources import artifacts as A
 from talkframe.sources import transcripts as S
 from talkframe.streaming import live
@@ -70,20 +71,81 @@ def test_words(spark):
     assert got == [(0, 0.0, 1.9), (4, 2.0, 9.4), (19, 9.5, 9.9)]
 
 
-def test_documents_in_parts_are_the_whole(spark, tmp_path):
-    df = spark.createDataFrame([("v", i, float(i), i + 0.5, f"t{i}") for i in range(23)], SEG)
-    whole = A.to_srt(df).first()
-    parts = A.to_srt(df, part_rows=5).orderBy("part").collect()
-    assert len(parts) == 5 and "\n".join(p.srt for p in parts) == whole.srt
-    A.write_documents(A.to_srt(df, part_rows=5), str(tmp_path / "out"), "srt")
-    back = S.read_srt(spark, str(tmp_path / "out" / "video_id=v"))
-    assert back.count() == 23
+def _document(pieces):
+    """The document of one key; places and offsets fit the pieces."""
+    found = pieces.orderBy("position").collect()
+    text = "".join(r.piece for r in found)
+    at = 0
+    for k, r in enumerate(found):
+        assert (r.position, r.offset) == (k, at)
+        at += len(r.piece.encode())
+    return text
+
+
+@pytest.mark.parametrize("block", [4, 100_000])
+def test_pieces_are_the_document_in_blocks_of_any_size(spark, monkeypatch, block):
+    monkeypatch.setattr(ordered.block_of, "__defaults__", (block,))
+    df = spark.createDataFrame([("v", i * 3, float(i), i + 0.5, f" t{i}é " if i != 7 else None) for i in range(23)], SEG).repartition(5)
+    blocks = [f"{i + 1}\n00:00:{i:02d},000 --> 00:00:{i:02d},500\n{f't{i}é' if i != 7 else ''}\n" for i in range(23)]
+    # A piece that is null is empty, but keeps its place and separator.
+    assert _document(A.to_srt(df)) == "\n".join(b if i != 7 else "" for i, b in enumerate(blocks))
+    assert _document(A.video_totals(df)) == " ".join(f" t{i}é " if i != 7 else "" for i in range(23))
+    assert A.to_srt(df.limit(0)).count() == 0
+
+
+def test_written_documents_are_cut_by_bytes_and_read_as_one(spark, tmp_path):
+    rows = [(v, i, float(i), i + 0.5, f"t{i} ü" * (1 + i % 5)) for v, n in (("v", 200), ("w", 3)) for i in range(n)]
+    pieces = A.to_srt(spark.createDataFrame(rows, SEG))
+    A.write_documents(pieces, str(tmp_path / "out"), part_bytes=1000)
+    for video in ("v", "w"):
+        files = sorted((tmp_path / "out" / f"video_id={video}").glob("part=*/*.txt"))
+        assert len(files) == len({f.parent for f in files}) and all(f.stat().st_size < 1200 for f in files)
+        assert b"".join(f.read_bytes() for f in files).decode() == _document(pieces.filter(F.col("video_id") == video)) + "\n"
+    entries = spark.createDataFrame([("v", i, 100 * i, f"line {i} " + "x" * 90 + "\n") for i in range(30)], "video_id string, position long, offset long, piece string")
+    A.write_documents(entries, str(tmp_path / "log"), part_bytes=500, newline="after")
+    files = sorted((tmp_path / "log" / "video_id=v").glob("part=*/*.txt"))
+    assert len(files) == 6 and "".join(f.read_text() for f in files) == "".join(r.piece for r in entries.orderBy("position").collect())
+
+
+def test_json_documents_of_any_size(spark):
+    segments = spark.createDataFrame([("v", i, float(i), i + 1.0, f'q"{i}') for i in range(9)] + [("lost", 0, 0.0, 1.0, "x")], SEG)
+    videos = spark.createDataFrame([("v", "en", "b", 9.0, 0.5), ("empty", None, None, None, None)], "video_id string, language string, backend string, duration_sec double, quality double")
+    pieces = A.to_transcript_json(videos, segments)
+    v = json.loads(_document(pieces.filter("video_id = 'v'")))
+    assert v["segments"][3] == {"start": 3.0, "end": 4.0, "text": 'q"3'} and len(v["segments"]) == 9 and (v["language"], v["quality"]) == ("en", 0.5)
+    assert json.loads(_document(pieces.filter("video_id = 'empty'"))) == {"language": None, "backend": None, "duration_sec": None, "segments": [], "quality": None}
+    statuses = spark.createDataFrame([("b", 2, "u2", "ok")], "batch string, index int, url string, status string")
+    failures = spark.createDataFrame([("b", 1, "u1", "download", "403", None)], "batch string, index int, url string, stage string, error string, hint string")
+    meta = spark.createDataFrame([("b", "2026-01-01", "file", None, "smart", "auto")], "batch string, created_at string, source_type string, source_url string, backend string, language string")
+    made = json.loads(_document(batch.build_manifest(statuses, failures, meta)))
+    assert made["stats"] == {"total": 2, "ok": 1, "failed": 1} and [v["url"] for v in made["videos"]] == ["u1", "u2"] and made["videos"][0]["error"] == "403"
+
+
+def test_combined_document_has_head_contents_sections_and_moments(spark):
+    schema = "batch string, index int, url string, video_id string, title string, upload_date date, duration_sec int, channel string, language string, text string, status string, score double, flags array<string>, recommendation string"
+    videos = spark.createDataFrame([
+        ("b", 1, "u1", "v1", "One", datetime(2024, 1, 2).date(), 65, "C", "en", " said ", "ok", 0.25, ["looped"], "low_quality"),
+        ("b", 2, "u2", None, None, None, None, None, None, None, "failed", None, None, None),
+    ], schema)
+    meta = spark.createDataFrame([("b", "2026-01-01T10:00:00", "file", None, "smart", "auto", {"model": "x"})], "batch string, created_at string, source_type string, source_url string, backend string, language string, backend_options map<string,string>")
+    visuals = spark.createDataFrame([("b", 1, 4, 61.5, "A slide. More", 3, ["k.png"], ["chart"], "raw"), ("b", 1, 9, 62.0, "B", 1, None, None, None), ("b", 2, 0, 0.0, "lost", 1, None, None, None)],
+                                    "batch string, index int, moment int, start double, description string, importance int, keyframes array<string>, detected_objects array<string>, trigger_reason string")
+    got = _document(batch.combined_document(videos, meta, visuals, banner="> mind\n\n"))
+    assert got == (
+        "---\nbatch_name: b\ncreated_at: 2026-01-01T10:00:00\nsource: file\nsource_url: null\ntotal: 2\nok: 1\nfailed: 1\nbackend: smart\nmodel: x\nlanguage: auto\n---\n"
+        "> mind\n\n# Batch transcript — b — 2026-01-01\n\n2 videos, backend: smart. 1 succeeded, 1 failed.\n\n## Inputs\n\n"
+        "1. [One](u1) — 2024-01-02 • 1:05 • C\n2. [(untitled)](u2) — ❌ failed\n"
+        "\n---\n\n## 1. One\n\n| Field | Value |\n|---|---|\n| URL | u1 |\n| Video ID | v1 |\n| Date | 2024-01-02 |\n| Duration | 1:05 |\n| Channel | C |\n| Language detected | en |\n"
+        "\nsaid\n\n⚠ **Quality: low_quality** (score=0.25, flags=[looped])\n"
+        "\n### Visual moments\n\n#### 00:01:01.500 — A slide (importance: 3)\n\n![](k.png)\n\nA slide. More\n\nObjects detected: chart\n\nTrigger: `raw`\n\n"
+        "#### 00:01:02.000 — B (importance: 1)\n\nB\n\nTrigger: ``\n\n"
+    )
 
 
 def test_paragraphs(spark):
     times = [(0, 1), (1, 2), (2, 3), (3, 4), (4, 5), (5, 6), (9, 10), (10, 11)]
     df = spark.createDataFrame([("v", i, float(s), float(e), f"t{i}") for i, (s, e) in enumerate(times)], SEG)
-    assert A.to_paragraphs(df).first().txt == "t0 t1 t2 t3 t4\n\nt5\n\nt6 t7"
+    assert _document(A.to_paragraphs(df)) == "t0 t1 t2 t3 t4\n\nt5\n\nt6 t7"
 
 
 def test_no_failures_no_log(spark, tmp_path):

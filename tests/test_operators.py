@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from talkframe.functions import columns as X
 from talkframe.functions.fixed_values import MODEL_PRICES
-from talkframe.operators import channels, claims, cost, detect, intervals, matching, packs, phrases, quality, responses, targets, windows
+from talkframe.operators import channels, claims, cost, detect, intervals, matching, ordered, packs, phrases, quality, responses, targets, windows
 from talkframe.operators.ordered import block_of, running_before
 
 
@@ -234,6 +234,60 @@ def test_greedy_chunks_match_the_fold_in_blocks_of_any_size(spark, least, budget
         assert rows(packs.greedy_chunks(df, "i", "n", budget, least, block_rows=block), "video_id", "i", "chunk") == want
 
 
+def brute_frames(frames, distance):
+    kept = []
+    for i, h in sorted(frames):
+        if all(((h ^ k) & (1 << 64) - 1).bit_count() > distance for _, k in kept):
+            kept.append((i, h))
+    return [i for i, _ in kept]
+
+
+@pytest.mark.parametrize("distance", [0, 5, 9])
+def test_frames_are_kept_as_by_the_fold(spark, distance):
+    r = random.Random(5)
+    windows_of, data = {}, []
+    for w in range(8):
+        looks = [r.getrandbits(64) - (1 << 63) for _ in range(4)]
+        frames = []
+        for i in range(50):
+            h = r.choice(looks)
+            for _ in range(r.randint(0, 6)):
+                h ^= 1 << r.randrange(63)
+            frames.append((i, h))
+        windows_of[w] = brute_frames(frames, distance)
+        data += [("v", w, i, h) for i, h in frames]
+    # Each frame near the one before: every other stays, round by round.
+    chain = [(i, (1 << 6 * i) - 1) for i in range(9)]
+    windows_of[90] = brute_frames(chain, distance)
+    data += [("v", 90, i, h) for i, h in chain] + [("v", 0, 900, None)]
+    r.shuffle(data)
+    got = packs.dedup_frames(spark.createDataFrame(data, "video_id string, win_idx int, frame_idx int, hash long").repartition(3), distance)
+    want = sorted([(w, i) for w, kept in windows_of.items() for i in kept] + [(0, 900)])
+    assert sorted((x.win_idx, x.frame_idx) for x in got.collect()) == want
+
+
+def final_plan(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("+- == Initial Plan ==")[0]
+
+
+def test_running_values_read_their_input_once(spark, monkeypatch, tmp_path):
+    from talkframe.sources import artifacts
+
+    monkeypatch.setattr(ordered.block_of, "__defaults__", (10,))
+    spark.createDataFrame([(f"v{i % 3}", i // 3, float(i), i + 0.5, f"t{i}") for i in range(300)], "video_id string, seg_idx int, start double, end double, text string").write.parquet(f"{tmp_path}/s")
+    segments = spark.read.parquet(f"{tmp_path}/s")
+    for df in (ordered.numbered(segments, ["video_id"], "seg_idx"), artifacts.to_timestamped_txt(segments), artifacts.paragraph_rows(segments)):
+        plan = final_plan(df)
+        assert plan.count("FileScan") == 1 and "ReusedExchange" in plan
+
+
+def test_running_values_of_rows_without_a_key(spark):
+    df = spark.createDataFrame([(None, i) for i in range(40)] + [("a", i) for i in range(5)], "k string, i int")
+    got = ordered.running_before(df, ["k"], ["i"], ordered.block_of("i", 7), {"n": ("sum", F.lit(1))})
+    assert got.filter("n <> i").count() == 0 and got.count() == 45 and got.columns == ["k", "i", "n"]
+
+
 def test_cap_stops_at_the_first_overflow(spark):
     got = rows(packs.cap_transcript(segs(spark, ["a" * 20, "b" * 50, "c"]), 60), "seg_idx", "line")
     assert got == [(0, "[00:00:00] " + "a" * 20), (1, "[...truncated...]")]
