@@ -108,6 +108,7 @@ class PrefixCounter:
 
     def prefixes(self, text: str) -> np.ndarray:
         """Counts of the prefixes of 0, 1, … code points of ``text``."""
+        text = text.replace(_SPACE, " ")  # the model's own space is one to it
         out, total = [0], 0
         for i, unit in enumerate(_UNITS.findall(" " + text) if text else []):
             counts = self.unit(unit)
@@ -120,6 +121,7 @@ class PrefixCounter:
         totals, fitting = np.zeros(len(texts), np.int64), np.array([len(t) for t in texts], np.int64)
         if not texts:
             return totals, fitting
+        texts = [t.replace(_SPACE, " ") for t in texts]
         if self.pairs > KEEP_PAIRS:
             self.follow, self.pairs = {}, 0
         stay = self.words.crowded()

@@ -20,7 +20,7 @@ DOCS = "doc_id bigint, text string"
 CLASHING = "doc_id bigint, text string, id bigint, key string, row int, score string, n_words string, overlap int, part string, component string, a int, start int, digest string, c0 int"
 draw = random.Random(5)
 LONG = "\n".join(brute.sentence(draw, 40) for _ in range(700))
-ODD = [None, "", " ", "\n\n", "a", "A  b\tc\n", "naïve café ﬁ ①", "日本語 テスト 🙂", "<|endoftext|> <s>", "x" * 5000, "1 " * 3000, "don't I'LL", "İΣ ς"]
+ODD = [None, "", " ", "\n\n", "a", "A  b\tc\n", "naïve café ﬁ ①", "日本語 テスト 🙂", "<|endoftext|> <s>", "x" * 5000, "1 " * 3000, "don't I'LL", "İΣ ς", "a▁b", "▁", "▁▁ ▁x\n▁y▁"]
 
 
 def table(spark, texts, schema=DOCS):
@@ -69,6 +69,16 @@ def test_counts_at_every_prefix():
             assert (totals[0], fitting[0]) == (want[-1], max(i for i, n in enumerate(want) if n <= limit))
 
 
+def test_counts_of_random_texts():
+    counter = token_counts.PrefixCounter(tokenizer_path("piece_bpe_32k.model"))
+    source = random.Random(2)
+    kinds = [lambda: source.choice("▁ \n\t.,'a") , lambda: chr(source.randrange(0x20, 0x250)), lambda: chr(source.choice([*range(1, 0xD800), *range(0xE000, 0x20000, 7)])), lambda: source.choice(brute.WORDS)]
+    texts = ["".join(source.choice(kinds)() for _ in range(source.randrange(1, 14))) for _ in range(4000)]
+    totals, _ = counter.measure(texts, 4096)
+    wrong = [(t, int(n)) for t, n, ids in zip(texts, totals, counter.model.encode(texts)) if n != len(ids)]
+    assert not wrong, (len(wrong), wrong[:5])
+
+
 def test_token_counts_of_odd_rows(spark):
     model = tokenizer_path("piece_bpe_32k.model")
     library = token_counts.prefix_counter(model).model
