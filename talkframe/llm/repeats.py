@@ -23,9 +23,13 @@ from talkframe.llm.storage import column, settle
 
 LENGTH = 200
 #: Bytes of text that are looked at together; longer texts are cut into pieces that overlap by a window.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: Sites of one group that meet in a cell, bytes after which a cell is closed, and shards in it.
 CELL_SITES, CELL_BYTES, SHARDS = 512, 1 << 17, 4
+#: Ranges of anchor offsets that a site is looked at in before it goes to a cell.
+BANDS = 8
+#: Bits of the map of anchors that occur twice, and of a piece of it: 16 MB at any size of the input.
+MAP_BITS, PIECE_BITS = 1 << 27, 1 << 15
 #: Sites, or spans, whose table is broadcast; more are joined by a shuffle.
 BROADCAST_ITEMS = 1_000_000
 
@@ -104,7 +108,7 @@ def _sketches(texts: DataFrame, length: int) -> DataFrame:
             begin = 0
             while begin < len(parts):
                 stop, total = begin, 0
-                while stop < len(parts) and (stop == begin or total + len(parts[stop]) <= 2 * CHUNK):
+                while stop < len(parts) and (stop == begin or total + len(parts[stop]) <= CHUNK):
                     total += len(parts[stop])
                     stop += 1
                 owner, v, first, n, anchor, s = sites_of(b"".join(parts[begin:stop]), np.cumsum([len(p) for p in parts[begin:stop]]), length)
@@ -217,44 +221,66 @@ _ASKED = "key binary, a int, b int, v bigint, s bigint, r bigint, first bigint,
 _HITS = "r bigint, begin bigint, stop bigint"
 
 
+def _pieces(group: list[tuple], length: int) -> list[tuple[int, int, bool, bytes]]:
+    """The parts of a group's sites that may hold windows of another site: number and place of the text, whether it asks, the part.
+
+    Windows whose anchor lies in one range of offsets have most of their bytes in common; only sites that share those bytes go on.
+    """
+    width = length - gram_of(length) + 1
+    step = -(-width // BANDS)
+    met: dict[tuple[int, bytes], list[int]] = {}
+    for i, (_, a, b, _, _, _, _, n, anchor, _, site) in enumerate(group):
+        for band in range(max(a, anchor - n + 1) // step, min(b - 1, anchor) // step + 1):
+            low, high = band * step, min((band + 1) * step, width)
+            met.setdefault((band, site[anchor - low:anchor + length + 1 - high]), []).append(i)
+    alive: list[list[int]] = [[] for _ in group]
+    for (band, _), found in met.items():
+        if len(found) > 1 and any(group[i][9] for i in found):
+            for i in found:
+                alive[i].append(band)
+    out = []
+    for bands, (_, a, b, _, _, r, first, n, anchor, wanted, site) in zip(alive, group):
+        bands.sort()
+        while bands:
+            stop = 1
+            while stop < len(bands) and bands[stop] == bands[stop - 1] + 1:
+                stop += 1
+            least, most = max(a, anchor - n + 1, bands[0] * step), min(b - 1, anchor, (bands[stop - 1] + 1) * step - 1)
+            out.append((r, first + anchor - most, wanted, site[anchor - most:anchor - least + length]))
+            del bands[:stop]
+    return out
+
+
 def _cells(asked: DataFrame, length: int) -> DataFrame:
     """``(r, begin, stop)``: windows of the asked sites that repeat in their group, as runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple] = []
-        cell: list[tuple] = []
-        size, last = 0, None
-
-        def answer(cell: list[tuple]) -> pa.RecordBatch:
-            strings, places = [], []
-            for _, a, b, _, _, r, first, n, anchor, wanted, site in cell:
-                low = max(0, anchor - b + 1)
-                strings.append(site[low:min(n - 1, anchor - a) + length])
-                places.append((r, first + low, wanted))
-            marks = repeated_windows(strings, length)
-            begins, stops = _runs(marks)
-            ends = np.cumsum([len(x) for x in strings])
+        cell: list[tuple[int, int, bool, bytes]] = []
+        last = None
+
+        def answer(cell: list[tuple[int, int, bool, bytes]]) -> pa.RecordBatch:
+            strings = [x[3] for x in cell]
+            begins, stops = _runs(repeated_windows(strings, length))
+            sizes = np.array([len(x) for x in strings])
+            ends = np.cumsum(sizes)
             of = np.searchsorted(ends, begins, side="right")
-            rows = np.array([p[0] for p in places], np.int64)
-            base = np.array([p[1] for p in places], np.int64) - (ends - [len(x) for x in strings])
-            wanted = np.array([p[2] for p in places], bool)[of]
-            return pa.RecordBatch.from_arrays([pa.array(rows[of][wanted]), pa.array((begins + base[of])[wanted]), pa.array((stops + base[of])[wanted])], ["r", "begin", "stop"])
+            rows, place, wanted = np.array([x[0] for x in cell], np.int64), np.array([x[1] for x in cell], np.int64) - (ends - sizes), np.array([x[2] for x in cell], bool)[of]
+            return pa.RecordBatch.from_arrays([pa.array(rows[of][wanted]), pa.array((begins + place[of])[wanted]), pa.array((stops + place[of])[wanted])], ["r", "begin", "stop"])
 
         for batch in batches:
             for row in zip(*[column(batch, f.split()[0]).to_pylist() for f in _ASKED.split(", ")]):
                 if last is not None and row[0] != last[0]:
-                    cell += group if len(group) > 1 else []
+                    cell += _pieces(group, length)
                     group = []
-                    if size >= CELL_BYTES:
-                        if cell:
-                            yield answer(cell)
-                        cell, size = [], 0
+                    if sum(len(x[3]) for x in cell) >= CELL_BYTES:
+                        yield answer(cell)
+                        cell = []
                 # Copies of a text give a site more than once.
                 if last is None or (row[0], row[3], row[4]) != (last[0], last[3], last[4]):
                     group.append(row)
-                    size += len(row[10])
                 last = row
-        cell += group if len(group) > 1 else []
+        cell += _pieces(group, length)
         if cell:
             yield answer(cell)
 
@@ -308,6 +334,45 @@ def _repeats_in_groups(asked: DataFrame, large: bool, length: int) -> DataFrame:
     return hits
 
 
+def _anchor_map(anchors: DataFrame) -> np.ndarray:
+    """A bit map of ``v``, of one size whatever the number of anchors; where they crowd it lets more through."""
+    piece = (F.col("v").bitwiseAND(MAP_BITS - 1) / PIECE_BITS).cast("int")
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            v, p = column(batch, "v").to_numpy() & (PIECE_BITS - 1), column(batch, "p").to_numpy()
+            order = np.argsort(p, kind="stable")
+            cuts = np.flatnonzero(np.diff(p[order])) + 1
+            for places in np.split(order, cuts):
+                if len(places):
+                    held.setdefault(int(p[places[0]]), np.zeros(PIECE_BITS, bool))[v[places]] = True
+        if held:
+            yield pa.RecordBatch.from_pydict({"p": pa.array(list(held), pa.int32()), "bits": pa.array([np.packbits(x).tobytes() for x in held.values()], pa.binary())})
+
+    whole = np.zeros((MAP_BITS // PIECE_BITS, PIECE_BITS // 8), np.uint8)
+    marked = anchors.select("v", piece.alias("p")).repartition(64, "p").mapInArrow(mark, "p int, bits binary")
+    for row in marked.toLocalIterator():
+        whole[row["p"]] |= np.frombuffer(row["bits"], np.uint8)
+    return whole.ravel()
+
+
+def _candidates(sketch: DataFrame, anchors: DataFrame) -> DataFrame:
+    """``(v, s, r, first, n, anchor)``: the sites of all sketches whose anchor is in the map of ``anchors``."""
+    shared = sketch.sparkSession.sparkContext.broadcast(_anchor_map(anchors))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for batch in batches:
+            v = column(batch, "v")
+            at = (v.flatten().to_numpy() & (MAP_BITS - 1)).astype(np.int64)
+            kept = pa.array(np.flatnonzero((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1))
+            rows = np.repeat(column(batch, "r").to_numpy(), v.value_lengths().to_numpy())
+            yield pa.RecordBatch.from_arrays([v.flatten().take(kept), column(batch, "s").flatten().take(kept), pa.array(rows).take(kept), *[column(batch, c).flatten().take(kept) for c in ("first", "n", "anchor")]], ["v", "s", "r", "first", "n", "anchor"])
+
+    return sketch.select("r", "v", "s", "first", "n", "anchor").mapInArrow(pick, "v bigint, s bigint, r bigint, first bigint, n int, anchor int")
+
+
 def _small(df: DataFrame, items: int) -> DataFrame:
     return F.broadcast(df) if items <= BROADCAST_ITEMS else df
 
@@ -326,10 +391,11 @@ def with_repeated_spans(documents: DataFrame, length: int = LENGTH, text: str =
     known = settle(sketch.groupBy("digest").agg(F.min("r").alias("r"), F.count("*").alias("copies")), "repeat-texts")
 
     # Sites of different texts whose anchor occurs twice, and the classes of equal ones.
-    zipped = F.explode(F.arrays_zip("v", "s", "first", "n", "anchor")).alias("x")
-    sites = sketch.join(known.select("r"), "r", "left_semi").select("r", zipped).select("r", "x.*")
-    twice = settle(sites.groupBy("v").agg(F.count("*").alias("k")).filter("k > 1").select("v"), "repeat-anchors")
-    shared = settle(sites.join(twice, "v", "left_semi"), "repeat-candidates")
+    kept = known.filter("copies > 1").select("digest", F.col("r").alias("kept"))
+    extra = settle(sketch.select("r", "digest").join(kept, "digest").filter("r <> kept").select("r"), "repeat-copies")
+    single = sketch.join(_small(extra, extra.count()), "r", "left_anti")
+    twice = single.select(F.explode("v").alias("v")).groupBy("v").agg(F.count("*").alias("k")).filter("k > 1").select("v")
+    shared = settle(_candidates(single, twice), "repeat-candidates")
     classes = settle(shared.groupBy("v", "s").agg(F.count("*").alias("k"), F.min(F.struct("r", "first", "n", "anchor")).alias("at")), "repeat-classes")
     several = classes.groupBy("v").agg(F.count("*").alias("m")).filter("m > 1")
     border = settle(classes.join(several, "v").select("v", "s", "at.*", (F.col("k") == 1).alias("answer"), "m"), "repeat-border")
@@ -337,7 +403,7 @@ def with_repeated_spans(documents: DataFrame, length: int = LENGTH, text: str =
     # The text of the others, one row a class.
     counts = border.agg(F.count("*").alias("n"), F.coalesce(F.max("m"), F.lit(0)).alias("m")).first()
     site = F.struct("v", "s", "r", "first", "n", "anchor", "answer", "m")
-    wanted = border.join(known, "r").groupBy("digest").agg(F.collect_list(site).alias("sites"), F.first("copies").alias("copies"))
+    wanted = border.join(known.hint("merge"), "r").groupBy("digest").agg(F.collect_list(site).alias("sites"), F.first("copies").alias("copies"))
     wanted = settle(wanted, "repeat-wanted")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -363,7 +429,7 @@ def with_repeated_spans(documents: DataFrame, length: int = LENGTH, text: str =
     located = texts.join(_small(wanted, counts["n"]), "digest").select("digest", "data", "copies", "sites")
     asked = located.mapInArrow(cut, _ASKED + ", m bigint")
     hits = _repeats_in_groups(asked, counts["m"] > CELL_SITES, length)
-    equal = shared.join(classes.filter("k > 1").select("v", "s"), ["v", "s"], "left_semi")
+    equal = shared.join(classes.filter("k > 1").select("v", "s").hint("merge"), ["v", "s"], "left_semi")
     hits = hits.unionByName(equal.select("r", F.col("first").alias("begin"), (F.col("first") + F.col("n")).alias("stop")))
 
     def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -382,15 +448,15 @@ def with_repeated_spans(documents: DataFrame, length: int = LENGTH, text: str =
     gathered = hits.groupBy("r").agg(F.collect_list(F.struct("begin", "stop")).alias("hits"))
     spans = gathered.mapInArrow(cover, "r bigint, spans array<struct<begin:bigint,stop:bigint>>")
     # Texts with copies repeat from end to end, whatever else they have in common with others.
-    removal = known.join(spans, "r", "left").filter("copies > 1 or spans is not null").select("digest", (F.col("copies") > 1).alias("copied"), F.when(F.col("copies") == 1, F.col("spans")).alias("spans"))
+    removal = known.join(spans.hint("merge"), "r", "left").filter("copies > 1 or spans is not null").select("digest", (F.col("copies") > 1).alias("copied"), F.when(F.col("copies") == 1, F.col("spans")).alias("spans"))
     removal = settle(removal, "repeat-spans")
     items = removal.agg(F.coalesce(F.sum(1 + F.coalesce(F.size("spans"), F.lit(0))), F.lit(0)).alias("n")).first()["n"]
     span = "array<struct<begin:bigint,stop:bigint>>"
     whole = F.array(F.struct(F.lit(0).cast("bigint").alias("begin"), F.octet_length(data).cast("bigint").alias("stop")))
-    kept = [c for c in documents.columns if c != "repeated"]
+    others = [c for c in documents.columns if c != "repeated"]
     named = removal.select(F.col("digest").alias("_digest"), F.col("copied").alias("_copied"), F.col("spans").alias("_spans"))
-    joined = documents.select(*kept).withColumn("_digest", digest).join(_small(named, items), "_digest", "left")
-    return joined.select(*kept, F.when(F.col("_copied"), whole).otherwise(F.coalesce("_spans", F.array().cast(span))).cast(span).alias("repeated"))
+    joined = documents.select(*others).withColumn("_digest", digest).join(_small(named, items), "_digest", "left")
+    return joined.select(*others, F.when(F.col("_copied"), whole).otherwise(F.coalesce("_spans", F.array().cast(span))).cast(span).alias("repeated"))
 
 
 def remove_repeats(documents: DataFrame, length: int = LENGTH, text: str = "text", key: str = "doc_id") -> DataFrame:
