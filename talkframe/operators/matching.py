@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from talkframe.functions import fixed_values as fixed
 from talkframe.functions.columns import words
+from talkframe.operators.hot_keys import join_unique
 from talkframe.operators.phrases import phrase_hits
 
 SEGMENT = ["video_id", "seg_idx"]
@@ -97,8 +98,7 @@ def lemmatize(texts: DataFrame, lemmas: DataFrame, keys: list[str]) -> DataFrame
     skipped = (F.col("lang") == "en") & F.col("word").isin(fixed.ENGLISH_DETERMINERS)
     listed = lemmas.groupBy("lang", "word").agg(F.min("lemma").alias("lemma"))
     return (
-        tokens.filter(~skipped)
-        .join(listed, ["lang", "word"], "left")
+        join_unique(tokens.filter(~skipped), listed, ["lang", "word"], "left")
         .groupBy(*keys, "lang")
         .agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("lemma", "word").alias("t")))).alias("_t"))
         .select(*keys, "lang", F.array_join(F.col("_t.t"), " ").alias("lemma_text"))

@@ -1,84 +1,70 @@
-"""Exact search for many phrases in many texts, without pairing texts and phrases.
+"""Exact search for many phrases in many texts by automata.
 
-Every text position that is a multiple of a stride gives a short gram, every
-phrase gives its grams at all offsets below the stride, and both meet in an
-equality join. A phrase of length L uses the largest power of two with
-``2·stride - 1 <= L`` (16 at most), so each occurrence meets exactly one aligned
-gram and is found once. The rest of the phrase is then compared.
+All phrases of a block become one automaton, which finds every occurrence of every phrase in one walk over a text. Blocks
+have a bounded number of characters, so an automaton of bounded size is sent to the tasks and built once a worker; more phrases are more
+blocks, and each block is one more walk. Texts stay where they are: nothing is shuffled, and no text is joined again.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-from functools import reduce
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+import ahocorasick
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-STRIDES = (1, 2, 4, 8, 16)
-SLICE_CHARS = 1024
-# Grams of a phrase table below this size are broadcast; the size is measured first.
-BROADCAST_CHARS = 4_000_000
-BROADCAST_PHRASES = 100_000
-# Cost of the grams of one character at stride 1, in plain searches of one phrase.
-GUARD_COST = 200
-GRAMS = "array<struct<_stride: int, _at: int, _gram: string>>"
-
-
-def _stride_of(length):
-    stride = F.lit(STRIDES[0])
-    for q in STRIDES[1:]:
-        stride = F.when(length >= 2 * q - 1, F.lit(q)).otherwise(stride)
-    return stride
-
-
-def _phrase_grams(phrases: DataFrame, keys: list[str], phrase: str, scope: list[str]) -> DataFrame:
-    length = F.length(phrase)
-    rows = phrases.filter(length > 0).select(
-        *scope, *keys, F.col(phrase).alias("_phrase"), length.alias("_plen"), _stride_of(length).alias("_stride")
-    )
-    return rows.withColumn("_off", F.explode(F.sequence(F.lit(0), F.col("_stride") - 1))).withColumn(
-        "_gram", F.substring(F.col("_phrase"), F.col("_off") + 1, F.col("_stride"))
-    )
-
-
-@dataclass(frozen=True)
-class _Known:
-    """The phrases of one stride: how many, how long, and the phrases themselves if few."""
-
-    rows: int
-    chars: int
-    longest: int
-    phrases: list[str] | None
-
-
-def _few(stride: int) -> int:
-    """Phrases of a stride that are cheaper to look for one by one than by gram (measured)."""
-    return max(GUARD_COST // stride, 1)
-
-
-def _measure(phrases: DataFrame, phrase: str) -> dict[int, _Known]:
-    """Size of the phrase table by stride. Reads the phrases themselves only up to a fixed number."""
-    length = F.length(phrase)
-    texts = phrases.filter(length > 0).select(F.col(phrase).alias("p"), _stride_of(length).alias("q"))
-    head = texts.limit(GUARD_COST + 1).collect()
-    if len(head) <= GUARD_COST:
-        by_stride: dict[int, list[str]] = {}
-        for row in head:
-            by_stride.setdefault(row["q"], []).append(row["p"])
-        return {
-            q: _Known(len(ps), sum(map(len, ps)), max(map(len, ps)), sorted(set(ps)) if len(ps) <= _few(q) else None)
-            for q, ps in by_stride.items()
-        }
-    sizes = texts.groupBy("q").agg(
-        F.count("*").alias("n"), F.sum(F.length("p")).alias("c"), F.max(F.length("p")).alias("m")
-    ).collect()
-    few = [r["q"] for r in sizes if r["n"] <= _few(r["q"])]
-    listed: dict[int, list[str]] = {q: [] for q in few}
-    if few:
-        for row in texts.filter(F.col("q").isin(few)).distinct().collect():
-            listed[row["q"]].append(row["p"])
-    return {r["q"]: _Known(r["n"], r["c"], r["m"], listed.get(r["q"])) for r in sizes}
+from pyspark.sql import types as T
+
+#: Characters of the phrases that are broadcast as one automaton; a longer phrase is alone.
+BROADCAST_CHARS = 2_000_000
+SPANS = "array<struct<at:bigint,stop:bigint>>"
+
+
+def _blocks(phrases: DataFrame, phrase: str, columns: list[str], chars: int = BROADCAST_CHARS) -> Iterator[pa.Table]:
+    """The phrases that are not empty, in tables of bounded size, one after another."""
+    held, size, given = [], 0, False
+    kept = phrases.filter(F.length(phrase) > 0).select(F.col(phrase).alias("_phrase"), *columns)
+    schema = T.StructType(kept.schema.fields)
+    for row in kept.toLocalIterator():
+        if held and size + len(row[0]) > chars:
+            yield _table(held, schema)
+            held, size, given = [], 0, True
+        held.append(row)
+        size += len(row[0])
+    if held or not given:
+        yield _table(held, schema)
+
+
+def _table(rows: list, schema: T.StructType) -> pa.Table:
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    fields = to_arrow_schema(schema)
+    return pa.table([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(fields)], schema=fields)
+
+
+_BUILT: list[tuple[pa.Table, list[str], dict]] = []
+
+
+def _automata(shared, scope: list[str]) -> tuple[pa.Table, dict[tuple, ahocorasick.Automaton]]:
+    """The block, and one automaton for each value of its scope. A worker builds them once and keeps those of two blocks."""
+    table = shared.value
+    for known, of, built in _BUILT:
+        if known is table and of == scope:
+            return table, built
+    rows: dict[tuple, dict[str, list[int]]] = {}
+    scopes = list(zip(*[table[c].to_pylist() for c in scope])) if scope else [()] * table.num_rows
+    for i, (text, value) in enumerate(zip(table["_phrase"].to_pylist(), scopes)):
+        rows.setdefault(value, {}).setdefault(text, []).append(i)
+    built = {}
+    for value, texts in rows.items():
+        automaton = ahocorasick.Automaton()
+        for text, places in texts.items():
+            automaton.add_word(text, (len(text), places))
+        automaton.make_automaton()
+        built[value] = automaton
+    del _BUILT[:-1]
+    _BUILT.append((table, scope, built))
+    return table, built
 
 
 def phrase_hits(
@@ -95,78 +81,85 @@ def phrase_hits(
 
     ``scope`` columns must be equal on both sides (a language, a batch). Compares
     characters as they are, so lower both sides for a case-blind search. Returns
-    ``text_keys``, ``scope``, ``phrase_keys``, ``at`` (0-based) and ``length``.
+    ``text_keys``, ``scope``, ``phrase_keys``, ``at`` (0-based) and ``length``. Phrases are read, a block at a time, while the plan is built.
     """
     scope = scope or []
-    known = _measure(phrases, phrase)
-    longest = max((k.longest for k in known.values()), default=1)
-    small = (
-        sum(k.rows for k in known.values()) <= BROADCAST_PHRASES
-        and sum(k.chars for k in known.values()) <= broadcast_chars
-        and longest <= SLICE_CHARS
-    )
-    grams = _phrase_grams(phrases, phrase_keys, phrase, scope)
-    text_keys = [k for k in text_keys if k not in scope]
-
-    # Slices keep each step linear in the text: a row never carries more than one
-    # slice and its margins.
-    pieces = texts.select(
-        *scope, *text_keys,
-        F.regexp_extract_all(F.col(text), F.lit(f"(?s).{{1,{SLICE_CHARS}}}"), F.lit(0)).alias("_pieces"),
-    )
-    lead, tail = STRIDES[-1] - 1, longest + STRIDES[-1]
-
-    def slice_of(piece, i):
-        before = F.when(i > 0, F.right(F.get(F.col("_pieces"), i - 1), F.lit(lead))).otherwise(F.lit(""))
-        after = F.coalesce(F.substring(F.get(F.col("_pieces"), i + 1), 1, tail), F.lit(""))
-        return F.struct(
-            (i * SLICE_CHARS).cast("long").alias("base"),
-            piece.alias("piece"),
-            (F.concat(before, piece, after) if small else F.lit("")).alias("body"),
-            F.when(i > 0, F.lit(lead)).otherwise(F.lit(0)).alias("lead"),
-        )
-
-    cut = pieces.select(*scope, *text_keys, F.explode(F.transform("_pieces", slice_of)).alias("_s")).select(
-        *scope, *text_keys, "_s.*"
-    )
-
-    def grams_of(q):
-        found = F.regexp_extract_all(F.col("piece"), F.lit(f"(?s).{{{q}}}"), F.lit(0))
-        placed = F.transform(
-            found, lambda g, i: F.struct(F.lit(q).alias("_stride"), (i * q).alias("_at"), g.alias("_gram"))
-        )
-        listed = known[q].phrases if q in known else None
-        if not small or listed is None:
-            return placed
-        # A plain search for a few phrases is cheaper than the grams of a slice without any.
-        here = reduce(lambda x, y: x | y, [F.contains(F.col("body"), F.lit(p)) for p in listed])
-        return F.when(here, placed).otherwise(F.array().cast(GRAMS))
-
-    used = sorted(known) or [1]
-    per_stride = [grams_of(q) for q in used]
-    # A gram must not end in the next slice: slices hold a whole number of strides,
-    # and the last, shorter gram of a text is no full gram of any phrase.
-    aligned = cut.withColumn("_g", F.explode(F.concat(*per_stride) if len(used) > 1 else per_stride[0])).select(
-        *scope, *text_keys, "base", "body", "lead", "_g.*"
-    )
-
-    on = [*scope, "_stride", "_gram"]
-    if small:
-        found = aligned.join(F.broadcast(grams), on)
-        here = F.col("_at") + F.col("lead") - F.col("_off")
-        found = found.filter(
-            (here >= 0) & (F.substring(F.col("body"), here + 1, F.col("_plen")) == F.col("_phrase"))
-        )
-        return found.select(
-            *scope, *text_keys, *phrase_keys,
-            (F.col("base") + F.col("_at") - F.col("_off")).alias("at"),
-            F.col("_plen").cast("long").alias("length"),
-        )
-
-    places = aligned.select(*on, *text_keys, (F.col("base") + F.col("_at")).alias("_pos"))
-    candidates = places.join(grams, on).withColumn("at", F.col("_pos") - F.col("_off")).filter("at >= 0")
-    whole = texts.select(*scope, *text_keys, F.col(text).alias("_whole"))
-    checked = candidates.join(whole, [*scope, *text_keys]).filter(
-        F.substring(F.col("_whole"), F.col("at").cast("int") + 1, F.col("_plen")) == F.col("_phrase")
-    )
-    return checked.select(*scope, *text_keys, *phrase_keys, "at", F.col("_plen").cast("long").alias("length"))
+    carried = [*scope, *[k for k in text_keys if k not in scope]]
+    source = texts.select(*carried, F.col(text).alias("_text"))
+    own = [T.StructField(k, phrases.schema[k].dataType) for k in phrase_keys]
+    schema = T.StructType([*[source.schema[c] for c in carried], *own, T.StructField("at", T.LongType()), T.StructField("length", T.LongType())])
+
+    def search(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table, automata = _automata(shared, scope)
+            for batch in batches:
+                columns = {c: batch.column(i) for i, c in enumerate(batch.schema.names)}
+                scopes = list(zip(*[columns[c].to_pylist() for c in scope])) if scope else [()] * batch.num_rows
+                rows, places, starts, lengths = [], [], [], []
+                for i, (value, of) in enumerate(zip(columns["_text"], scopes)):
+                    automaton = automata.get(of)
+                    value = value.as_py()
+                    if automaton is None or not value or None in of:
+                        continue
+                    for end, (length, hit) in automaton.iter(value):
+                        for place in hit:
+                            rows.append(i)
+                            places.append(place)
+                            starts.append(end - length + 1)
+                            lengths.append(length)
+                found, at = pa.array(rows, pa.int64()), pa.array(places, pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [*[columns[c].take(found) for c in carried], *[table[k].combine_chunks().take(at) if table.num_rows else pa.array([], table[k].type) for k in phrase_keys], pa.array(starts, pa.int64()), pa.array(lengths, pa.int64())],
+                    [*carried, *phrase_keys, "at", "length"],
+                )
+
+        return run
+
+    context = texts.sparkSession.sparkContext
+    hits = [source.mapInArrow(search(context.broadcast(block)), schema) for block in _blocks(phrases, phrase, [*scope, *[k for k in phrase_keys if k not in scope]], broadcast_chars)]
+    out = hits[0]
+    for more in hits[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def with_phrase_spans(texts: DataFrame, phrases: DataFrame, name: str = "spans", text: str = "text", phrase: str = "phrase") -> DataFrame:
+    """``texts`` with the spans (``at``, ``stop``, in characters) that any of the phrases covers, merged and in order.
+
+    One walk over the texts for each block of phrases, all in one stage; a null text has no spans. Cases must agree already.
+    """
+    out = texts.withColumn(name, F.array().cast(SPANS))
+
+    def cover(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            _, automata = _automata(shared, [])
+            automaton = automata.get(())
+            kind = pa.list_(pa.struct([("at", pa.int64()), ("stop", pa.int64())]))
+            for batch in batches:
+                at, held = batch.schema.get_field_index(text), batch.schema.get_field_index(name)
+                spans = []
+                for value, before in zip(batch.column(at), batch.column(held).to_pylist()):
+                    value = value.as_py()
+                    found = [(s["at"], s["stop"]) for s in before]
+                    if automaton is not None and value:
+                        found += [(end - length + 1, end + 1) for end, (length, _) in automaton.iter(value)]
+                    merged: list[dict[str, int]] = []
+                    for begin, stop in sorted(found):
+                        if merged and begin <= merged[-1]["stop"]:
+                            merged[-1]["stop"] = max(stop, merged[-1]["stop"])
+                        else:
+                            merged.append({"at": begin, "stop": stop})
+                    spans.append(merged)
+                yield batch.set_column(held, batch.schema.field(held), pa.array(spans, kind).cast(batch.schema.field(held).type))
+
+        return run
+
+    context = texts.sparkSession.sparkContext
+    for block in _blocks(phrases, phrase, []):
+        out = out.mapInArrow(cover(context.broadcast(block)), out.schema)
+    return out
+
+
+def covered_chars(spans: str = "spans") -> Column:
+    """Characters in the spans of :func:`with_phrase_spans`."""
+    return F.aggregate(spans, F.lit(0).cast("long"), lambda total, s: total + s["stop"] - s["at"])

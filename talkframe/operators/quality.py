@@ -11,8 +11,9 @@ from pyspark.sql import types as T
 
 from talkframe.functions import fixed_values as fixed
 from talkframe.functions.columns import words
-from talkframe.operators.phrases import phrase_hits
-from talkframe.operators.tables import settled, small_table
+from talkframe.operators.hot_keys import join_unique
+from talkframe.operators.phrases import covered_chars, with_phrase_spans
+from talkframe.operators.tables import small_table
 
 
 # --- segment filter ----------------------------------------------------------
@@ -55,29 +56,48 @@ def filter_hallucinations(segments: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 # --- single measures ---------------------------------------------------------
 
-@F.pandas_udf(T.DoubleType())
-def _top_trigram_share(texts: pd.Series) -> pd.Series:
-    """All texts of a batch at once: words as numbers, trigrams as triples of them, counted by sorting."""
-    words = texts.fillna("").str.lower().str.split()
-    sizes = words.str.len().to_numpy().astype(np.int64)
+#: Characters whose trigrams are counted together.
+SLICE_CHARS = 1 << 20
+
+
+def _trigram_shares(texts: list[str]) -> np.ndarray:
+    """Words as numbers, trigrams as one number each, counted by sorting."""
+    split = [t.lower().split() for t in texts]
+    sizes = np.array([len(x) for x in split], np.int64)
     result = np.zeros(len(texts))
-    flat = words.explode().dropna()
-    if len(flat) < 3:
-        return pd.Series(result)
-    code = pd.factorize(flat)[0]
+    known: dict[str, int] = {}
+    code = np.fromiter((known.setdefault(w, len(known)) for x in split for w in x), np.int64, int(sizes.sum()))
+    if len(code) < 6:
+        return result
+    # Pairs of words by number, then a text and its pair and third word: what is sorted is one number at a time.
+    pair = np.unique(code[:-1] * len(known) + code[1:], return_inverse=True)[1]
+    triple = np.unique(pair[:-1] * len(known) + code[2:], return_inverse=True)[1]
     owner = np.repeat(np.arange(len(texts)), sizes)
     inside = owner[2:] == owner[:-2]
-    triples = np.column_stack([owner[2:], code[:-2], code[1:-1], code[2:]])[inside]
-    kinds, times = np.unique(triples, axis=0, return_counts=True)
-    np.maximum.at(result, kinds[:, 0], times)
-    return pd.Series(np.where(sizes < 6, 0.0, result / np.maximum(sizes - 2, 1)))
+    width = int(triple.max()) + 1
+    kinds, times = np.unique((owner[2:] * width + triple)[inside], return_counts=True)
+    np.maximum.at(result, kinds // width, times)
+    return np.where(sizes < 6, 0.0, result / np.maximum(sizes - 2, 1))
+
+
+@F.pandas_udf(T.DoubleType())
+def _top_trigram_share(texts: pd.Series) -> pd.Series:
+    """All texts of a slice at once; a slice has about ``SLICE_CHARS`` characters."""
+    values = texts.fillna("").tolist()
+    out, begin, held = [], 0, 0
+    for i, value in enumerate(values):
+        if held and held + len(value) > SLICE_CHARS:
+            out.append(_trigram_shares(values[begin:i]))
+            begin, held = i, 0
+        held += len(value)
+    out.append(_trigram_shares(values[begin:]))
+    return pd.Series(np.concatenate(out))
 
 
 def trigram_repetition(text) -> Column:
     """Share of the most frequent word trigram; 0 under six words.
 
-    Counts inside one text, in Arrow batches: nothing is shuffled, and measured a
-    good ten times faster than sorting the trigrams with array functions.
+    Counts inside one text, in slices of Arrow batches: nothing is shuffled.
     """
     return _top_trigram_share(text)
 
@@ -92,28 +112,34 @@ def non_speech_ratio(segments: DataFrame) -> DataFrame:
     )
 
 
+def known_words(texts: DataFrame, supported: list[str] | None = None) -> DataFrame:
+    """``(video_id, language, word, n)``: how often each word of a supported language occurs in a video."""
+    supported = fixed.DICTIONARY_LANGUAGES if supported is None else supported
+    found = F.regexp_extract_all(F.lower("text"), F.lit(fixed.WORD_PATTERN), F.lit(0))
+    return (
+        texts.filter(F.coalesce(F.col("language").isin(supported), F.lit(False)))
+        .select("video_id", "language", F.explode(found).alias("word"))
+        .groupBy("video_id", "language", "word")
+        .agg(F.count("*").alias("n"))
+    )
+
+
 def oov_ratio(texts: DataFrame, dictionary: DataFrame, supported: list[str] | None = None) -> DataFrame:
     """Distinct unknown words over all words, per video.
 
     ``texts(video_id, language, text)``, one or many rows a video;
     ``dictionary(language, word)``. −1 for a language without a word list, 1 where
-    there are no words. Words are counted per video before they meet the word list.
+    there are no words. Words are counted per video before they meet the word list; the most common words meet their
+    entries by broadcast and only the others are shuffled, see :func:`talkframe.operators.hot_keys.join_unique`.
     """
     supported = fixed.DICTIONARY_LANGUAGES if supported is None else supported
-    known_language = F.coalesce(F.col("language").isin(supported), F.lit(False))
-    found = F.regexp_extract_all(F.lower("text"), F.lit(fixed.WORD_PATTERN), F.lit(0))
-    counted = (
-        texts.filter(known_language)
-        .select("video_id", "language", F.explode(found).alias("word"))
-        .groupBy("video_id", "language", "word")
-        .agg(F.count("*").alias("n"))
-    )
     listed = dictionary.select("language", F.lower("word").alias("word")).distinct().withColumn("_known", F.lit(True))
     ratios = (
-        counted.join(listed, ["language", "word"], "left")
+        join_unique(known_words(texts, supported), listed, ["language", "word"], "left")
         .groupBy("video_id")
         .agg((F.count_if(F.col("_known").isNull()) / F.sum("n")).alias("_r"))
     )
+    known_language = F.coalesce(F.col("language").isin(supported), F.lit(False))
     videos = texts.groupBy("video_id").agg(F.bool_or(known_language).alias("_sup"))
     return videos.join(ratios, "video_id", "left").select(
         "video_id",
@@ -121,29 +147,20 @@ def oov_ratio(texts: DataFrame, dictionary: DataFrame, supported: list[str] | No
     )
 
 
+def _with_coverage(texts: DataFrame, phrases: DataFrame) -> DataFrame:
+    """``texts`` with ``boh``, the share of characters inside any of the phrases."""
+    listed = phrases.select(F.lower("phrase").alias("phrase")).distinct()
+    spanned = with_phrase_spans(texts.withColumn("_low", F.lower("text")), listed, "_spans", "_low")
+    share = F.when(F.length("text") > 0, covered_chars("_spans") / F.length("text")).otherwise(F.lit(0.0))
+    return spanned.withColumn("boh", share).drop("_low", "_spans")
+
+
 def phrase_coverage(texts: DataFrame, phrases: DataFrame) -> DataFrame:
     """Share of a text's characters inside any of the phrases, overlaps counted once.
 
     ``texts(video_id, text)`` with one row a video, ``phrases(phrase)``. Case is ignored.
     """
-    lowered = texts.select("video_id", F.lower("text").alias("text"))
-    listed = phrases.select(F.lower("phrase").alias("phrase")).filter("phrase != ''").distinct()
-    # The longest hit at a place covers all shorter ones there.
-    hits = phrase_hits(lowered, listed, ["video_id"], []).groupBy("video_id", "at").agg(F.max("length").alias("n"))
-    spans = hits.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("at", "n"))).alias("_s"))
-    start = F.struct(F.lit(0).cast("long").alias("reach"), F.lit(0).cast("long").alias("covered"))
-
-    def step(acc, s):
-        end = s["at"] + s["n"]
-        fresh = F.greatest(end - F.greatest(acc["reach"], s["at"]), F.lit(0).cast("long"))
-        return F.struct(F.greatest(acc["reach"], end).alias("reach"), (acc["covered"] + fresh).alias("covered"))
-
-    covered = F.aggregate("_s", start, step, lambda acc: acc["covered"])
-    sized = texts.select("video_id", F.length("text").alias("_len"))
-    return sized.join(spans.select("video_id", covered.alias("_c")), "video_id", "left").select(
-        "video_id",
-        F.when(F.col("_len") > 0, F.coalesce(F.col("_c"), F.lit(0)) / F.col("_len")).otherwise(F.lit(0.0)).alias("boh"),
-    )
+    return _with_coverage(texts.select("video_id", "text"), phrases).select("video_id", "boh")
 
 
 def perplexity_score(mean_perplexity) -> Column:
@@ -193,8 +210,8 @@ def quality_report(
         no_flags.alias("flags"), F.lit("use_as_is").alias("recommendation"),
     )
 
-    # One narrow row a video, used by each of the measures below.
-    shares = settled(non_speech_ratio(segments))
+    # Repetition and boilerplate come from one walk over the texts; only word counts and shares are joined.
+    shares = non_speech_ratio(segments)
     checked = videos.filter(~manual).join(shares, "video_id", "left")
     checked = checked.withColumn("music", F.coalesce("music", F.lit(0.0)))
     is_music = F.col("music") > fixed.MUSIC_THRESHOLD
@@ -205,10 +222,9 @@ def quality_report(
     )
 
     speech = checked.filter(~is_music)
-    measured = (
-        speech.select("video_id", "music", "perplexity", trigram_repetition("text").alias("repetition"))
-        .join(oov_ratio(speech, dictionary, supported), "video_id")
-        .join(phrase_coverage(speech, phrases), "video_id")
+    told = _with_coverage(speech.select("video_id", "music", "perplexity", "text"), phrases)
+    measured = told.select("video_id", "music", "perplexity", "boh", trigram_repetition("text").alias("repetition")).join(
+        oov_ratio(speech, dictionary, supported), "video_id"
     )
 
     def headroom(name, limit):

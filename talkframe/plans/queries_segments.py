@@ -339,9 +339,9 @@ def chunk_by_tokens(spark, folder):
 @query("chunk_line_items", """
 WITH RECURSIVE sizes AS (SELECT 'all' AS video_id, l_orderkey * 8 + l_linenumber AS seg_idx, CAST(sum(l_quantity) AS BIGINT) AS n FROM lineitem GROUP BY 1, 2),
 p AS (SELECT *, row_number() OVER (ORDER BY seg_idx) - 1 AS pos, sum(n) OVER (ORDER BY seg_idx) AS q FROM sizes),
-links AS (SELECT a.pos, coalesce(b.pos, (SELECT count(*) FROM p)) AS next FROM p a ASOF LEFT JOIN p b ON a.q - a.n + 4000 < b.q),
-starts AS (SELECT CAST(0 AS BIGINT) AS pos, CAST(0 AS BIGINT) AS chunk UNION ALL SELECT l.next, s.chunk + 1 FROM starts s JOIN links l USING (pos) WHERE l.next < (SELECT count(*) FROM p))
-SELECT video_id, seg_idx, n, chunk FROM p ASOF JOIN starts ON p.pos >= starts.pos""")
+links AS (SELECT pos, count(*) OVER (ORDER BY q RANGE BETWEEN UNBOUNDED PRECEDING AND 4000 - n FOLLOWING) AS next FROM p),
+starts AS (SELECT CAST(0 AS BIGINT) AS pos, CAST(0 AS BIGINT) AS chunk UNION ALL SELECT l.next, s.chunk + 1 FROM starts s JOIN links l USING (pos) WHERE l.next < (SELECT count(*) FROM sizes))
+SELECT video_id, seg_idx, n, max(chunk) OVER (ORDER BY pos) AS chunk FROM p LEFT JOIN starts USING (pos)""")
 def chunk_line_items(spark, folder):
     """All line items as one key."""
     sizes = C.table(spark, folder, "lineitem").groupBy((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seg_idx")).agg(F.sum("l_quantity").cast("long").alias("n"))
