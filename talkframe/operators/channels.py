@@ -222,3 +222,14 @@ def run_status(batch_written, analysis_asked, analysis_written) -> Column:
 def append_run(history_path: str, runs: DataFrame) -> None:
     """Append runs to the log at ``history_path``."""
     runs.write.mode("append").parquet(history_path)
+
+
+def cap_reached(entries: DataFrame, channels: DataFrame, cap: int) -> DataFrame:
+    """``(channel_id, label, found)``: channels with ``cap`` entries or more, of which there may be further ones; none for a cap of 0 or less.
+
+    ``label`` is the handle, else the id, else the url.
+    """
+    counts = entries.groupBy("channel_id").agg(F.count("*").alias("found"))
+    label = F.coalesce("handle", F.col("channel_id").cast("string"), "url")
+    known = counts.filter(F.lit(cap > 0) & (F.col("found") >= cap))
+    return known.join(channels.select("channel_id", label.alias("label")), "channel_id").select("channel_id", "label", "found")

@@ -153,6 +153,48 @@ def overlay_segments(original: DataFrame, replacement: DataFrame) -> DataFrame:
     )
 
 
+def parse_segment_replies(replies: DataFrame) -> DataFrame:
+    """``(video_id, seg_idx, text)`` of corrected or translated segments in raw model replies.
+
+    ``replies(video_id, raw)``: a JSON array of objects with ``text``, in a code fence or not, in the order of the segments. A reply that is
+    anything else gives no rows: no array, an item that is no object, or one without text.
+    """
+    bare = strip(F.regexp_replace(strip("raw"), r"^```(?:json)?\s*|\s*```\s*$", ""))
+    items = F.try_variant_get(F.try_parse_json(bare), "$", "array<variant>")
+    texts = F.transform(items, lambda v: F.try_variant_get(v, "$.text", "string"))
+    whole = replies.select("video_id", texts.alias("_t")).filter(F.col("_t").isNotNull() & F.forall("_t", lambda t: t.isNotNull()))
+    return whole.select("video_id", F.posexplode("_t").alias("seg_idx", "text"))
+
+
+def apply_segment_replies(original: DataFrame, replies: DataFrame) -> DataFrame:
+    """Segments with the texts of the replies on their own timing; a video whose reply is unreadable or of another length stays as it is."""
+    return overlay_segments(original, parse_segment_replies(replies))
+
+
+#: How a model is asked to choose rows of a list.
+SCREENING_TASK = "Choose the videos of the list that fit what the user asks for."
+SCREENING_FORM = "Answer with a JSON array of their numbers and nothing else, for example [1, 3, 5]."
+
+
+def screening_prompts(candidates: DataFrame, requests: DataFrame, task: str = SCREENING_TASK, form: str = SCREENING_FORM) -> DataFrame:
+    """``(response_id, position, offset, piece)``: a prompt per list of candidates, a piece a candidate; see :func:`screen_rows` for the answer.
+
+    ``candidates(response_id, pos, title, channel, upload_date, duration_sec)`` with ``pos`` from 1, ``requests(response_id, wanted)``.
+    Unknown facts are shown as ``?``. Lists without a request are left out.
+    """
+    heads = requests.select("response_id", F.lit(0).alias("_side"), F.lit(0).cast("long").alias("_i"), F.concat(F.lit(f"{task}\n\nUser asks for: "), F.coalesce("wanted", F.lit("")), F.lit("\n\nCandidates, numbered from 1:")).alias("_piece"))
+    ends = requests.select("response_id", F.lit(2).alias("_side"), F.lit((1 << 63) - 1).alias("_i"), F.lit(f"\n\n{form}").alias("_piece"))
+    known = F.when(F.coalesce("duration_sec", F.lit(0)) > 0, format_duration("duration_sec")).otherwise(F.lit("?"))
+    line = F.concat(
+        F.lit("\n["), F.col("pos").cast("string"), F.lit("] "), F.coalesce(none_if_empty("title"), F.lit("(no title)")), F.lit(" — "),
+        F.coalesce(none_if_empty("channel"), F.lit("?")), F.lit(" — "), F.coalesce(F.col("upload_date").cast("string"), F.lit("?")), F.lit(" — "), known,
+    )
+    asked = candidates.join(requests.select("response_id"), "response_id", "left_semi")
+    rows = asked.select("response_id", F.lit(1).alias("_side"), F.col("pos").cast("long").alias("_i"), line.alias("_piece"))
+    at = F.when(F.col("_side") == 0, F.lit(-1)).otherwise(block_of("_i"))
+    return placed_pieces(heads.unionByName(rows).unionByName(ends), ["response_id"], ["_side", "_i"], at, F.col("_piece"))
+
+
 def split_texts(texts: DataFrame, size: int, keys: list[str], text: str = "text") -> DataFrame:
     """``(keys, piece_idx, piece)``: pieces of ``size`` characters."""
     return texts.select(*keys, F.posexplode(split_fixed(text, size)).alias("piece_idx", "piece"))

@@ -76,7 +76,7 @@ def skip_existing(spark, folder):
 @query("source_for_transcript", """
 WITH f AS (SELECT source AS batch, '01_' || replace(title, ' ', '_') || CASE WHEN doc_id % 2 = 0 THEN '_id' || doc_id || 'x' ELSE '' END AS stem
            FROM (SELECT *, lang || ' clip ' || doc_id % 7 AS title FROM documents)),
-v AS (SELECT source AS batch, doc_id AS index, 'id' || doc_id || 'x' AS video_id, lang || ' clip ' || doc_id % 7 AS title, 'u' || doc_id AS url FROM documents WHERE doc_id % 5 <> 0),
+v AS (SELECT source AS batch, doc_id AS index, 'id' || doc_id || 'x' AS video_id, lang || ' clip ' || doc_id % 7 AS title, 'u' || doc_id AS url FROM documents),
 h AS (SELECT f.batch, stem, url, CASE WHEN contains(stem, video_id) THEN 0 ELSE 1 END AS rule, index FROM (SELECT DISTINCT batch, stem FROM f) f
       JOIN v ON v.batch = f.batch AND (contains(stem, video_id) OR contains(stem, replace(title, ' ', '_'))))
 SELECT batch, stem, b.url FROM f LEFT JOIN (SELECT batch, stem, arg_min(url, rule * 1000000000 + index) AS url FROM h GROUP BY 1, 2) b USING (batch, stem)""")
@@ -86,7 +86,7 @@ def source_for_transcript(spark, folder):
     name = F.concat(F.lit("id"), F.col("doc_id").cast("string"), F.lit("x"))
     tail = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("_"), name)).otherwise(F.lit(""))
     files = docs.select(F.col("source").alias("batch"), F.concat(F.lit("01_"), F.replace(title, F.lit(" "), F.lit("_")), tail).alias("stem"))
-    videos = docs.filter("doc_id % 5 <> 0").select(
+    videos = docs.select(
         F.col("source").alias("batch"), F.col("doc_id").alias("index"), name.alias("video_id"), title.alias("title"),
         F.concat(F.lit("u"), F.col("doc_id").cast("string")).alias("url"),
     )
@@ -155,12 +155,12 @@ def list_groups(spark, folder):
 
 
 @query("upsert_channels", with_tables(C.CHANNELS) + """,
-n AS (SELECT c_custkey AS channel_id, 'https://new/' || c_custkey AS url, CASE WHEN c_custkey % 2 = 0 THEN c_name END AS handle, CAST(NULL AS VARCHAR) AS "group", c_mktsegment AS mode FROM customer WHERE c_custkey % 2 = 0)
+n AS (SELECT c_custkey AS channel_id, 'https://new/' || c_custkey AS url, CASE WHEN c_custkey % 2 = 0 THEN c_name END AS handle, CAST(NULL AS VARCHAR) AS "group", c_mktsegment AS mode FROM customer)
 SELECT coalesce(n.channel_id, c.channel_id) AS channel_id, coalesce(n.url, c.url) AS url, coalesce(n.handle, c.handle) AS handle, coalesce(n."group", c."group") AS "group", coalesce(n.mode, c.mode) AS mode
 FROM channels c FULL JOIN n ON n.channel_id = c.channel_id""")
 def upsert_channels(spark, folder):
     fields = ["channel_id", "url", "handle", "group", "mode"]
-    new = C.table(spark, folder, "customer").filter("c_custkey % 2 = 0").select(
+    new = C.table(spark, folder, "customer").select(
         F.col("c_custkey").alias("channel_id"), F.concat(F.lit("https://new/"), F.col("c_custkey").cast("string")).alias("url"),
         F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")).alias("handle"), F.lit(None).cast("string").alias("group"), F.col("c_mktsegment").alias("mode"),
     )
@@ -222,13 +222,13 @@ def merge_shorts_and_videos(spark, folder):
 
 
 @query("auto_fallback", with_tables(C.LISTING, C.CHANNELS, SPLIT) + """,
-t AS (SELECT t.*, mode FROM tagged t JOIN channels USING (channel_id) WHERE is_short OR t.channel_id % 8 <> 0)
+t AS (SELECT t.*, mode FROM tagged t JOIN channels USING (channel_id))
 SELECT channel_id, video_id, pos, is_short FROM t WHERE (NOT is_short AND mode IN ('auto', 'videos-only')) OR (is_short AND mode = 'shorts-only')
   OR (is_short AND mode = 'auto' AND channel_id NOT IN (SELECT channel_id FROM t WHERE NOT is_short))
 UNION ALL SELECT channel_id, video_id, pos, is_short FROM (SELECT *, row_number() OVER (PARTITION BY channel_id, video_id ORDER BY published DESC, is_short DESC, pos) AS nth FROM t WHERE mode = 'shorts-and-videos') WHERE nth = 1""")
 def auto_fallback(spark, folder):
     shorts, videos = _split(spark, folder)
-    return H.auto_fallback(videos.filter("channel_id % 8 <> 0"), shorts, channels(spark, folder)).drop("published")
+    return H.auto_fallback(videos, shorts, channels(spark, folder)).drop("published")
 
 
 @query("missing_cursor", with_tables(C.CHANNELS) + "SELECT channel_id, handle FROM channels WHERE last_seen_video_id IS NULL")
@@ -245,7 +245,7 @@ def new_entries(spark, folder):
     return by_cursor.unionByName(H.new_entries(rows, ch, WINDOW).select(F.lit("window").alias("rule"), "channel_id", "video_id"))
 
 
-CURSORS = """moved AS (SELECT channel_id, arg_max(video_id, published) AS v, max(published) AS p FROM listing WHERE duration_sec > 100 GROUP BY 1)"""
+CURSORS = """moved AS (SELECT channel_id, arg_max(video_id, published) AS v, max(published) AS p FROM listing GROUP BY 1)"""
 
 
 @query("advance_cursor", with_tables(C.LISTING, C.CHANNELS, CURSORS) + """
@@ -253,7 +253,7 @@ SELECT FALSE AS override, channel_id, coalesce(v, last_seen_video_id) AS last_se
 UNION ALL SELECT TRUE, channel_id, CASE WHEN last_seen_published IS NULL THEN v ELSE last_seen_video_id END, CAST(epoch_us(coalesce(last_seen_published, p)) AS BIGINT) FROM channels LEFT JOIN moved USING (channel_id)""")
 def advance_cursor(spark, folder):
     ch = channels(spark, folder)
-    fresh = listing(spark, folder).filter("duration_sec > 100")
+    fresh = listing(spark, folder)
     parts = [
         H.advance_cursor(ch, fresh, is_override=o, kept=fresh).select(
             F.lit(o).alias("override"), "channel_id", "last_seen_video_id", F.unix_micros("last_seen_published").alias("at")
@@ -309,3 +309,22 @@ def batch_outcome(spark, folder):
         F.when(F.col("index") % 2 == 0, "failed").otherwise(F.col("status")).alias("status"),
     )
     return B.batch_outcome(rows).withColumn("fail_share", F.round("fail_share", 9))
+
+
+@query("cap_reached", with_tables(C.LISTING, C.CHANNELS) + """
+SELECT channel_id, handle AS label, found FROM (SELECT channel_id, count(*) AS found FROM listing GROUP BY 1) JOIN channels USING (channel_id) WHERE found >= 60""")
+def cap_reached(spark, folder):
+    return H.cap_reached(listing(spark, folder), channels(spark, folder), 60)
+
+
+@query("date_window", with_tables(C.LISTING) + """
+SELECT asked, video_id FROM listing JOIN (VALUES ('days', DATE '2024-01-15', DATE '2024-01-25'), ('between', DATE '2024-01-05', DATE '2024-01-09'), ('since', DATE '2024-01-20', DATE '2024-01-25')) AS w(asked, a, b)
+ON CAST(published AS DATE) BETWEEN a AND b""")
+def date_window(spark, folder):
+    from datetime import date
+
+    rows = listing(spark, folder).withColumn("upload_date", F.to_date("published"))
+    today = date(2024, 1, 25)
+    windows = {"days": T.date_window(days=10, today=today), "between": T.date_window(since=date(2024, 1, 5), until=date(2024, 1, 9)), "since": T.date_window(since=date(2024, 1, 20), today=today)}
+    found = [T.candidates_in_window(rows, w).select(F.lit(name).alias("asked"), "video_id") for name, w in windows.items()]
+    return found[0].unionByName(found[1]).unionByName(found[2])

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from talkframe.operators import batch as B
 from talkframe.operators.ordered import block_of, placed_pieces, whole_documents
+from talkframe.operators.tables import new_path
 from talkframe.plans import corpus as C
 from talkframe.plans.registry import query, sql_duration, sql_pieces, sql_timestamp, with_tables
 from talkframe.sources import artifacts as A
@@ -38,6 +39,27 @@ def read_srt(spark, folder):
     return _millis(S.srt_segments(_as_files(A.to_srt(segments(spark, folder)))))
 
 
+@query("read_srt_files", "WITH " + C.SEGS + f"""
+SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id, seg_idx) - 1 AS seg_idx, CAST(round_even(start * 1000, 0) AS BIGINT) AS start_ms,
+       CAST(round_even("end" * 1000, 0) AS BIGINT) AS end_ms, {STRIPPED.replace("text", "segs.text")} AS text FROM segs JOIN documents ON doc_id = video_id""")
+def read_srt_files(spark, folder):
+    """The segments of each source written as one caption file, and read back from its path."""
+    docs = C.table(spark, folder, "documents")
+    rows = C.doc_segments(docs).join(docs.select(F.col("doc_id").alias("video_id"), "source"), "video_id")
+    path = new_path(spark, "srt-files")
+    A.write_documents(A.to_srt(rows.withColumns({"seg_idx": F.col("video_id") * 1_000_000 + F.col("seg_idx"), "video_id": F.col("source")})), path)
+    read = S.read_srt(spark, f"{path}/*/*").withColumn("source", F.regexp_extract("file", "video_id=([^/]+)/", 1))
+    return read.select("source", "seg_idx", F.rint(F.col("start") * 1000).cast("long").alias("start_ms"), F.rint(F.col("end") * 1000).cast("long").alias("end_ms"), "text")
+
+
+@query("read_url_list_files", "SELECT url FROM pages")
+def read_url_list_files(spark, folder):
+    """The urls of all pages written as list files, and read back from their path."""
+    path = new_path(spark, "url-lists")
+    C.table(spark, folder, "pages").select(F.concat(F.lit("  "), "url", F.lit(" # page"))).write.text(path)
+    return S.read_url_list(spark, path).select("url")
+
+
 @query("read_srt_lenient", "WITH " + C.SEGS + f"""
 SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY seg_idx) - 1 AS seg_idx,
        CAST(round_even(start * 1000, 0) AS BIGINT) AS start_ms, CAST(round_even("end" * 1000, 0) AS BIGINT) AS end_ms,

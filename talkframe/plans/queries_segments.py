@@ -189,12 +189,18 @@ def detect_video_type(spark, folder):
 KIND_ACTIONS, KIND_STEPS = fixed.ACTION_PATTERNS[22:], fixed.CONNECTIVE_PATTERNS[:12]
 
 
-@query("classify_moment", "WITH " + C.SEGS + ", k AS (SELECT video_id, seg_idx, "
+#: What speakers add to a line, by its place.
+SAID = ["", " then click", " first select it, then press enter", " next step: finally open", " once you tap"]
+SPOKEN = "spoken AS (SELECT video_id, seg_idx, text || [" + ", ".join(f"'{x}'" for x in SAID) + "][seg_idx % 5 + 1] AS text FROM segs)"
+
+
+@query("classify_moment", "WITH " + C.SEGS + ", " + SPOKEN + ", k AS (SELECT video_id, seg_idx, "
        + " + ".join(f"regexp_matches(text, '(?i){p}')::INT" for p in KIND_ACTIONS) + " AS a, "
-       + " + ".join(f"regexp_matches(text, '(?i){p}')::INT" for p in KIND_STEPS) + " AS c FROM segs) "
+       + " + ".join(f"regexp_matches(text, '(?i){p}')::INT" for p in KIND_STEPS) + " AS c FROM spoken) "
        "SELECT video_id, seg_idx, CASE WHEN c >= 3 OR (a >= 2 AND c >= 1) OR a >= 3 THEN 'procedure' ELSE 'showcase' END AS kind FROM k")
 def classify_moment(spark, folder):
-    return segments(spark, folder).select("video_id", "seg_idx", moment_kind("text").alias("kind"))
+    said = F.get(F.array(*[F.lit(x) for x in SAID]), (F.col("seg_idx") % 5).cast("int"))
+    return segments(spark, folder).select("video_id", "seg_idx", moment_kind(F.concat("text", said)).alias("kind"))
 
 
 # --- matching ----------------------------------------------------------------
@@ -236,19 +242,20 @@ def match_soft(spark, folder):
     return M.match_soft(C.doc_segments(docs), C.triggers(spark), settled(C.lemma_table(docs)))
 
 
-COSINES = """exemplars AS (SELECT label, arg_min(embedding, vec_id) AS p FROM embeddings GROUP BY label),
+COSINES = """exemplars AS (SELECT a.vec_id AS label, [x + b.embedding[i]::DOUBLE FOR x, i IN a.embedding::DOUBLE[]] AS p FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 20 = 0),
 cosines AS (SELECT vec_id, e.label AS seq, list_dot_product(a.embedding::DOUBLE[], p::DOUBLE[])
               / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(p::DOUBLE[], p::DOUBLE[])) + 1e-9) AS cosine
             FROM embeddings a, exemplars e),
-nearest AS (SELECT vec_id, max(cosine) AS score, arg_max(seq, cosine) AS seq FROM cosines GROUP BY vec_id)"""
+nearest AS (SELECT vec_id, max(cosine) AS score, arg_max(seq, round(cosine, 9) * 1000000000000 - seq) AS seq FROM cosines GROUP BY vec_id)"""
 
 
 def _vectors(spark, folder):
-    """Vectors as segments, and the first vector of each label as that label's phrase."""
-    vectors = C.table(spark, folder, "embeddings")
-    first = vectors.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("embedding")).select(
-        F.col("label").cast("long").alias("seq"), F.concat(F.lit("label "), F.col("label").cast("string")).alias("phrase"),
-        (F.col("label") + 1).cast("double").alias("weight"), "embedding",
+    """Vectors as segments; as phrases, the sums of every twentieth vector and the next, to which both are near."""
+    vectors = C.table(spark, folder, "embeddings").withColumn("embedding", F.col("embedding").cast("array<double>"))
+    second = vectors.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("second"))
+    first = vectors.filter("vec_id % 20 = 0").join(second, "vec_id").select(
+        F.col("vec_id").cast("long").alias("seq"), F.concat(F.lit("label "), F.col("vec_id").cast("string")).alias("phrase"),
+        (F.col("vec_id") + 1).cast("double").alias("weight"), F.zip_with("embedding", "second", lambda a, b: a + b).alias("embedding"),
     )
     return vectors.select(F.col("vec_id").alias("video_id"), F.lit(0).alias("seg_idx"), "embedding"), first
 
@@ -366,13 +373,13 @@ def cap_transcript(spark, folder):
 
 
 @query("window_context", "WITH " + C.SEGS + """,
-w AS (SELECT video_id, seg_idx AS win_idx, start, "end" FROM segs WHERE seg_idx % 3 = 0),
+w AS (SELECT video_id, seg_idx AS win_idx, start, "end" FROM segs),
 p AS (SELECT w.video_id, win_idx, string_agg(trim(text), ' ' ORDER BY seg_idx) AS t FROM w JOIN segs s
       ON s.video_id = w.video_id AND s."end" >= w.start - 6 AND s.start <= w."end" + 6 AND trim(text) <> '' GROUP BY 1, 2)
 SELECT video_id, win_idx, coalesce(left(t, 700), '') AS transcript_context FROM w LEFT JOIN p USING (video_id, win_idx)""")
 def window_context(spark, folder):
     segs = segments(spark, folder)
-    windows = segs.filter("seg_idx % 3 = 0").select("video_id", F.col("seg_idx").alias("win_idx"), "start", "end")
+    windows = segs.select("video_id", F.col("seg_idx").alias("win_idx"), "start", "end")
     return I.window_context(windows, segs).select("video_id", "win_idx", "transcript_context")
 
 

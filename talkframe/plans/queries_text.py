@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from talkframe.functions import columns as X
@@ -89,14 +90,16 @@ def failure_hint(spark, folder):
 
 
 LATIN, CYRILLIC, KANA = "abcdefghijklmnopqrstuvwxyz", "абцдефгхийклмнопярстувшхыз", "あいうえおかきくけこさしすせそたちつてとなにぬねのは"
-MIXED = f"mixed AS (SELECT doc_id, lang, CASE doc_id % 5 WHEN 0 THEN translate(text, '{LATIN}', '{CYRILLIC}') WHEN 1 THEN translate(text, '{LATIN}', '{KANA}') WHEN 2 THEN '12 34 ' WHEN 3 THEN 'שלום ab' ELSE text END AS t FROM documents)"
+HEBREW, DIGITS = "אבגדהוזחטיכלמנסעפצקרשתםןףץ", "12345678901234567890123456"
+MIXED = f"""mixed AS (SELECT doc_id, lang, CASE doc_id % 5 WHEN 0 THEN translate(text, '{LATIN}', '{CYRILLIC}') WHEN 1 THEN translate(text, '{LATIN}', '{KANA}')
+  WHEN 2 THEN translate(lower(text), '{LATIN}', '{DIGITS}') WHEN 3 THEN translate(text, '{LATIN}', '{HEBREW}') ELSE text END AS t FROM documents)"""
 
 
 def mixed(spark, folder):
     k = F.col("doc_id") % 5
     t = (
         F.when(k == 0, F.translate("text", LATIN, CYRILLIC)).when(k == 1, F.translate("text", LATIN, KANA))
-        .when(k == 2, F.lit("12 34 ")).when(k == 3, F.lit("שלום ab")).otherwise(F.col("text"))
+        .when(k == 2, F.translate(F.lower("text"), LATIN, DIGITS)).when(k == 3, F.translate("text", LATIN, HEBREW)).otherwise(F.col("text"))
     )
     return documents(spark, folder).select("doc_id", "lang", t.alias("t"))
 
@@ -199,13 +202,20 @@ def canon_number(spark, folder):
 
 
 @query("phrase_confirmed", r"""
-WITH p AS (SELECT doc_id, trim(lower(regexp_replace(left(text, 60), '[^\p{L}\p{M}\p{N}]+', ' ', 'g'))) AS phrase, trim(lower(regexp_replace(substr(text, 21, 180), '[^\p{L}\p{M}\p{N}]+', ' ', 'g'))) AS blob FROM documents),
-w AS (SELECT doc_id, phrase, blob, unnest(string_split(phrase, ' ')) AS w FROM p),
-h AS (SELECT doc_id, phrase, blob, w, len([b FOR b IN string_split(blob, ' ') IF b <> '' AND (contains(b, w) OR contains(w, b) OR (least(length(w), length(b)) >= 4 AND left(w, CAST(ceil(least(length(w), length(b)) * 0.75) AS INT)) = left(b, CAST(ceil(least(length(w), length(b)) * 0.75) AS INT))))]) > 0 AS hit FROM w WHERE length(w) >= 3)
-SELECT p.doc_id, p.phrase = '' OR contains(p.blob, p.phrase) OR coalesce(count(*) FILTER (hit) >= 0.7::DOUBLE * nullif(count(hit), 0), FALSE) AS confirmed FROM p LEFT JOIN h USING (doc_id) GROUP BY p.doc_id, p.phrase, p.blob""")
+WITH n AS (SELECT count(*) AS n FROM benchmark),
+p AS (SELECT doc_id, item_id, trim(lower(regexp_replace(b.text, '[^\p{L}\p{M}\p{N}]+', ' ', 'g'))) AS phrase, trim(lower(regexp_replace(coalesce(d.text, ''), '[^\p{L}\p{M}\p{N}]+', ' ', 'g'))) AS blob FROM documents d, n JOIN benchmark b ON b.item_id = d.doc_id % n.n),
+l AS (SELECT doc_id, phrase, list_distinct(string_split(blob, ' ')) AS listed FROM p),
+w AS (SELECT doc_id, listed, unnest(string_split(phrase, ' ')) AS w FROM l),
+h AS (SELECT doc_id, len([b FOR b IN listed IF b <> '' AND (contains(b, w) OR contains(w, b) OR (least(length(w), length(b)) >= 4 AND left(w, CAST(ceil(least(length(w), length(b)) * 0.75) AS INT)) = left(b, CAST(ceil(least(length(w), length(b)) * 0.75) AS INT))))]) > 0 AS hit FROM w WHERE length(w) >= 3),
+e AS (SELECT doc_id, count(*) FILTER (hit) >= 0.7::DOUBLE * count(*) AS enough FROM h GROUP BY doc_id)
+SELECT p.doc_id, item_id, phrase = '' OR contains(blob, phrase) OR coalesce(enough, FALSE) AS confirmed FROM p LEFT JOIN e USING (doc_id)""")
 def phrase_confirmed(spark, folder):
-    docs = documents(spark, folder).select("doc_id", F.left("text", F.lit(60)).alias("phrase"), X.compare_key(F.substring("text", 21, 180)).alias("blob"))
-    return docs.select("doc_id", K.phrase_confirmed(F.col("phrase"), F.col("blob")).alias("confirmed"))
+    """One benchmark text looked for in the whole of each document."""
+    items = C.table(spark, folder, "benchmark")
+    count = items.agg(F.count("*").alias("n"))
+    docs = documents(spark, folder).select("doc_id", X.compare_key(F.coalesce("text", F.lit(""))).alias("blob"))
+    docs = docs.withColumn("listed", F.array_distinct(X.words(F.col("blob")))).join(count, F.lit(True)).withColumn("item_id", F.col("doc_id") % F.col("n"))
+    return docs.join(items, "item_id").select("doc_id", "item_id", K.phrase_confirmed(F.col("text"), F.col("blob"), F.col("listed")).alias("confirmed"))
 
 
 @query("phrase_confirmed_whole", with_tables(C.TRIGGERS, r"""d AS (SELECT doc_id, lang, trim(lower(regexp_replace(coalesce(text, ''), '[^\p{L}\p{M}\p{N}]+', ' ', 'g'))) AS blob FROM documents),
@@ -386,3 +396,35 @@ def prompt_pack(spark, folder):
         F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("u"), doc)).alias("url"), F.col("text").alias("body"),
     )
     return R.prompt_pack(videos, 400)
+
+
+@query("apply_segment_replies", with_tables(C.TALK) + """
+SELECT video_id, seg_idx, start, "end", CASE WHEN video_id % 4 IN (0, 1) THEN text || ' (sic)' ELSE text END AS text FROM talk""")
+def apply_segment_replies(spark, folder):
+    """Replies plain, in a fence, one item short, and no JSON at all."""
+    talk = C.talk_segments(C.table(spark, folder, "conversations"))
+    item = F.struct("seg_idx", F.struct("start", "end", F.concat("text", F.lit(" (sic)")).alias("text")).alias("s"))
+    listed = talk.groupBy("video_id").agg(F.array_sort(F.collect_list(item)).alias("_i")).select("video_id", F.col("_i.s").alias("_i"))
+    body = F.to_json("_i")
+    k = F.col("video_id") % 4
+    raw = (
+        F.when(k == 0, body).when(k == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```\n")))
+        .when(k == 2, F.to_json(F.slice("_i", F.lit(2), F.size("_i")))).otherwise(F.concat(F.lit("Here it is: "), body))
+    )
+    return R.apply_segment_replies(talk, listed.select("video_id", raw.alias("raw")))
+
+
+@query("screening_prompts", with_tables("""p AS (
+  SELECT o_orderkey AS response_id, 0 AS side, 0 AS i, 'Choose the videos of the list that fit what the user asks for.' || chr(10) || chr(10) || 'User asks for: ' || o_orderstatus || chr(10) || chr(10) || 'Candidates, numbered from 1:' AS piece FROM orders
+  UNION ALL SELECT l_orderkey, 1, pos, chr(10) || '[' || pos || '] part ' || l_partkey || ' — ' || CASE WHEN l_suppkey % 3 = 0 THEN '?' ELSE 'ch ' || l_suppkey END || ' — ' || l_shipdate || ' — ' || printf('%d:%02d', CAST(q AS BIGINT) // 60, CAST(q AS BIGINT) % 60)
+    FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS pos, l_quantity * 7 AS q FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, min(CAST(l_shipdate AS DATE)) AS l_shipdate, min(l_quantity) AS l_quantity FROM lineitem GROUP BY 1, 2, 3, 4)) WHERE l_orderkey IN (SELECT o_orderkey FROM orders)
+  UNION ALL SELECT o_orderkey, 2, 0, chr(10) || chr(10) || 'Answer with a JSON array of their numbers and nothing else, for example [1, 3, 5].' FROM orders)""") + sql_pieces("p", "response_id", "side, i"))
+def screening_prompts(spark, folder):
+    items = C.table(spark, folder, "lineitem").groupBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").agg(F.min(F.to_date("l_shipdate")).alias("upload_date"), F.min("l_quantity").alias("q"))
+    place = F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
+    candidates = items.select(
+        F.col("l_orderkey").alias("response_id"), place.alias("pos"), F.concat(F.lit("part "), F.col("l_partkey").cast("string")).alias("title"),
+        F.when(F.col("l_suppkey") % 3 != 0, F.concat(F.lit("ch "), F.col("l_suppkey").cast("string"))).alias("channel"), "upload_date", (F.col("q") * 7).cast("long").alias("duration_sec"),
+    )
+    requests = C.table(spark, folder, "orders").select(F.col("o_orderkey").alias("response_id"), F.col("o_orderstatus").alias("wanted"))
+    return R.screening_prompts(candidates, requests)

@@ -32,7 +32,7 @@ def merge_windows(spark, folder):
     return W.merge_windows(windows(spark, folder))
 
 
-BUDGET = """durations AS (SELECT video_id, max("end") AS duration FROM windows GROUP BY video_id HAVING video_id % 9 <> 0),
+BUDGET = """durations AS (SELECT video_id, max("end") AS duration FROM windows GROUP BY video_id),
 sized AS (SELECT w.*, duration, count(*) OVER (PARTITION BY video_id) AS n FROM windows w JOIN durations USING (video_id)),
 bucketed AS (SELECT *, row_number() OVER (PARTITION BY video_id, least(floor(start / (duration / 12)), 11) ORDER BY score * weight DESC, win_idx) AS best FROM sized)"""
 
@@ -41,7 +41,7 @@ bucketed AS (SELECT *, row_number() OVER (PARTITION BY video_id, least(floor(sta
        + 'SELECT video_id, win_idx, start, "end", reason, score, weight, phrase FROM bucketed WHERE n <= 12 OR best = 1')
 def select_by_budget(spark, folder):
     w = windows(spark, folder)
-    durations = w.filter("video_id % 9 <> 0").groupBy("video_id").agg(F.max("end").alias("duration"))
+    durations = w.groupBy("video_id").agg(F.max("end").alias("duration"))
     return W.select_by_budget(w, durations, 12)
 
 
