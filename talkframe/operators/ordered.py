@@ -129,17 +129,22 @@ def placed_pieces(
 
     Concatenating the pieces of a key by ``position`` (from 0) gives the document; ``offset`` is the exact place
     of a piece in it, in bytes of UTF-8. ``separator`` stands before each ``joined`` piece but the first such;
-    all are joined by default. A null piece is empty. ``block`` as in :func:`running_before`; ``keep`` names more columns to return.
+    all are joined by default. A null piece is empty. ``block``, of the order's columns, as in :func:`running_before`; ``keep`` names more columns to return.
     """
     keep = keep or []
-    parts = rows.select(*keys, *order, *[c for c in keep if c not in order], F.coalesce(piece, F.lit("")).alias("piece"), (F.lit(True) if joined is None else joined).alias("_joined"), block.alias("_at"))
-    gap = len(separator.encode())
-    size = F.octet_length("piece") + F.when(F.col("_joined"), gap).otherwise(0)
-    placed = running_before(parts, keys, order, F.col("_at"), {
-        "position": ("sum", F.lit(1)), "offset": ("sum", size), "_before": ("sum", F.col("_joined").cast("int")),
-    })
-    follows = F.col("_before") > 0
-    text = F.when(F.col("_joined") & follows, F.concat(F.lit(separator), "piece")).otherwise(F.col("piece"))
+    own = [] if joined is None else [joined.alias("_joined")]
+    parts = rows.select(*keys, *order, *[c for c in keep if c not in order], F.coalesce(piece, F.lit("")).alias("piece"), *own)
+    gap, size = len(separator.encode()), F.octet_length("piece")
+    if joined is None:
+        placed = running_before(parts, keys, order, block, {"position": ("sum", F.lit(1)), "offset": ("sum", size + gap)})
+        takes = follows = F.col("position") > 0
+    else:
+        placed = running_before(parts, keys, order, block, {
+            "position": ("sum", F.lit(1)), "offset": ("sum", size + F.when(F.col("_joined"), gap).otherwise(0)), "_before": ("sum", F.col("_joined").cast("int")),
+        })
+        follows = F.col("_before") > 0
+        takes = F.col("_joined") & follows
+    text = F.when(takes, F.concat(F.lit(separator), "piece")).otherwise(F.col("piece"))
     return placed.select(
         *keys, F.col("position").cast("long").alias("position"),
         (F.col("offset") - F.when(follows, gap).otherwise(0)).cast("long").alias("offset"), text.alias("piece"), *keep,
