@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from talkframe.operators.channels import append_run
-from talkframe.operators.tables import shared_folder
+from talkframe.operators.tables import new_path
 from talkframe.plans import corpus as C
 from talkframe.plans.queries_catalogue import HISTORY, channels, history
 from talkframe.plans.queries_windows import CALL_COST, MERGED
@@ -22,10 +20,7 @@ def _stream(spark, folder, name):
 
 
 def _new_folder(spark, name):
-    folder = shared_folder(spark)
-    if folder is None:
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    return f"{folder}/{name}-{uuid.uuid4().hex}"
+    return new_path(spark, name)
 
 
 def _run(spark, stream, mode):
@@ -55,11 +50,14 @@ def stream_new_entries(spark, folder):
 @query("stream_merge_windows", with_tables(C.WINDOWS, MERGED.format(source="windows", gap=1)) + """
 SELECT video_id, start, "end", reason, score, weight, phrase FROM merged""")
 def stream_merge_windows(spark, folder):
-    """All windows, those open at the end closed by the last batch."""
-    windows = C.event_windows(_stream(spark, folder, "events")).withColumn("start_at", F.timestamp_millis((F.col("start") * 1000).cast("long")))
-    out = _run(spark, L.stream_merge_windows(windows), "complete")
-    newest = out.agg(F.max("batch").alias("batch"))
-    return out.join(F.broadcast(newest), "batch", "left_semi").drop("batch")
+    """Windows arriving in slices of half an hour, several batches, and a row that closes the stream."""
+    windows = C.event_windows(C.table(spark, folder, "events")).withColumn("start_at", F.timestamp_millis((F.col("start") * 1000).cast("long")))
+    arriving = _new_folder(spark, "windows")
+    for begin in range(0, 10_800, 1_800):
+        windows.filter((F.col("start") >= begin) & (F.col("start") < begin + 1_800)).write.mode("append").parquet(arriving)
+    L.closing_row(windows, "1970-01-03 00:00:00").write.mode("append").parquet(arriving)
+    stream = spark.readStream.schema(windows.schema).option("maxFilesPerTrigger", 8).parquet(arriving)
+    return _run(spark, L.stream_merge_windows(stream, lateness="40 minutes"), "append")
 
 
 @query("stream_cost", with_tables(C.CALLS, C.PRICES) + f"""
