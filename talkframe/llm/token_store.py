@@ -24,6 +24,8 @@ from talkframe.llm.tokenizing import tokenizer_path, word_encoder
 MAGIC = b"TFWM1\0\0\0"
 #: Bits whose ones are counted once in the rank directory.
 BLOCK = 512
+#: Ids of a plane that are dealt together.
+STRETCH = 1 << 15
 #: Ids after which a shard is closed.
 SHARD_TOKENS = 2_000_000
 _BYTE_ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
@@ -37,15 +39,21 @@ def pack_shard(ids: np.ndarray, doc_ids: np.ndarray, lengths: np.ndarray, known:
     row = ids.astype(np.uint16) if bits <= 16 else ids
     zeros, planes, ranks = [], [], []
     for level in range(bits - 1, -1, -1):
-        ones = ((row >> level) & 1).astype(bool)
-        plane = np.packbits(ones, bitorder="little")
+        # Stretches that stay in a core's cache.
+        packed, low, high = [], [], []
+        for begin in range(0, n, STRETCH):
+            part = row[begin:begin + STRETCH]
+            ones = ((part >> level) & 1).astype(bool)
+            packed.append(np.packbits(ones, bitorder="little"))
+            low.append(part.take(np.flatnonzero(~ones)))
+            high.append(part.take(np.flatnonzero(ones)))
+        plane = np.concatenate(packed) if packed else np.zeros(0, np.uint8)
         plane = np.concatenate([plane, np.zeros(-len(plane) % (BLOCK // 8), np.uint8)])
         sums = _BYTE_ONES[plane].reshape(-1, BLOCK // 8).sum(axis=1, dtype=np.uint32)
         ranks.append(np.concatenate([np.zeros(1, np.uint32), np.cumsum(sums, dtype=np.uint32)]))
         planes.append(plane)
-        low = row[~ones]
-        zeros.append(len(low))
-        row = np.concatenate([low, row[ones]])
+        zeros.append(sum(map(len, low)))
+        row = np.concatenate([*low, *high]) if n else row
     head = MAGIC + struct.pack("<QIIQ", n, bits, BLOCK, len(doc_ids))
     body = [np.array(zeros, "<u8").tobytes(), np.asarray(doc_ids, "<i8").tobytes(), np.asarray(known, np.uint8).tobytes(), np.asarray(lengths, "<u8").tobytes()]
     for plane, rank in zip(planes, ranks):
@@ -149,11 +157,15 @@ class Shard:
         """All ids in order."""
         row = np.zeros(self.n, np.uint16 if self.bits <= 16 else np.uint32)
         for k in range(self.bits - 1, -1, -1):
-            ones = np.unpackbits(self.planes[k], count=self.n, bitorder="little").astype(bool)
-            above = np.empty_like(row)
-            zeros = int(self.zeros[k])
-            above[~ones] = row[:zeros]
-            above[ones] = row[zeros:] | row.dtype.type(1 << (self.bits - 1 - k))
+            above, bit = np.empty_like(row), row.dtype.type(1 << (self.bits - 1 - k))
+            low, high = 0, int(self.zeros[k])
+            for begin in range(0, self.n, STRETCH):
+                part = above[begin:begin + STRETCH]
+                ones = np.unpackbits(self.planes[k][begin // 8:(begin + STRETCH) // 8], count=len(part), bitorder="little").astype(bool)
+                one, zero = np.flatnonzero(ones), np.flatnonzero(~ones)
+                part[zero] = row[low:low + len(zero)]
+                part[one] = row[high:high + len(one)] | bit
+                low, high = low + len(zero), high + len(one)
             row = above
         return row.astype(np.uint32)
 
@@ -194,8 +206,9 @@ def write_shards(documents: DataFrame, path: str, tokenizer: str, end_id: int =
             yield close()
 
     schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("part_start", pa.int64()), ("n_tokens", pa.int64()), ("n_docs", pa.int64()), ("payload", pa.binary())])
+    # Rows of one id are parted by the beginnings of their texts.
     wanted = documents.select("doc_id", "text")
-    dealt = wanted.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    dealt = wanted.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.substring("text", 1, 64)).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     dealt.mapInArrow(encode, _SHARDS).write.option("maxRecordsPerFile", 1).parquet(path)
 
 
@@ -209,44 +222,53 @@ def shard_offsets(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(rows, "part int, part_offset bigint")
 
 
+def _stretches(batch: pa.RecordBatch, ids_at_once: int = 500_000) -> Iterator[tuple[list[pa.Array], np.ndarray, np.ndarray]]:
+    """Documents of the shards in a batch, some at a time: their columns, all their ids in a row, and where each document begins and ends."""
+    for i in range(batch.num_rows):
+        shard = Shard(column(batch, "payload")[i].as_py())
+        ids = shard.ids()
+        ends = np.concatenate([[0], np.cumsum(shard.lengths.astype(np.int64))])
+        begin = 0
+        while begin < len(ends) - 1:
+            stop = max(begin + 1, int(np.searchsorted(ends, ends[begin] + ids_at_once)))
+            stop = min(stop, len(ends) - 1)
+            columns = [
+                pa.array(shard.doc_ids[begin:stop], mask=shard.known[begin:stop] == 0),
+                pa.array([column(batch, "part")[i].as_py()] * (stop - begin), pa.int32()),
+                pa.array(ends[begin:stop] + column(batch, "part_start")[i].as_py()),
+                pa.array(shard.lengths[begin:stop].astype(np.int64)),
+            ]
+            yield columns, ids[ends[begin]:ends[stop]], ends[begin:stop + 1] - ends[begin]
+            begin = stop
+
+
+_DOCUMENT = ["doc_id", "part", "part_place", "n_tokens"]
+
+
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """``(doc_id, part, part_place, n_tokens, ids)`` of every document in the shards."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                shard = Shard(column(batch, "payload")[i].as_py())
-                ids = shard.ids()
-                ends = np.concatenate([[0], np.cumsum(shard.lengths.astype(np.int64))])
-                begin = 0
-                while begin < len(ends) - 1:
-                    stop = max(begin + 1, int(np.searchsorted(ends, ends[begin] + 500_000)))
-                    stop = min(stop, len(ends) - 1)
-                    offsets = pa.array((ends[begin:stop + 1] - ends[begin]).astype(np.int32))
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(shard.doc_ids[begin:stop], mask=shard.known[begin:stop] == 0),
-                        pa.array([column(batch, "part")[i].as_py()] * (stop - begin), pa.int32()),
-                        pa.array(ends[begin:stop] + column(batch, "part_start")[i].as_py()),
-                        pa.array(shard.lengths[begin:stop].astype(np.int64)),
-                        pa.ListArray.from_arrays(offsets, pa.array(ids[ends[begin]:ends[stop]].astype(np.int32))),
-                    ], ["doc_id", "part", "part_place", "n_tokens", "ids"])
-                    begin = stop
+            for columns, ids, ends in _stretches(batch):
+                yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32)))], [*_DOCUMENT, "ids"])
 
     files = spark.read.schema(_SHARDS).parquet(path)
     return files.mapInArrow(decode, "doc_id bigint, part int, part_place bigint, n_tokens bigint, ids array<int>")
 
 
 def document_digests(spark: SparkSession, path: str) -> DataFrame:
-    """``(doc_id, start, n_tokens, ids_crc32)`` read back from the shards."""
+    """``(doc_id, start, n_tokens, ids_crc32)`` read back from the shards; ids stay in the decoding task."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = column(batch, "ids")
-            ends, values = ids.offsets.to_numpy(), ids.values.to_numpy().astype("<u4")
-            sums = [zlib.crc32(values[a:b].tobytes()) for a, b in zip(ends[:-1], ends[1:])]
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "part"), column(batch, "part_place"), column(batch, "n_tokens"), pa.array(sums, pa.int64())], ["doc_id", "part", "part_place", "n_tokens", "ids_crc32"])
+            for columns, ids, ends in _stretches(batch):
+                data = memoryview(ids.astype("<u4").tobytes())
+                places = (4 * ends).tolist()
+                sums = [zlib.crc32(data[a:b]) for a, b in zip(places[:-1], places[1:])]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(sums, pa.int64())], [*_DOCUMENT, "ids_crc32"])
 
-    rows = read_documents(spark, path).mapInArrow(digest, "doc_id bigint, part int, part_place bigint, n_tokens bigint, ids_crc32 bigint")
+    rows = spark.read.schema(_SHARDS).parquet(path).mapInArrow(digest, "doc_id bigint, part int, part_place bigint, n_tokens bigint, ids_crc32 bigint")
     offsets = shard_offsets(spark, path)
     return rows.join(F.broadcast(offsets), "part").select("doc_id", (F.col("part_place") + F.col("part_offset")).alias("start"), "n_tokens", "ids_crc32")
 
